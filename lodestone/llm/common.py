@@ -73,3 +73,13 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
 def key_columns(id_col: str = "doc_id", text_col: str = "text") -> list:
     """Two longs that identify a row by id and text; whole repeated rows share them, null ids are allowed."""
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("kd"), F.xxhash64(F.col(text_col)).alias("kt")]
+
+
+def joined(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes, bound: int = 32 << 20) -> DataFrame:
+    """big joined with small: by broadcast if small takes at most bound bytes, else by shuffle.
+
+    small must be a written table; row_bytes (a number or column) is its size in bytes a row, which is summed first.
+    """
+    row_bytes = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    size = small.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("size")).first().size
+    return big.join(F.broadcast(small) if size <= bound else small.hint("merge"), on, how)

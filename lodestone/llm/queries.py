@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, toxicity
+from . import sharding, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,25 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+p AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS s FROM d)),
+r AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, s + k AS pos FROM (SELECT doc_id, s, unnest(range(35)) AS k FROM p SEMI JOIN r USING (h))),
+each AS (SELECT doc_id, pos, ws[pos] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM d)),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS t, count(*) AS n FROM each ANTI JOIN hit USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op6_sharding": op6_sharding}
+    return {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op6_sharding": op6_sharding, "op7_substring": op7_substring}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_substring": OP7_SQL}
