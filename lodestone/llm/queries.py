@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, substring, toxicity
+from . import decontamination, sharding, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,27 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic_predicted").alias("predicted"), F.col("toxic_evidence").alias("evidence"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("kd", "tag")
+
+
+OP2_SQL = r"""
+WITH lowered AS (SELECT 'd' AS k, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT k, id, regexp_extract_all(t, '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM lowered),
+bw AS (SELECT DISTINCT id AS item_id, array_to_string(ws[s:s + least(13, len(ws)) - 1], ' ') AS h, least(13, len(ws)) AS n
+  FROM (SELECT id, ws, unnest(range(1, greatest(2, len(ws) - 11))) AS s FROM w WHERE k = 'b' AND len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT id AS doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS h FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM w, sizes WHERE k = 'd' AND len(ws) >= n)),
+m AS (SELECT doc_id, item_id, s, n FROM dw JOIN bw USING (h, n)),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, s + unnest(range(n)) AS pos FROM m) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id)
+SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN hit ON w.id = hit.doc_id LEFT JOIN items ON w.id = items.doc_id WHERE k = 'd'
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,8 +69,8 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op6_sharding": op6_sharding, "op7_substring": op7_substring}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op6_sharding": op6_sharding, "op7_substring": op7_substring}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring": OP7_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_substring": OP7_SQL}
