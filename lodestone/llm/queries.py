@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, sharding, simhash, substring, toxicity
+from . import decontamination, pieces, sharding, simhash, substring, tokenfiles, toxicity
+
+#: Vocabulary files of public tokenizers.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +71,16 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_counts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", 50256)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_pieces", "lossless", "piece_ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op6_sharding": op6_sharding, "op7_substring": op7_substring}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op6_sharding": op6_sharding, "op7_substring": op7_substring, "op8_token_counts": op8_token_counts, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
