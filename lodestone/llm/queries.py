@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, pieces, sharding, simhash, substring, tokenfiles, toxicity
+from . import decontamination, embeddings, pieces, sharding, simhash, substring, tokenfiles, toxicity
 
 #: Vocabulary files of public tokenizers.
 TOKENIZERS = "/opt/tokenizers"
@@ -49,6 +49,20 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, c AS component_id, v.vec_id = c AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) ON v.vec_id = a JOIN (SELECT a AS i, min(b) AS c FROM r GROUP BY a) ON v.vec_id = i
+"""
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shuffle_to_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
@@ -80,8 +94,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op6_sharding": op6_sharding, "op7_substring": op7_substring, "op8_token_counts": op8_token_counts, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embeddings": op4_embeddings, "op6_sharding": op6_sharding, "op7_substring": op7_substring, "op8_token_counts": op8_token_counts, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_substring": OP7_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_embeddings": OP4_SQL, "op7_substring": OP7_SQL}
