@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, pieces, sharding, simhash, substring, tokenfiles, toxicity
+from . import decontamination, embeddings, html, pieces, sharding, simhash, substring, tokenfiles, toxicity
 
 #: Vocabulary files of public tokenizers.
 TOKENIZERS = "/opt/tokenizers"
@@ -63,6 +63,11 @@ FROM v LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) ON v.vec_id = a JOI
 """
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.col("n_main_chars").alias("n_chars"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shuffle_to_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
@@ -94,7 +99,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embeddings": op4_embeddings, "op6_sharding": op6_sharding, "op7_substring": op7_substring, "op8_token_counts": op8_token_counts, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embeddings": op4_embeddings, "op5_html": op5_html, "op6_sharding": op6_sharding, "op7_substring": op7_substring, "op8_token_counts": op8_token_counts, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
