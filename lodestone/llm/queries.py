@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, html, pieces, sharding, simhash, substring, tokenfiles, toxicity
+from . import chat, decontamination, embeddings, html, pieces, sharding, simhash, substring, tokenfiles, toxicity
 
 #: Vocabulary files of public tokenizers.
 TOKENIZERS = "/opt/tokenizers"
@@ -94,13 +94,25 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_counts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", 50256)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = """
+SELECT conv_id, count(*) AS n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_orphans,
+  CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_cyclic,
+  '{"messages":[' || string_agg(CAST(json_object('content', text, 'role', role) AS VARCHAR), ',' ORDER BY turn) || ']}' AS chat
+FROM conversations GROUP BY conv_id
+"""
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_pieces", "lossless", "piece_ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embeddings": op4_embeddings, "op5_html": op5_html, "op6_sharding": op6_sharding, "op7_substring": op7_substring, "op8_token_counts": op8_token_counts, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embeddings": op4_embeddings, "op5_html": op5_html, "op6_sharding": op6_sharding, "op7_substring": op7_substring, "op8_token_counts": op8_token_counts, "op9_chat": op9_chat, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_embeddings": OP4_SQL, "op7_substring": OP7_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_embeddings": OP4_SQL, "op7_substring": OP7_SQL, "op9_chat": OP9_SQL}
