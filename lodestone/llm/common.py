@@ -70,9 +70,10 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def key_columns(id_col: str = "doc_id", text_col: str = "text") -> list:
-    """Two longs that identify a row by id and text; whole repeated rows share them, null ids are allowed."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("kd"), F.xxhash64(F.col(text_col)).alias("kt")]
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with kd and tag, which tell rows apart by id and text; a null id is replaced by a hash of the text."""
+    kt = F.xxhash64(F.col(text_col))
+    return docs.select("*", F.coalesce(F.col(id_col).cast("long"), kt).alias("kd"), kt.bitwiseAND(0xFFFFFFF).cast("int").alias("tag"))
 
 
 def joined(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes, bound: int = 32 << 20) -> DataFrame:
