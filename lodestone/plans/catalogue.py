@@ -1,11 +1,586 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries with their DuckDB SQL, over the fixture graph and the tables themselves."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestone.functions import paths, texts, vectors
+from lodestone.operators import dml, embed, extract, graph, rag, search
+from lodestone.session import table
+from lodestone.sources import history
+from lodestone.streaming import events as webhooks
 
-def oracle_sql() -> dict:
-    return {}
+from . import fixture
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+#: The query vector and text of the searches.
+VECTOR = [((i * 37) % 64) / 64 - 0.5 for i in range(64)]
+TEXT = "The"
+SQL_VECTOR = "list_transform(range(64), lambda i: ((i * 37) % 64) / 64.0::DOUBLE - 0.5)"
+SQL_DOCS = """docs AS (SELECT d.doc_id AS id, CASE lang WHEN 'en' THEN 'Function' WHEN 'de' THEN 'Class' WHEN 'fr' THEN 'File' ELSE 'Commit' END AS label,
+  split_part(text, chr(10), 1) AS name, source AS signature, text AS content, source AS author_name, [source || '/' || lang] AS files_changed, sha256(CAST(d.doc_id AS VARCHAR)) AS sha, embedding
+  FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
+SQL_SCORED = SQL_DOCS + f""",
+scored AS (SELECT *, (1 + cosine) / 2 AS vector_score FROM (SELECT *, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {SQL_VECTOR}), 6) AS cosine FROM docs WHERE embedding IS NOT NULL))"""
+SQL_CODE = "CASE WHEN contains(lower(coalesce(name, '')), 'the') THEN 1.0::DOUBLE WHEN contains(lower(coalesce(signature, '')), 'the') THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END"
+SQL_COMMIT = "CASE WHEN contains(lower(coalesce(content, '')), 'the') THEN 1.0::DOUBLE WHEN contains(lower(coalesce(author_name, '')), 'the') THEN 0.9::DOUBLE WHEN len(list_filter(files_changed, lambda f: contains(lower(f), 'the'))) > 0 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END"
+SQL_HYBRID = "round(0.7::DOUBLE * vector_score + (1 - 0.7::DOUBLE) * keyword_score, 9)"
+
+SQL_NODES = """nodes AS (SELECT 'region:' || r_regionkey AS id, 'Project' AS label, r_name AS name FROM region UNION ALL SELECT 'repo:' || n_nationkey, 'Repo', n_name FROM nation
+  UNION ALL SELECT 'file:' || c_custkey, 'File', c_name FROM customer UNION ALL SELECT 'function:' || o_orderkey, 'Function', o_orderpriority FROM orders UNION ALL SELECT 'package:' || p_partkey, 'Package', p_name FROM part
+  UNION ALL SELECT 'person:' || s_suppkey, 'Person', s_name FROM supplier UNION ALL SELECT 'commit:' || event_id, 'Commit', event_type FROM events)"""
+SQL_EDGES = """edges AS (SELECT 'repo:' || n_nationkey AS src, 'region:' || n_regionkey AS dst, 'PART_OF' AS type FROM nation UNION ALL SELECT 'repo:' || c_nationkey, 'file:' || c_custkey, 'HAS_FILE' FROM customer
+  UNION ALL SELECT 'file:' || o_custkey, 'function:' || o_orderkey, 'CONTAINS_FUNCTION' FROM orders UNION ALL SELECT 'function:' || o_orderkey, 'file:' || o_custkey, 'DEFINED_IN' FROM orders
+  UNION ALL SELECT 'function:' || l_orderkey, 'package:' || l_partkey, 'IMPORTS' FROM lineitem UNION ALL SELECT 'commit:' || event_id, 'file:' || user_id, 'TOUCHED' FROM events
+  UNION ALL SELECT 'person:' || s_suppkey, 'repo:' || s_nationkey, 'BELONGS_TO' FROM supplier)"""
+SQL_GRAPH = f"WITH {SQL_NODES},\n{SQL_EDGES}\n"
+
+
+# scans, filters and aggregates
+
+
+@query(f"WITH {SQL_NODES} SELECT * FROM nodes WHERE label = 'File'")
+def label_scan(spark, d):
+    return fixture.nodes(spark, d).where("label = 'File'")
+
+
+@query(f"WITH {SQL_NODES} SELECT * FROM nodes WHERE label = 'Function' AND id = 'function:7'")
+def node_lookup(spark, d):
+    return fixture.nodes(spark, d).where("label = 'Function' and id = 'function:7'")
+
+
+@query(f"WITH {SQL_NODES} SELECT * FROM nodes WHERE id = 'commit:11'")
+def node_lookup_any(spark, d):
+    return fixture.nodes(spark, d).where("id = 'commit:11'")
+
+
+@query(f"WITH {SQL_NODES} SELECT label, count(*) AS n FROM nodes GROUP BY label")
+def union_nodes_count(spark, d):
+    return fixture.nodes(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 1 AS test")
+def connectivity(spark, d):
+    return spark.sql("SELECT 1 AS test")
+
+
+@query(f"WITH {SQL_DOCS} SELECT id, label FROM docs WHERE embedding IS NULL AND trim(content) <> ''")
+def pending_embeddings(spark, d):
+    return fixture.documents(spark, d).where(F.col("embedding").isNull() & ~texts.blank(F.col("content"))).select("id", "label")
+
+
+@query(f"WITH {SQL_DOCS} SELECT label, count(*) AS total, count(embedding) AS embedded, round(100.0 * count(embedding) / count(*), 1)::DOUBLE AS percent FROM docs GROUP BY label")
+def embedding_coverage(spark, d):
+    return embed.coverage(fixture.documents(spark, d))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE contains(text, 'License') OR contains(source, 'License')")
+def memory_substring(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("metadata"))
+    return rag.memories(rows, "License").select("id")
+
+
+@query("SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
+def unlabelled_documents(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query(f"WITH {SQL_DOCS} SELECT id, {SQL_CODE} AS score FROM docs")
+def text_score_code(spark, d):
+    return fixture.documents(spark, d).select("id", search.text_score("Function", TEXT).alias("score"))
+
+
+@query(f"WITH {SQL_DOCS} SELECT id, {SQL_COMMIT} AS score FROM docs")
+def text_score_commit(spark, d):
+    return fixture.documents(spark, d).select("id", search.text_score("Commit", TEXT).alias("score"))
+
+
+# vector search
+
+
+@query("SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), " + SQL_VECTOR + "), 6) AS cosine, round(list_distance(CAST(embedding AS DOUBLE[]), " + SQL_VECTOR + "), 6) AS distance FROM embeddings")
+def cosine_scores(spark, d):
+    v, e = vectors.literal(VECTOR), F.col("embedding")
+    return table(spark, d, "embeddings").select("vec_id", "label", F.round(vectors.cosine(e, v), 6).alias("cosine"), F.round(vectors.euclidean(e, v), 6).alias("distance"))
+
+
+@query(f"WITH {SQL_SCORED} SELECT id, label, vector_score, vector_score AS score FROM scored ORDER BY vector_score DESC, id LIMIT 10")
+def knn(spark, d):
+    return search.vector_search(fixture.documents(spark, d), VECTOR, 10).select("id", "label", "vector_score", "score")
+
+
+@query(f"WITH {SQL_SCORED} SELECT id, label, vector_score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vector_score DESC, id) AS r FROM scored) WHERE r <= 3")
+def knn_by_label(spark, d):
+    return search.top_by(search.scored(fixture.documents(spark, d), VECTOR), ["label"], 3).select("id", "label", "vector_score", "rank")
+
+
+@query(
+    """SELECT query, id, vector_score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY vector_score DESC, id) AS r FROM
+  (SELECT q.vec_id AS query, e.vec_id AS id, (1 + round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)) / 2 AS vector_score
+   FROM embeddings e JOIN embeddings q ON q.vec_id IN (3, 17, 400) AND e.vec_id <> q.vec_id)) WHERE r <= 5"""
+)
+def more_like_this(spark, d):
+    return search.more_like_this(table(spark, d, "embeddings").withColumnRenamed("vec_id", "id"), [3, 17, 400], 5)
+
+
+_HYBRID = f"""WITH {SQL_SCORED},
+pool AS (SELECT *, {SQL_CODE} AS keyword_score FROM (SELECT * FROM scored ORDER BY vector_score DESC, id LIMIT {{pool}}))
+SELECT id, label, vector_score, keyword_score, {SQL_HYBRID} AS score FROM pool ORDER BY score DESC, id LIMIT {{limit}}"""
+
+
+@query(_HYBRID.format(pool=20, limit=10))
+def hybrid(spark, d):
+    return search.hybrid_search(fixture.documents(spark, d), VECTOR, TEXT, limit=10).select("id", "label", "vector_score", "keyword_score", "score")
+
+
+@query(_HYBRID.format(pool=2, limit=1))
+def hybrid_pool_semantics(spark, d):
+    return search.hybrid_search(fixture.documents(spark, d), VECTOR, TEXT, limit=1).select("id", "label", "vector_score", "keyword_score", "score")
+
+
+# retrieval of context
+
+
+def _ask_sql(types: list[str], share: int, extra: str = "") -> str:
+    ranks = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(types, 1))
+    return f"""WITH {SQL_SCORED},
+pool AS (SELECT *, CASE WHEN label = 'Commit' THEN {SQL_COMMIT} ELSE {SQL_CODE} END AS keyword_score FROM
+  (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vector_score DESC, id) AS r FROM scored WHERE label IN ({", ".join(f"'{t}'" for t in types)})) WHERE r <= {2 * share}),
+best AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS k FROM (SELECT *, {SQL_HYBRID} AS score FROM pool)),
+context AS (SELECT *, CAST(CASE label {ranks} END AS INT) AS type_rank, CAST(row_number() OVER (ORDER BY CASE label {ranks} END, score DESC, id) AS INT) AS position FROM best WHERE k <= {share})
+"""
+
+
+@query(_ask_sql(["Function", "Class", "File"], 1) + "SELECT id, label, score, type_rank, position FROM context")
+def ask_context(spark, d):
+    return rag.ask_context(fixture.documents(spark, d), VECTOR, TEXT).select("id", "label", "score", "type_rank", "position")
+
+
+@query(_ask_sql(["Function", "Class", "File", "Commit"], 2) + "SELECT id, label, score, type_rank, position FROM context")
+def ask_multi_type(spark, d):
+    return rag.ask_context(fixture.documents(spark, d), VECTOR, TEXT, "sentinel", types=("Function", "Class", "File", "Commit"), per_type=2).select("id", "label", "score", "type_rank", "position")
+
+
+_ISSUE = f"""WITH {SQL_SCORED},
+pool AS (SELECT *, 0.0::DOUBLE AS keyword_score, CASE label WHEN 'File' THEN 3 ELSE 5 END AS share FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vector_score DESC, id) AS r FROM scored WHERE label IN ('Function', 'File', 'Commit'))),
+best AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS k FROM (SELECT *, {SQL_HYBRID} AS score FROM pool WHERE r <= 2 * share))
+SELECT id, label, score, CAST(row_number() OVER (ORDER BY CASE label WHEN 'Function' THEN 1 WHEN 'File' THEN 2 ELSE 3 END, score DESC, id) AS INT) AS position FROM best WHERE k <= share"""
+
+
+@query(_ISSUE)
+def issue_context(spark, d):
+    return rag.issue_context(fixture.documents(spark, d), VECTOR, "No such title", "No such body").select("id", "label", "score", "position")
+
+
+_NAMED = "coalesce(nullif(name, ''), substr(sha, 1, 8), 'N/A')"
+
+
+@query(_ask_sql(["Function", "Class", "File"], 1) + f"SELECT position, label AS type, {_NAMED} AS name, substr(content, 1, 500) AS content, score FROM context")
+def context_summary(spark, d):
+    return rag.context_summary(rag.ask_context(fixture.documents(spark, d), VECTOR, TEXT))
+
+
+@query(_ask_sql(["Function", "Class", "File"], 1) + f"SELECT position, label AS type, {_NAMED} AS name, substr(content, 1, 500) AS content, score, CASE WHEN score > 0 THEN printf('%.0f%%', score * 100) END AS percent FROM context WHERE trim(content) <> '' AND {_NAMED} NOT IN ('', 'N/A')")
+def context_shown(spark, d):
+    return rag.shown(rag.context_summary(rag.ask_context(fixture.documents(spark, d), VECTOR, TEXT)))
+
+
+@query(_ask_sql(["Function", "Class", "File"], 1) + "SELECT string_agg('--- [' || label || '] ' || coalesce(nullif(name, ''), sha, 'N/A') || ' ---' || chr(10) || content || chr(10), chr(10) ORDER BY position) AS text FROM context")
+def context_text(spark, d):
+    return rag.context_text(rag.ask_context(fixture.documents(spark, d), VECTOR, TEXT))
+
+
+@query(
+    _ask_sql(["Function", "Class", "File"], 1)
+    + """SELECT string_agg(chr(10) || '--- Context ' || position || ': ' || label || ' ''' || CASE WHEN label = 'Commit' THEN substr(sha, 1, 8) ELSE name END || '''' || printf(' (relevance: %.3f)', score) || ' ---' || chr(10)
+  || CASE WHEN length(content) > 1000 THEN substr(content, 1, 1000) || chr(10) || '... (truncated)' ELSE content END, chr(10) ORDER BY position) AS text FROM context"""
+)
+def prompt_text(spark, d):
+    return rag.prompt_text(rag.ask_context(fixture.documents(spark, d), VECTOR, TEXT))
+
+
+# graph
+
+
+@query(SQL_GRAPH + "SELECT e.src AS start, n.id, n.label, n.name FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'HAS_FILE'")
+def expand_one_hop(spark, d):
+    starts = fixture.nodes(spark, d).where("label = 'Repo'")
+    return graph.expand(starts, fixture.edges(spark, d, "HAS_FILE"), fixture.nodes(spark, d), "HAS_FILE").select("start", "id", "label", "name")
+
+
+@query(SQL_GRAPH + "SELECT e.dst AS start, n.id, n.label, n.name FROM edges e JOIN nodes n ON n.id = e.src JOIN nodes f ON f.id = e.dst WHERE e.type = 'TOUCHED'")
+def expand_reverse(spark, d):
+    starts = fixture.nodes(spark, d).where("label = 'File'")
+    return graph.expand(starts, fixture.edges(spark, d, "TOUCHED"), fixture.nodes(spark, d), "TOUCHED", reverse=True).select("start", "id", "label", "name")
+
+
+@query(
+    SQL_GRAPH
+    + """SELECT f.id, f.name, coalesce(fn, []) AS functions, list_slice(coalesce(cm, []), 1, 5) AS commits,
+  printf('%s has %d classes, %d functions, %d imports and %d commits', f.name, 0, len(coalesce(fn, [])), 0, len(coalesce(cm, []))) AS summary FROM nodes f
+  LEFT JOIN (SELECT src, list_sort(list(DISTINCT dst)) AS fn FROM edges WHERE type = 'CONTAINS_FUNCTION' GROUP BY src) a ON a.src = f.id
+  LEFT JOIN (SELECT dst, list_sort(list(DISTINCT src)) AS cm FROM edges WHERE type = 'TOUCHED' GROUP BY dst) b ON b.dst = f.id WHERE f.label = 'File'"""
+)
+def explain_file(spark, d):
+    files = fixture.nodes(spark, d).where("label = 'File'")
+    return graph.explain_file(files, fixture.edges(spark, d, "CONTAINS_FUNCTION", "TOUCHED")).select("id", "name", "functions", "commits", "summary")
+
+
+@query(
+    """SELECT 'repo:' || n_nationkey AS id, n_name AS name, (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS files,
+  (SELECT count(DISTINCT o_orderkey) FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey) AS functions,
+  (SELECT count(DISTINCT l_partkey) FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_nationkey = n_nationkey) AS packages,
+  (SELECT count(DISTINCT event_id) FROM customer JOIN events ON user_id = c_custkey WHERE c_nationkey = n_nationkey) AS commits,
+  (SELECT count(DISTINCT s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS people FROM nation"""
+)
+def repo_stats(spark, d):
+    files, functions, imports, touched, people = (fixture.edges(spark, d, k) for k in ("HAS_FILE", "CONTAINS_FUNCTION", "IMPORTS", "TOUCHED", "BELONGS_TO"))
+    branches = {
+        "files": graph.path_branch((files, "src", "dst")),
+        "functions": graph.path_branch((files, "src", "dst"), (functions, "src", "dst")),
+        "packages": graph.path_branch((files, "src", "dst"), (functions, "src", "dst"), (imports, "src", "dst")),
+        "commits": graph.path_branch((files, "src", "dst"), (touched, "dst", "src")),
+        "people": graph.path_branch((people, "dst", "src")),
+    }
+    return graph.statistics(fixture.nodes(spark, d).where("label = 'Repo'").select("id", "name"), branches)
+
+
+@query(SQL_GRAPH + "SELECT e.src, e.dst, e.type, CAST(NULL AS DOUBLE) AS log_weight, a.label AS src_label, a.name AS src_name, b.label AS dst_label, b.name AS dst_name FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst ORDER BY e.src, e.dst, e.type LIMIT 5000")
+def edge_list(spark, d):
+    """The 5000 edges of a drawing: the limit is the feature."""
+    return graph.edge_list(fixture.edges(spark, d), fixture.nodes(spark, d), 5000)
+
+
+@query(SQL_GRAPH + "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges WHERE src <> dst) GROUP BY id")
+def degree(spark, d):
+    return graph.degrees(fixture.edges(spark, d))
+
+
+@query("SELECT 'function:' || l_orderkey AS src, 'package:' || l_partkey AS dst, 'IMPORTS' AS type, min_by(l_quantity, l_linenumber * 1000000000.0 + l_suppkey * 1000.0 + l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey, l_partkey")
+def edge_dedupe(spark, d):
+    order = F.col("l_linenumber") * 1000000000.0 + F.col("l_suppkey") * 1000.0 + F.col("quantity")
+    e = table(spark, d, "lineitem").select(fixture._id("function", "l_orderkey").alias("src"), fixture._id("package", "l_partkey").alias("dst"), F.lit("IMPORTS").alias("type"), F.col("l_quantity").alias("quantity"), "l_linenumber", "l_suppkey")
+    return graph.dedupe_edges(e, order).select("src", "dst", "type", "quantity")
+
+
+@query(SQL_GRAPH + "SELECT e.* FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = e.src AND n.label <> 'Project') OR NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = e.dst AND n.label <> 'Project')")
+def dangling_edges(spark, d):
+    ids = fixture.nodes(spark, d).where("label <> 'Project'").select("id")
+    e = fixture.edges(spark, d)
+    return e.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst", "type").unionByName(e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "type"))
+
+
+@query(SQL_GRAPH + "SELECT label, count(*) AS n, (SELECT count(*) FROM edges e WHERE e.src IN (SELECT id FROM nodes) AND e.dst IN (SELECT id FROM nodes)) AS edges FROM nodes GROUP BY label")
+def edges_with_endpoints(spark, d):
+    n = fixture.nodes(spark, d)
+    kept = graph.with_endpoints(fixture.edges(spark, d), n).agg(F.count("*").alias("edges"))
+    return n.groupBy("label").agg(F.count("*").alias("n")).crossJoin(F.broadcast(kept))  # one row
+
+
+_REACH = """WITH RECURSIVE e AS (SELECT 'repo:' || n_nationkey AS a, 'region:' || n_regionkey AS b FROM nation UNION SELECT 'person:' || s_suppkey, 'repo:' || s_nationkey FROM supplier WHERE s_nationkey <> 0 UNION SELECT 'repo:' || c_nationkey, 'file:' || c_custkey FROM customer),
+b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id) AS (SELECT 'region:1' UNION SELECT b.b FROM r JOIN b ON b.a = r.id)
+"""
+
+
+def _reach(spark, d):
+    people = fixture.edges(spark, d, "BELONGS_TO").where("dst <> 'repo:0'")
+    e = fixture.edges(spark, d, "PART_OF", "HAS_FILE").unionByName(people)
+    return e, graph.reachable(e, spark.createDataFrame([("region:1",)], "id string"))
+
+
+@query(_REACH + "SELECT id FROM r")
+def reachable(spark, d):
+    return _reach(spark, d)[1]
+
+
+@query(_REACH + f", {SQL_NODES} SELECT id, label, name FROM nodes ANTI JOIN r USING (id)")
+def clear_repo(spark, d):
+    e, _ = _reach(spark, d)
+    return dml.clear_repository(fixture.nodes(spark, d), e, "region:1")[0].select("id", "label", "name")
+
+
+@query(
+    SQL_GRAPH
+    + """, doomed AS (SELECT id FROM nodes WHERE id IN ('file:1', 'file:7') UNION SELECT dst FROM edges WHERE type = 'CONTAINS_FUNCTION' AND src IN ('file:1', 'file:7'))
+SELECT src, dst, type FROM edges WHERE type IN ('CONTAINS_FUNCTION', 'IMPORTS') AND src NOT IN (SELECT id FROM doomed) AND dst NOT IN (SELECT id FROM doomed)"""
+)
+def delete_file_cascade(spark, d):
+    n, e = fixture.nodes(spark, d), fixture.edges(spark, d, "CONTAINS_FUNCTION", "IMPORTS")
+    return dml.delete_files(n, e, n.where("id in ('file:1', 'file:7')"))[1]
+
+
+@query(None)
+def pagerank(spark, d):
+    return graph.pagerank(fixture.edges(spark, d, "PART_OF", "HAS_FILE", "BELONGS_TO"), 5)
+
+
+# changes
+
+
+@query(
+    """WITH o AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer), n AS (SELECT DISTINCT user_id * 2 AS id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'user' || user_id END AS name FROM events)
+SELECT coalesce(o.id, n.id) AS id, coalesce(n.name, o.name) AS name, balance FROM o FULL JOIN n ON o.id = n.id"""
+)
+def upsert_coalesce(spark, d):
+    return dml.upsert(_customers(spark, d), _users(spark, d), ["id"])
+
+
+@query(
+    """WITH o AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer), n AS (SELECT DISTINCT user_id * 2 AS id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'user' || user_id END AS name FROM events)
+SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, coalesce(balance, -1.0) AS balance FROM o FULL JOIN n ON o.id = n.id"""
+)
+def upsert_on_create(spark, d):
+    return dml.upsert(_customers(spark, d), _users(spark, d), ["id"], keep_old=False, created="balance", now=F.lit(-1.0))
+
+
+def _customers(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+
+
+def _users(spark, d):
+    user = F.col("user_id")
+    return table(spark, d, "events").select(user).distinct().select((user * 2).alias("id"), F.when(user % 3 != 0, F.concat(F.lit("user"), user.cast("string"))).alias("name"))
+
+
+@query(
+    SQL_GRAPH
+    + """SELECT src, dst, type FROM edges WHERE type = 'HAS_FILE' UNION SELECT 'file:' || user_id, 'commit:' || event_id, 'TOUCHED_BY' FROM events WHERE 'file:' || user_id IN (SELECT id FROM nodes)"""
+)
+def link_edges(spark, d):
+    wanted = fixture.edges(spark, d, "TOUCHED").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("TOUCHED_BY").alias("type"))
+    return dml.link(fixture.edges(spark, d, "HAS_FILE"), wanted, fixture.nodes(spark, d))
+
+
+@query("SELECT 'Line' AS label, l_orderkey || '-' || l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def constraint_violations(spark, d):
+    return dml.duplicate_keys(table(spark, d, "lineitem").select(F.lit("Line").alias("label"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id")))
+
+
+@query("SELECT c_custkey AS path, CASE WHEN o_custkey IS NULL THEN 'removed' WHEN c_acctbal IS DISTINCT FROM t THEN 'modified' END AS change FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS t FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey WHERE o_custkey IS NULL OR c_acctbal IS DISTINCT FROM t")
+def changed_files_diff(spark, d):
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("path"), F.col("c_acctbal").alias("sha"))
+    new = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.max("o_totalprice").alias("sha"))
+    return dml.changed_files(old, new)
+
+
+# history
+
+
+def _touches(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("sha"), F.col("user_id").alias("path"), F.col("ts").alias("committed_at"))
+
+
+@query("SELECT user_id AS path, arg_max(event_id, (ts, event_id)) AS sha, max(ts) AS committed_at FROM events GROUP BY user_id")
+def latest_commit_per_file(spark, d):
+    return history.latest_commit(_touches(spark, d))
+
+
+@query("SELECT event_id AS sha, user_id AS path, ts AS committed_at, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10")
+def file_history_topn(spark, d):
+    return history.file_history(_touches(spark, d), 10)
+
+
+@query("SELECT user_id AS path, least(count(*), 1000) AS changes FROM events GROUP BY user_id")
+def change_counts(spark, d):
+    return history.change_counts(_touches(spark, d))
+
+
+@query("SELECT count(DISTINCT user_id) AS authors, count(DISTINCT event_type) AS kinds, count(*) AS commits FROM events")
+def ingest_summary(spark, d):
+    return table(spark, d, "events").agg(F.count_distinct("user_id").alias("authors"), F.count_distinct("event_type").alias("kinds"), F.count("*").alias("commits"))
+
+
+# texts and functions
+
+
+@query(
+    """SELECT doc_id, 'Commit: ' || sha256(text) || chr(10) || 'Author: ' || source || ' <' || lang || '>' || chr(10) || 'Date:   2024-01-01' || chr(10) || 'Repo:   r' || chr(10) || chr(10) || 'Message:' || chr(10) || text || chr(10) || chr(10)
+  || 'Scope:' || chr(10) || '  Files changed: 2' || chr(10) || '  Insertions:    ' || n_chars || chr(10) || '  Deletions:     0' || chr(10) || chr(10) || 'Files:' || chr(10) || '  - ' || source || chr(10) || '  - ' || lang || chr(10) AS document FROM documents"""
+)
+def commit_doc(spark, d):
+    c = F.col
+    doc = texts.commit_document(F.lit("r"), texts.content_hash(c("text")), c("source"), c("lang"), F.lit("2024-01-01"), c("text"), c("n_chars"), F.lit(0), F.array("source", "lang"))
+    return table(spark, d, "documents").select("doc_id", doc.alias("document"))
+
+
+@query(
+    f"""WITH {SQL_DOCS} SELECT id, CASE label WHEN 'Function' THEN 'Function: ' || name || chr(10) || 'Signature: ' || signature || chr(10) || 'Code:' || chr(10) WHEN 'Class' THEN 'Class: ' || name || chr(10) || 'Code:' || chr(10)
+  WHEN 'File' THEN 'File: ' || signature || chr(10) || 'Language: ' || author_name ELSE 'Commit by ' || author_name || ':' || chr(10) || content END AS text FROM docs"""
+)
+def embedding_text(spark, d):
+    docs = fixture.documents(spark, d).withColumns({"path": F.col("signature"), "language": F.col("author_name"), "type": F.lit("README"), "text": F.col("content"), "package": F.lit(""), "author": F.col("author_name"), "message": F.col("content")})
+    return docs.select("id", texts.embedding_text(F.col("label")).alias("text"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha, CAST(len(string_split(text, chr(10))) AS INT) AS lines, array_to_string(list_slice(string_split(text, chr(10)), 2, 6), chr(10)) AS snippet FROM documents")
+def content_facts(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", texts.content_hash(t).alias("sha"), texts.line_count(t).alias("lines"), texts.snippet(t, F.lit(2), F.lit(100)).alias("snippet"))
+
+
+_FOLDERS = ["src/", "build/", "web/.cache/", "tests/", "lib/node_modules/x/", "", "a/b/", ".github/"]
+_ENDINGS = [".py", ".H", ".hpp", ".md", ".tsx", "_test.go", ".spec.ts", ".d", ".kts", "", ".CJS"]
+
+
+def _path_sql(kind: str) -> str:
+    return f"(['{"', '".join(_FOLDERS)}'])[{kind} % {len(_FOLDERS)} + 1] || 'f' || {kind} || (['{"', '".join(_ENDINGS)}'])[{kind} % {len(_ENDINGS)} + 1]"
+
+
+def _path(key: str):
+    k = F.col(key)
+    folder = F.element_at(F.array(*map(F.lit, _FOLDERS)), (k % len(_FOLDERS) + 1).cast("int"))
+    return F.concat(folder, F.lit("f"), k.cast("string"), F.element_at(F.array(*map(F.lit, _ENDINGS)), (k % len(_ENDINGS) + 1).cast("int")))
+
+
+_LANGUAGE_SQL = "CASE lower(nullif(regexp_extract(regexp_extract(path, '[^/]*$'), '[^.](\\.[^.]+)$', 1), '')) " + " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in paths.LANGUAGES.items()) + " END"
+
+
+@query(
+    f"""SELECT path, {_LANGUAGE_SQL} AS language, len(list_filter(string_split(path, '/'), lambda p: p IN ({", ".join(f"'{x}'" for x in paths.IGNORED)}) OR (p LIKE '.%' AND length(p) > 1))) > 0 AS ignored,
+  ({" OR ".join(f"contains(lower(path), '{s}')" for s in paths.TEST_SIGNS)}) AS test FROM (SELECT {_path_sql("o_orderkey")} AS path FROM orders)"""
+)
+def path_facts(spark, d):
+    p = F.col("path")
+    return table(spark, d, "orders").select(_path("o_orderkey").alias("path")).select("path", paths.language(p).alias("language"), paths.ignored(p).alias("ignored"), paths.is_test(p).alias("test"))
+
+
+@query(f"WITH {SQL_NODES} SELECT id, CASE WHEN id LIKE 'repo:%' THEN 'Repo' WHEN id LIKE 'package:%' THEN 'Package' ELSE 'Node' END AS label, CASE WHEN label = 'File' THEN 'File' WHEN label = 'Function' THEN 'Function' WHEN label = 'Commit' THEN 'Commit' ELSE 'Node' END AS inner_label FROM nodes")
+def label_from_id(spark, d):
+    part = F.when(F.col("label") == "File", "file").when(F.col("label") == "Function", "method").when(F.col("label") == "Commit", "commit").otherwise("other")
+    return fixture.nodes(spark, d).select("id", paths.label_of_id(F.col("id")).alias("label"), paths.label_of_id(paths.node_id("r", part, F.col("name"))).alias("inner_label"))
+
+
+@query("SELECT page_id, 'https://github.com/' || page_id || '/n' || page_id AS url, CAST(page_id AS VARCHAR) AS owner, 'n' || page_id AS name, page_id || '/n' || page_id AS full_name FROM pages")
+def repo_info(spark, d):
+    p = F.col("page_id").cast("string")
+    info = paths.repo_info(F.concat(F.lit("git@github.com:"), p, F.lit("/n"), p, F.lit(".git")))
+    return table(spark, d, "pages").select("page_id", info.alias("i")).select("page_id", "i.url", "i.owner", "i.name", "i.full_name")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '@a/p' || p_partkey ELSE 'p' || p_partkey END AS script, 'p' || p_partkey AS python FROM part")
+def import_package(spark, d):
+    k = F.col("p_partkey")
+    own = F.concat(F.lit("p"), k.cast("string"))
+    module = F.when(k % 3 == 0, F.concat(F.lit("./"), own)).when(k % 3 == 1, F.concat(F.lit("@a/"), own, F.lit("/sub"))).otherwise(F.concat(own, F.lit("/x/y")))
+    return table(spark, d, "part").select("p_partkey", paths.js_package(module).alias("script"), paths.python_package(F.concat(own, F.lit(".a.b"))).alias("python"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'person:' || lower(replace(s_name, ' ', '')) || '@x.io' ELSE 'person:' || replace(lower(trim(s_name)), ' ', '_') END AS id FROM supplier")
+def person_norm(spark, d):
+    mail = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(" "), F.upper(F.replace("s_name", F.lit(" "), F.lit(""))), F.lit("@X.io ")))
+    return table(spark, d, "supplier").select("s_suppkey", paths.person(F.col("s_name"), mail)["id"].alias("id"))
+
+
+# markup of pages
+
+
+@query("SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS link FROM pages")
+def html_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("link"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, CAST(len(regexp_extract_all(html, '<!--[^>]*-->')) AS INT) AS comments FROM pages")
+def html_headings(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"), F.size(F.regexp_extract_all("html", F.lit("<!--[^>]*-->"), F.lit(0))).alias("comments"))
+
+
+# webhook events
+
+
+def _webhooks(spark, d):
+    """events as webhooks: purchases push, signups open and errors merge a pull request."""
+    k, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    url = F.concat(F.lit("https://github.com/o/n"), u)
+    push = F.to_json(F.struct(F.when(F.col("event_id") % 2 == 0, F.lit("refs/heads/main")).alias("ref"), F.struct(url.alias("clone_url")).alias("repository")))
+    merged = F.col("event_type") == "error"
+    pull = F.to_json(
+        F.struct(
+            F.when(merged, "closed").otherwise("opened").alias("action"), F.struct(url.alias("html_url")).alias("repository"),
+            F.struct(F.col("event_id").cast("int").alias("number"), F.concat(F.lit("t"), k).alias("title"), merged.alias("merged"), F.struct(F.concat(F.lit("u"), u).alias("login")).alias("user"), F.struct(F.lit("main").alias("ref")).alias("base")).alias("pull_request"),
+        )
+    )
+    kind = F.when(F.col("event_type") == "purchase", "push").when(F.col("event_type").isin("signup", "error"), "pull_request").otherwise("issues")
+    e = table(spark, d, "events").select("event_id", kind.alias("event_type"), F.when(kind == "push", push).when(kind == "pull_request", pull).otherwise("{}").alias("body"))
+    return webhooks.parsed(e)
+
+
+_GO = "(event_type = 'error' OR (event_type = 'purchase' AND event_id % 2 = 0))"
+
+
+@query(f"SELECT event_id, CASE WHEN {_GO} THEN 'triggered' WHEN event_type IN ('signup', 'error') THEN 'processed' ELSE 'ignored' END AS status, CASE WHEN {_GO} THEN 'https://github.com/o/n' || user_id END AS repo_url, CASE WHEN {_GO} THEN 'main' END AS branch FROM events")
+def event_router(spark, d):
+    return webhooks.routed(_webhooks(spark, d)).select("event_id", "status", "repo_url", "branch")
+
+
+@query(
+    """SELECT 'n' || user_id || ':pr:' || event_id AS id, CAST(event_id AS INT) AS pr_number, 'u' || user_id AS author, event_type = 'error' AS merged, 'Pull Request #' || event_id || ': t' || event_id || chr(10) || chr(10) || '      ' || chr(10) || chr(10) || '      Author: u' || user_id
+  || chr(10) || '      State: ' || chr(10) || '      Merged: ' || CASE WHEN event_type = 'error' THEN 'True' ELSE 'False' END || chr(10) || '      Base Branch: main' || chr(10) || '      Head Branch: None' || chr(10) || '      ' AS content FROM events WHERE event_type IN ('signup', 'error')"""
+)
+def pr_content(spark, d):
+    return webhooks.pull_requests(_webhooks(spark, d)).select("id", "pr_number", "author", "merged", "content")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
+def event_properties(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+# extraction and embedding: no SQL for these
+
+
+def _sources(spark, d, ending: str, code: str):
+    """A source file for each document, with the document's words as comment."""
+    body = F.concat(F.lit(code.split("@")[0]), F.col("doc_id").cast("string"), F.lit(code.split("@")[1]))
+    return table(spark, d, "documents").select(F.lit("r").alias("repo"), F.concat(F.lit("pkg/test_"), F.col("doc_id").cast("string"), F.lit(ending)).alias("path"), body.alias("content"))
+
+
+@query(None)
+def python_symbols(spark, d):
+    return extract.symbols(_sources(spark, d, ".py", 'import os.path\nX = 1\ndef test_@(a, b):\n    """doc"""\n    return a\nclass K:\n    def m(self):\n        pass\n# note\n'))
+
+
+@query(None)
+def js_symbols(spark, d):
+    return extract.symbols(_sources(spark, d, ".js", "import x from '@scope/pkg/sub';\nconst z = require('lodash/fp');\nvar v@ = 1;\nfunction f(a) { return a; }\nclass C { run(n) { return n; } }\n"))
+
+
+@query(None)
+def ts_symbols(spark, d):
+    return extract.symbols(_sources(spark, d, ".ts", "import { x } from 'rxjs/operators';\nvar v@ = 1;\nfunction f(a: number): number { return a; }\nclass C { run(n: number): number { return n; } }\n"))
+
+
+@query(None)
+def blame_lines(spark, d):
+    report = F.concat(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(" 1 1 2\nauthor "), F.col("source"), F.lit("\n\tline\n"), F.sha2(F.col("doc_id").cast("string"), 256), F.lit(" 2 2\n\tmore\n"))
+    return history.blame(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), report.alias("report")))
+
+
+@query(None)
+def hash_embed(spark, d):
+    docs = fixture.documents(spark, d).withColumns({"path": F.col("signature"), "language": F.col("author_name"), "type": F.lit("README"), "text": F.col("content"), "package": F.lit(""), "author": F.col("author_name")})
+    return embed.backfill(docs).select("id", "embedding")
