@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,10 +72,10 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with kd and tag, which tell rows apart by id and text; a null id is replaced by a hash of the text."""
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("kd", "tag")) -> DataFrame:
+    """docs with two columns that tell rows apart by id and text; a null id is replaced by a hash of the text."""
     kt = F.xxhash64(F.col(text_col))
-    return docs.select("*", F.coalesce(F.col(id_col).cast("long"), kt).alias("kd"), kt.bitwiseAND(0xFFFFFFF).cast("int").alias("tag"))
+    return docs.select("*", F.coalesce(F.col(id_col).cast("long"), kt).alias(names[0]), kt.bitwiseAND(0xFFFFFFF).cast("int").alias(names[1]))
 
 
 def joined(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes, bound: int = 32 << 20) -> DataFrame:
@@ -84,3 +86,14 @@ def joined(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes,
     row_bytes = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
     size = small.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("size")).first().size
     return big.join(F.broadcast(small) if size <= bound else small.hint("merge"), on, how)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Frees the disk of steps that are done: deletes written tables that nothing reads any more, and has the driver
+    collect its garbage, upon which Spark removes the shuffle files of results that are gone."""
+    for path in {os.path.dirname(f) for t in tables for f in t.inputFiles()}:
+        if "/lodestone/" in path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    spark._jvm.System.gc()

@@ -22,20 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, batches_of, joined, stored
-from .windows import WordHashes, anchors, mixed, prefix, span_hashes, words_of
+from .common import append_columns, batches_of, release, stored, with_keys
+from .windows import BASES, WordHashes, anchors, mixed, prefix, span_hashes, words_of
 
 #: A place packs the first window of a stretch and its last one's distance from it.
 SPAN_BITS = 8
 ROW = "kd long, tag int, a long, b long, place long"
 
 
-def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with kd and tag, which tell rows apart by id and text; a null id is replaced by a hash of the text."""
-    kt = F.xxhash64(F.col(text_col))
-    return docs.select("*", F.coalesce(F.col(id_col).cast("long"), kt).alias("kd"), kt.bitwiseAND(0xFFFFFFF).cast("int").alias("tag"))
-
-
 def anchor_rows(keyed: DataFrame, text_col: str, window: int, gram: int) -> DataFrame:
     """One row for each stretch of windows with one anchor: a the anchor, b the hash of all the stretch's words."""
 
@@ -60,7 +54,7 @@ def anchor_rows(keyed: DataFrame, text_col: str, window: int, gram: int) -> Data
 class FingerprintIndex:
     """Immutable runs of window fingerprints; grows batch by batch."""
 
-    def __init__(self, window: int = 35, gram: int = 6, fanout: int = 4):
+    def __init__(self, window: int = 35, gram: int = 12, fanout: int = 4):
         if not 0 < gram <= window or window - gram >= 1 << SPAN_BITS:
             raise ValueError("gram must be from 1 to window, and window - gram under 256")
         self.window, self.gram, self.fanout = window, gram, fanout
@@ -71,7 +65,7 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Writes the run of a batch, merge-joins it with the history, and compacts when lists of anchors pile up."""
         batches_of(docs.sparkSession)
-        run = stored(anchor_rows(with_keys(docs, id_col, text_col), text_col, self.window, self.gram).sortWithinPartitions("a"), "run")
+        run = stored(anchor_rows(with_keys(docs.select(id_col, text_col), id_col, text_col), text_col, self.window, self.gram).sortWithinPartitions("a"), "run")
         keys = stored(run.groupBy("a").agg(F.count("*").alias("n")).sortWithinPartitions("a"), "keys")
         self.repeated += [keys.where("n > 1").select("a"), *(keys.join(old.hint("merge"), "a").select("a") for old in self.keys)]
         self.runs.append(run)
@@ -91,47 +85,136 @@ class FingerprintIndex:
 
         docs are the texts of all batches, or those of them of which the spans are wanted.
         """
-        window = self.window
+        spark, window = docs.sparkSession, self.window
         repeated = stored(reduce(DataFrame.unionByName, self.repeated).distinct(), "repeated")
-        found = stored(joined(reduce(DataFrame.unionByName, self.runs), repeated, ["a"], "inner", 24), "found")
-        blocks = stored(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("kd", "tag", "place")).alias("one")), "blocks")
+        release(spark)
+        # what the bit set lets through beside repeated anchors has one stretch, and so stays single below
+        found = stored(_where_in(reduce(DataFrame.unionByName, self.runs), key_bits(repeated, ["a"]), ["a"]), "found")
+        blocks = stored(found.groupBy("a", "b").agg(F.count("*").alias("n")), "blocks")
+        release(spark, repeated)
         # whole stretches met again
-        whole = joined(found, stored(blocks.where("n > 1").select("a", "b"), "whole"), ["a", "b"], "left_semi", 40)
+        again = stored(blocks.where("n > 1").select("a", "b"), "again")
+        whole = _where_in(found, key_bits(again, ["a", "b"]), ["a", "b"]).join(again.hint("merge"), ["a", "b"], "left_semi")
         span = F.col("place").bitwiseAND((1 << SPAN_BITS) - 1)
         first = F.shiftright("place", SPAN_BITS)
-        whole = whole.select("kd", "tag", first.alias("start"), (first + span + window).alias("stop"))
-        # stretches that differ under one anchor: one of each kind shows its windows
+        whole = stored(whole.select("kd", "tag", _packed(first, span + window).alias("x")), "whole")
+        # stretches that differ under one anchor show their windows
         mixed_up = stored(blocks.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a"), "mixed")
-        shown = joined(blocks, mixed_up, ["a"], "left_semi", 24)
-        asked = shown.select("one.kd", "one.tag", F.struct("one.place", "a", (F.col("n") == 1).alias("single")).alias("x")).groupBy("kd", "tag").agg(F.collect_list("x").alias("asked"))
-        asked = stored(asked, "asked")
-        texts = joined(with_keys(docs, id_col, text_col).select("kd", "tag", F.col(text_col).alias("text")), asked, ["kd", "tag"], "inner", 32 + F.size("asked") * 24)
-        lists = stored(texts.mapInArrow(self._window_lists(), "kd long, tag int, a long, first long, single boolean, hashes array<long>"), "windows")
-        each = lists.select("kd", "tag", "a", "first", "single", F.posexplode("hashes").alias("i", "w"))
-        # a text's repeated row shows the same windows twice: they count by place
-        counted = each.groupBy("a", "w").agg(F.count("*").alias("n"))
-        twice = stored(counted.where("n > 1").select("a", "w"), "twice")
-        edges = joined(each.where("single"), twice, ["a", "w"], "left_semi", 40).select("kd", "tag", (F.col("first") + F.col("i")).alias("start"), (F.col("first") + F.col("i") + window).alias("stop"))
-        all_ = whole.unionByName(edges).select("kd", "tag", (F.col("start") * 4096 + F.col("stop") - F.col("start")).alias("x"))
-        return all_.groupBy("kd", "tag").agg(F.collect_set("x").alias("x")).mapInArrow(_merge, "kd long, tag int, spans array<struct<start: long, stop: long>>")
-
-    def _window_lists(self):
-        window = self.window
+        release(spark, found, again, blocks)
+        lists = stored(self._window_lists(with_keys(docs.select(id_col, text_col), id_col, text_col).select("kd", "tag", text_col), key_bits(mixed_up, ["a"])), "windows")
+        each = lists.select("a", F.explode("hashes").alias("w"))
+        twice = stored(each.groupBy("a", "w").agg(F.count("*").alias("n")).where("n > 1").select("a", "w"), "twice")
+        release(spark, mixed_up)
+        edges = _windows_in(lists, key_bits(twice, ["a", "w"]), window).join(twice.hint("merge"), ["a", "w"], "left_semi")
+        packed = whole.unionByName(edges.select("kd", "tag", "x"))
+        spans = stored(packed.groupBy("kd", "tag").agg(F.collect_set("x").alias("x")).mapInArrow(_merge, "kd long, tag int, spans array<struct<start: long, stop: long>>"), "spans")
+        release(spark, whole, lists, twice)
+        return spans
+
+    def _window_lists(self, keyed: DataFrame, bits: np.ndarray) -> DataFrame:
+        """(kd, tag, a, first, hashes): the window hashes of each stretch whose anchor is in bits."""
+        window, gram = self.window, self.gram
+        sent = keyed.sparkSession.sparkContext.broadcast(bits)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
-                rows = []
-                for kd, tag, text, asked in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("kd", "tag", "text", "asked")), strict=True):
-                    sums = prefix(hashes.of(words_of(text)), 1)
-                    for x in asked:
-                        first = x["place"] >> SPAN_BITS
-                        starts = np.arange(first, first + (x["place"] & ((1 << SPAN_BITS) - 1)) + 1)
-                        rows.append((kd, tag, x["a"], first, x["single"], span_hashes(sums, 1, starts, starts + window).view(np.int64)))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["kd", "tag", "a", "first", "single", "hashes"])
+                sizes, rows, firsts, lengths, flat = [], [], [], [], []
+                for text in batch.column(2).to_pylist():
+                    ids = hashes.of(words_of(text))
+                    a, _, first, last = anchors(prefix(ids, 0), window, gram)
+                    asked = in_bits(sent.value, mixed(a)) if len(a) else np.zeros(0, bool)
+                    a, first, last = a[asked], first[asked], last[asked]
+                    sizes.append(len(a))
+                    if len(a):
+                        n = last - first + 1
+                        starts = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                        flat.append(span_hashes(prefix(ids, 1), 1, starts, starts + window).view(np.int64))
+                        rows.append(a.view(np.int64))
+                        firsts.append(first)
+                        lengths.append(n)
+                take = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+                rows, firsts, lengths, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, firsts, lengths, flat))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(rows), pa.array(firsts), lists], names=["kd", "tag", "a", "first", "hashes"])
+
+        return keyed.mapInArrow(run, "kd long, tag int, a long, first long, hashes array<long>")
+
+
+#: Bits of a filter: 16 for each key, within these bounds and as a power of two. A fuller filter lets more rows through,
+#: which exact joins and counts then find to be single; it never hides one.
+LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 29, 16
+
+
+def _key(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """One well spread number for each row's key; anchors themselves lie close to zero, being the least of many."""
+    out = np.zeros(batch.num_rows, np.uint64)
+    for c in columns:
+        out = mixed(out * np.uint64(BASES[0]) + batch.column(batch.schema.get_field_index(c)).to_numpy().view(np.uint64))
+    return out
+
+
+def key_bits(keys: DataFrame, columns: list[str]) -> np.ndarray:
+    """A bit set of the keys, packed in bytes; of bounded size."""
+    log = min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_key(batch, columns) >> np.uint64(64 - log)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> CHUNK_BITS), pa.array((at & ((1 << CHUNK_BITS) - 1)).astype(np.int32))], names=["chunk", "bit"])
+
+    def pack(group):
+        import pandas as pd
+
+        bits = np.zeros(1 << CHUNK_BITS, np.uint8)
+        bits[group["bit"].to_numpy()] = 1
+        return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    out = np.zeros(1 << (log - 3), np.uint8)
+    size = 1 << (CHUNK_BITS - 3)
+    # a chunk has at most 2**CHUNK_BITS different bits
+    for r in keys.select(*columns).mapInArrow(run, "chunk long, bit int").distinct().groupBy("chunk").applyInPandas(pack, "chunk long, bits binary").collect():
+        out[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def in_bits(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _where_in(rows: DataFrame, bits: np.ndarray, columns: list[str]) -> DataFrame:
+    """rows whose key is in bits, with a few others."""
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bits(sent.value, _key(batch, columns))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _windows_in(lists: DataFrame, bits: np.ndarray, window: int) -> DataFrame:
+    """(kd, tag, a, w, x) of the single windows in lists whose key (a, w) is in bits, with a few others."""
+    sent = lists.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(batch.schema.get_field_index("hashes"))
+            n = np.diff(hashes.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), n)
+            flat = hashes.flatten()
+            a = batch.column(batch.schema.get_field_index("a")).take(pa.array(row))
+            keep = np.nonzero(in_bits(sent.value, _key(pa.RecordBatch.from_arrays([a, flat], names=["a", "w"]), ["a", "w"])))[0]
+            at = batch.column(batch.schema.get_field_index("first")).to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            take = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), a.take(pa.array(keep)), flat.take(pa.array(keep)), pa.array(at[keep] * 4096 + window)], names=["kd", "tag", "a", "w", "x"])
+
+    return lists.mapInArrow(run, "kd long, tag int, a long, w long, x long")
+
 
-        return run
+def _packed(start, length):
+    return start * 4096 + length
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +244,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     index = FingerprintIndex(window)
     for i in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)) == i), id_col, text_col)
-    spans = stored(index.spans(docs, id_col, text_col), "spans")
-    keyed = joined(with_keys(docs, id_col, text_col), spans, ["kd", "tag"], "left", 48 + F.size("spans") * 16)
-    return removed(keyed.drop("kd", "tag"), text_col)
+    spans = index.spans(docs, id_col, text_col)
+    keys = ("_kd", "_tag")
+    keyed = with_keys(docs, id_col, text_col, keys).join(spans.toDF(*keys, "_spans").hint("shuffle_hash"), list(keys), "left")
+    return removed(keyed.drop(*keys), text_col)
 
 
 def removed(docs: DataFrame, text_col: str) -> DataFrame:
-    """Applies the column spans to the texts."""
-    pairs = docs.withColumn("spans", F.struct(F.col(text_col).alias("text"), F.col("spans").alias("spans")))
+    """Applies the column _spans to the texts."""
+    pairs = docs.withColumn("_spans", F.struct(F.col(text_col).alias("text"), F.col("_spans").alias("spans")))
 
     def compute(rows: list) -> list[list]:
         out = []
@@ -185,4 +269,4 @@ def removed(docs: DataFrame, text_col: str) -> DataFrame:
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     new = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", span), T.StructField("kept_sha256", T.StringType())]
-    return append_columns(pairs, "spans", new, compute).drop("spans")
+    return append_columns(pairs, "_spans", new, compute).drop("_spans")
