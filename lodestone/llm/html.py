@@ -330,9 +330,9 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     with character references decoded and white space within a block made one space. Repeated rows and copies get
     equal texts. Columns named like the new ones are replaced, others pass through.
     """
-    templates = induce(pages, url_col, html_col).withColumnRenamed("host", "_host")
-    met = joined(pages.withColumn("_host", _host(url_col)), templates, ["_host"], "left", 96 + F.octet_length("wrapper") + 8 * F.size("constant"))
-    packed = met.withColumn("_page", F.struct(F.col(html_col).alias("html"), "wrapper", "constant")).drop("_host", "wrapper", "constant")
+    templates = induce(pages.select(url_col, html_col), url_col, html_col).toDF("_host", "_wrapper", "_constant")
+    met = joined(pages.withColumn("_host", _host(url_col)), templates, ["_host"], "left", 96 + F.octet_length("_wrapper") + 8 * F.size("_constant"))
+    packed = met.withColumn("_page", F.struct(F.col(html_col).alias("html"), F.col("_wrapper").alias("wrapper"), F.col("_constant").alias("constant"))).drop("_host", "_wrapper", "_constant")
 
     def compute(rows: list) -> list[list]:
         texts = [extract(r["html"], r["wrapper"], {(c["block"], c["run"]) for c in r["constant"] or ()}) for r in rows]
