@@ -84,7 +84,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     lengths = merged.groupBy("length").count().orderBy(F.desc("count"), "length").limit(1).collect()
     common = lengths[0].length if lengths else 1
     total = lengths[0]["count"] if lengths else 0
-    k = max(1, -(-total // cell_size))
+    # cells of cell_size, but no more than twice the root, beyond which finding the cell would cost most of the work
+    k = max(1, min(-(-total // cell_size), int(2 * total**0.5), sample_limit // 8))
     wanted = min(sample_limit, max(2 * k, 64 * k), max(64, 4_000_000 // common))
     sample = [r.v for r in merged.where(F.col("length") == common).orderBy("h1", "h2").limit(wanted).select("v").collect()] if total else []
     centroids = spherical_kmeans(unit(sample), min(k, len(sample))) if sample else np.zeros((1, common))

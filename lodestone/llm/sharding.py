@@ -1,10 +1,11 @@
 """Exact uniform sharding through a hypergeometric communication matrix.
 
-The input is divided into parts of consecutive rows. The matrix of how many rows each part sends to each cell is drawn
-from the multivariate hypergeometric law, with the part sizes as row sums and the wanted cell sizes as column sums; so
-cell sizes are exact. Each part permutes its rows and deals them by its matrix row, one exchange brings the rows to
-their cells, and each cell permutes again. A shard is a run of cells, so that no task holds a whole shard. The result
-is a uniform permutation of all rows that depends only on the seed and the rows' places in the input files.
+The input is divided into parts of consecutive rows. The matrix of how many rows each part sends to each shard is drawn
+from the multivariate hypergeometric law, with the part sizes as row sums and the wanted shard sizes as column sums; so
+shard sizes are exact. Each part permutes its rows, deals them by its matrix row, and draws a random key for each. The
+key divides a shard into cells, so that no task holds a whole shard; one exchange brings the rows to their cells, where
+the key permutes them again. Counts of the cells, taken before from the rows' places alone, give each cell its first
+slot. The result is a uniform permutation of all rows that depends only on the seed and the rows' places in the input.
 """
 
 from __future__ import annotations
@@ -21,25 +22,22 @@ from pyspark.sql import types as T
 from .common import batches_of, stored, with_columns
 
 #: Rows of one part; parts are runs of a file's rows.
-PART = 1 << 16
+PART = 1 << 18
+#: Bits of a row's random key.
+KEY = 62
 
 
-def cell_sizes(rows: int, shards: int, rows_per_cell: int) -> tuple[list[int], int]:
-    """Sizes of all cells, shard after shard, and cells in a shard; shard sizes differ by one at most."""
-    per_shard = max(1, -(-rows // (shards * rows_per_cell)))
-    sizes = []
-    for s in range(shards):
-        own = rows // shards + (s < rows % shards)
-        sizes += [own // per_shard + (c < own % per_shard) for c in range(per_shard)]
-    return sizes, per_shard
+def shard_sizes(rows: int, shards: int) -> list[int]:
+    """Sizes that differ by one at most."""
+    return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
-def communication_matrix(parts: list[int], cells: list[int], seed: int) -> np.ndarray:
-    """Rows sent from each part to each cell: uniform among all ways to deal the rows into the cells.
+def communication_matrix(parts: list[int], shards: list[int], seed: int) -> np.ndarray:
+    """Rows sent from each part to each shard: uniform among all ways to deal the rows into the shards.
 
-    It halves the parts and draws how the left half divides over the cells, so that the draws are few and small.
+    It halves the parts and draws how the left half divides over the shards, so that the draws are few and small.
     """
-    out = np.zeros((len(parts), len(cells)), np.int64)
+    out = np.zeros((len(parts), len(shards)), np.int64)
     rng = np.random.default_rng(seed)
     method = "marginals"
 
@@ -53,7 +51,7 @@ def communication_matrix(parts: list[int], cells: list[int], seed: int) -> np.nd
         draw(mid, hi, room - left)
 
     if parts:
-        draw(0, len(parts), np.array(cells, np.int64))
+        draw(0, len(parts), np.array(shards, np.int64))
     return out
 
 
@@ -72,7 +70,7 @@ def _parts(docs: DataFrame, kept: list[str]) -> tuple[DataFrame, dict] | None:
     return placed, {(r["_file"], r["_part"]): r.n for r in found}
 
 
-def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_per_cell: int = 4096) -> DataFrame:
+def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_per_cell: int = 16_384) -> DataFrame:
     """docs with shard int (0 to shards-1) and slot long (gapless from 0 in its shard).
 
     Shard sizes differ by one row at most, and every permutation of the rows is equally likely. Null, empty and very
@@ -86,50 +84,62 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_pe
     batches_of(spark)
     kept = [f.name for f in docs.schema if f.name.lower() not in ("shard", "slot")]
     placed, counts = _parts(docs, kept) or _parts(stored(docs.select(*[F.col(f"`{n}`") for n in kept]), "rows"), kept)
-    parts = sorted(counts)
-    sizes, per_shard = cell_sizes(sum(counts.values()), shards, rows_per_cell)
-    matrix = communication_matrix([counts[p] for p in parts], sizes, seed)
+    parts, total = sorted(counts), sum(counts.values())
+    matrix = communication_matrix([counts[p] for p in parts], shard_sizes(total, shards), seed)
+    per_shard = max(1, -(-total // (shards * rows_per_cell)))
     sent = spark.sparkContext.broadcast(({p: i for i, p in enumerate(parts)}, matrix))
+
+    def drawn(batch: pa.RecordBatch, dealt: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Cell and key of each row of a batch; dealt remembers the last parts."""
+        index, rows = sent.value
+        files, at, part = (batch.column(batch.schema.get_field_index(n)) for n in ("_file", "_row", "_part"))
+        own = np.array([index[k] for k in zip(files.to_pylist(), part.to_pylist(), strict=True)], np.int64)
+        at = at.to_numpy() % PART
+        shard, key = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        for p in np.unique(own).tolist():
+            if p not in dealt:
+                if len(dealt) > 2:
+                    dealt.clear()
+                rng = np.random.default_rng((seed, p))
+                labels = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), rows[p]))
+                dealt[p] = labels, rng.integers(0, 1 << KEY, len(labels))
+            here = own == p
+            shard[here], key[here] = dealt[p][0][at[here]], dealt[p][1][at[here]]
+        return (shard * per_shard + (key >> 20) * per_shard // (1 << (KEY - 20))).astype(np.int32), key
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt: dict = {}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(drawn(batch, dealt)[0])], names=["cell"])
+
+    # one number for each cell: a pass over the rows' places, without their texts
+    filled = {r.cell: r["count"] for r in placed.select("_file", "_row", "_part").mapInArrow(cells, "cell int").groupBy("cell").count().collect()}
+    sizes = np.array([filled.get(c, 0) for c in range(shards * per_shard)], np.int64).reshape(shards, per_shard)
+    first = spark.sparkContext.broadcast((np.cumsum(sizes, axis=1) - sizes).reshape(-1))
     schema = with_columns(T.StructType([f for f in docs.schema if f.name in kept]), [T.StructField("_cell", T.IntegerType()), T.StructField("_order", T.LongType())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, rows = sent.value
-        dealt: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        dealt: dict = {}
         for batch in batches:
-            files, at, part = (batch.column(batch.schema.get_field_index(n)) for n in ("_file", "_row", "_part"))
-            own = np.array([index[k] for k in zip(files.to_pylist(), part.to_pylist(), strict=True)], np.int64)
-            at = at.to_numpy() % PART
-            cell, order = np.zeros(len(own), np.int32), np.zeros(len(own), np.int64)
-            for p in np.unique(own).tolist():
-                if p not in dealt:
-                    if len(dealt) > 4:
-                        dealt.clear()
-                    rng = np.random.default_rng((seed, p))
-                    labels = np.repeat(np.arange(rows.shape[1], dtype=np.int32), rows[p])
-                    dealt[p] = rng.permutation(labels), rng.integers(0, 2**62, len(labels))
-                here = own == p
-                cell[here], order[here] = dealt[p][0][at[here]], dealt[p][1][at[here]]
-            arrays = [batch.column(batch.schema.get_field_index(n)) for n in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(cell), pa.array(order)], names=schema.names)
+            cell, key = drawn(batch, dealt)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array(cell), pa.array(key)], names=schema.names)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells come one after the other, in the order of their second permutation."""
-        starts = np.concatenate(([0], np.cumsum(sizes)))
         cell, seen = -1, 0
         for batch in batches:
-            cells = batch.column(batch.schema.get_field_index("_cell")).to_numpy()
-            slot = np.zeros(len(cells), np.int64)
-            for c in np.unique(cells).tolist():
+            cells_ = batch.column(batch.schema.get_field_index("_cell")).to_numpy()
+            slot = first.value[cells_]
+            for c in np.unique(cells_).tolist():
                 if c != cell:
                     cell, seen = c, 0
-                here = np.nonzero(cells == c)[0]
-                slot[here] = np.arange(seen, seen + len(here))
+                here = np.nonzero(cells_ == c)[0]
+                slot[here] += np.arange(seen, seen + len(here))
                 seen += len(here)
-            slot += starts[cells] - starts[cells // per_shard * per_shard]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array((cells // per_shard).astype(np.int32)), pa.array(slot)], names=[*kept, "shard", "slot"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array((cells_ // per_shard).astype(np.int32)), pa.array(slot)], names=[*kept, "shard", "slot"])
 
     out = with_columns(T.StructType([f for f in docs.schema if f.name in kept]), [T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    exchanged = placed.mapInArrow(deal, schema).repartition(len(sizes), "_cell").sortWithinPartitions("_cell", "_order")
+    exchanged = placed.mapInArrow(deal, schema).repartition(shards * per_shard, "_cell").sortWithinPartitions("_cell", "_order")
     return exchanged.mapInArrow(number, out)
 
 
