@@ -27,6 +27,9 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Units remembered by a worker before its cache starts anew.
 CACHE = 800_000
+#: Characters up to which a unit is merged in plain lists; beyond them an agenda of pairs pays off.
+SHORT = 48
+NONE = float("-inf")
 
 
 @dataclass(frozen=True)
@@ -67,6 +70,8 @@ class Encoder:
         self.vocabulary, self.limit, self.seed, self.variants = vocabulary, int(dropout * 2**64), seed, variants if dropout else 1
         self.known: list[dict[str, array]] = [{} for _ in range(self.variants)]
         self.bytes = vocabulary.table()
+        self.scores = {p: score for p, (score, _) in vocabulary.pieces.items()}
+        self.places: dict[int, bytes] = {}
 
     def variant(self, text: str) -> int:
         return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed) % self.variants if self.variants > 1 else 0
@@ -91,9 +96,54 @@ class Encoder:
                 out.extend(ids)
         return out
 
+    def skipped(self, key: int, left: int, size: int) -> bool:
+        """Whether the merge of size characters from left is dropped in the unit of key."""
+        place = left << 32 | size
+        data = self.places.get(place)
+        if data is None:
+            data = place.to_bytes(8, "little")
+            if len(self.places) < CACHE:
+                self.places[place] = data
+        return xxhash.xxh64_intdigest(data, key) < self.limit
+
     def merge(self, unit: str, variant: int) -> array:
-        """The agenda: pairs by falling score, then from the left; a pair is void once either side has changed."""
-        pieces, limit = self.vocabulary.pieces, self.limit
+        key = xxhash.xxh64_intdigest(f"{variant}:{unit}".encode("utf-8", "surrogatepass"), self.seed) if self.limit else 0
+        symbols = self._short(unit, key) if len(unit) <= SHORT else self._long(unit, key)
+        pieces, out = self.vocabulary.pieces, array("i")
+        for s in symbols:
+            found = pieces.get(s)
+            if found:
+                out.append(found[1])
+            else:
+                out.extend(self.vocabulary.byte_ids[b] for b in s.encode("utf-8", "surrogatepass"))
+        return out
+
+    def _short(self, unit: str, key: int) -> list[str]:
+        """The agenda as a list beside the symbols: the best pair is its maximum, the first of equals."""
+        get, limit = self.scores.get, self.limit
+        symbols = list(unit)
+        agenda = [get(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        left = list(range(len(symbols)))
+        while agenda:
+            best = max(agenda)
+            if best == NONE:
+                break
+            i = agenda.index(best)
+            both = symbols[i] + symbols[i + 1]
+            if limit and self.skipped(key, left[i], len(both)):
+                agenda[i] = NONE
+                continue
+            symbols[i] = both
+            del symbols[i + 1], left[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(both + symbols[i + 1], NONE)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + both, NONE)
+        return symbols
+
+    def _long(self, unit: str, key: int) -> list[str]:
+        """The agenda as a heap: pairs by falling score, then from the left; void once either side has changed."""
+        get, limit = self.scores.get, self.limit
         symbols = list(unit)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -102,18 +152,17 @@ class Encoder:
         def offer(left: int, right: int) -> None:
             if left >= 0 and right >= 0:
                 both = symbols[left] + symbols[right]
-                found = pieces.get(both)
-                if found:
-                    heapq.heappush(agenda, (-found[0], left, right, both))
+                score = get(both)
+                if score is not None:
+                    heapq.heappush(agenda, (-score, left, right, both))
 
         for i in range(n - 1):
             offer(i, i + 1)
-        key = f"{variant}:{unit}:".encode("utf-8", "surrogatepass") if limit else b""
         while agenda:
             _, left, right, both = heapq.heappop(agenda)
             if not symbols[left] or not symbols[right] or after[left] != right or symbols[left] + symbols[right] != both:
                 continue
-            if limit and xxhash.xxh64_intdigest(b"%b%d:%d" % (key, left, len(both)), self.seed) < limit:
+            if limit and self.skipped(key, left, len(both)):
                 continue
             symbols[left], symbols[right] = both, ""
             after[left] = after[right]
@@ -121,15 +170,7 @@ class Encoder:
                 before[after[right]] = left
             offer(before[left], left)
             offer(left, after[left])
-        out = array("i")
-        for s in symbols:
-            if s:
-                found = pieces.get(s)
-                if found:
-                    out.append(found[1])
-                else:
-                    out.extend(self.vocabulary.byte_ids[b] for b in s.encode("utf-8", "surrogatepass"))
-        return out
+        return [s for s in symbols if s]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; the space set before every text is taken off."""
