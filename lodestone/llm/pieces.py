@@ -2,8 +2,8 @@
 
 Merges are taken from an agenda by score, then from the left; with dropout each candidate is skipped if a keyed hash of
 its place and its unit falls under the rate, so that the same seed always gives the same segmentation, on any machine
-and after any retry. A unit is a run of spaces with the text up to the next space or line end: no piece of the
-vocabulary reaches across, so units are encoded apart and remembered. Each text has one of a few variants of the
+and after any retry. A unit is a run of spaces with the text up to the next space or line end, or between a letter and a
+sign that no piece of the vocabulary joins: no piece reaches across, so units are encoded apart and remembered. Each text has one of a few variants of the
 dropout, chosen by a keyed hash of the text.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,7 +25,8 @@ from pyspark.sql import types as T
 from .common import batches_of, with_columns
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+#: Letters for cutting units; raised figures, which some pieces join with signs, are none.
+LETTER = r"[^\W\d_²³¹]"
 #: Units remembered by a worker before its cache starts anew.
 CACHE = 800_000
 #: Characters up to which a unit is merged in plain lists; beyond them an agenda of pairs pays off.
@@ -53,6 +55,18 @@ class Vocabulary:
             raise ValueError("the model must have byte fallback and no piece that reaches across spaces or lines")
         return cls(pieces, tuple(of_bytes[f"<0x{b:02X}>"] for b in range(256)), sp.unk_id())
 
+    def units(self) -> re.Pattern:
+        """Cuts a text where no piece reaches across: before spaces, around line ends, and between a letter and a sign
+        (in this order or the other) that stand side by side in no piece."""
+        pairs = {(a, b) for p in self.pieces for a, b in zip(p, p[1:])}
+        letters = {x for pair in pairs for x in pair if re.match(LETTER, x)}
+        behind = re.escape("".join(c for c in string.punctuation if not any((x, c) in pairs for x in letters)))
+        ahead = re.escape("".join(c for c in string.punctuation if not any((c, x) in pairs for x in letters)))
+        if not behind or not ahead:
+            return re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        more = f"(?!(?<={LETTER})[{behind}])(?!(?<=[{ahead}]){LETTER})[^{SPACE}\n]"
+        return re.compile(f"{SPACE}*{LETTER}+(?=[{behind}{SPACE}\n]|$)|{SPACE}*[^{SPACE}\n](?:{more})*|{SPACE}+|\n")
+
     def table(self) -> list[bytes]:
         """The bytes of each id; ids without bytes decode to none."""
         out = [b""] * (1 + max(self.unknown, *self.byte_ids, *(i for _, i in self.pieces.values())))
@@ -69,7 +83,7 @@ class Encoder:
             raise ValueError("dropout must be from 0 to 1, and variants at least 1")
         self.vocabulary, self.limit, self.seed, self.variants = vocabulary, int(dropout * 2**64), seed, variants if dropout else 1
         self.known: list[dict[str, array]] = [{} for _ in range(self.variants)]
-        self.bytes = vocabulary.table()
+        self.bytes, self.cut = vocabulary.table(), vocabulary.units()
         self.scores = {p: score for p, (score, _) in vocabulary.pieces.items()}
         self.places: dict[int, bytes] = {}
 
@@ -89,7 +103,7 @@ class Encoder:
         for i, part in enumerate(text.split(SPACE)):
             if i:
                 out.extend(self.vocabulary.byte_ids[b] for b in SPACE.encode())
-            for unit in UNIT.findall((SPACE + part if not i else part).replace(" ", SPACE)):
+            for unit in self.cut.findall((SPACE + part if not i else part).replace(" ", SPACE)):
                 ids = known.get(unit)
                 if ids is None:
                     ids = known[unit] = self.merge(unit, variant)
