@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, pieces, simhash, substring, toxicity
-from lodestone.llm.common import stored, with_keys
+from lodestone.llm.common import joined, stored, with_keys
 from lodestone.llm.queries import TOKENIZERS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,13 +24,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each group of SimHash near-duplicates.
+    """One row of each group of SimHash near-duplicates: that with the smallest identifier, null ones last.
 
-    Rows with a null identifier can't be told apart and stay; repeated rows of one identifier stay together.
+    Rows are told apart by identifier and text; of rows equal in both, one stays.
     """
-    groups = simhash.near_duplicates(docs)
-    rejected = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    text_hash = F.xxhash64("text")
+    keyed = docs.withColumns({"kd": F.coalesce(F.col("doc_id").cast("long"), text_hash), "kt": text_hash})
+    prints, groups = simhash.grouped(keyed, keep=("kd", "kt"))
+    rows = stored(prints.groupBy("fp", "kd", "kt").agg(F.min("id").alias("id"), F.count("*").alias("n")), "rows")
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "kt", "kd")
+    best = rows.groupBy("fp").agg(F.min(place).alias("place")).join(groups, "fp")
+    winners = stored(best.groupBy("component").agg(F.min("place").alias("place")).select("place.kd", "place.kt", F.lit(True).alias("wins")), "winners")
+    marked = rows.join(winners, ["kd", "kt"], "left").select("kd", "kt", F.col("wins").isNotNull().alias("wins"), "n")
+    marked = stored(marked.where("n > 1 or not wins").select("kd", "kt", "wins"), "rejected")
+    out = keyed.join(marked.hint("shuffle_hash"), ["kd", "kt"], "left_anti").select(*COLUMNS)
+    again = stored(marked.where("wins").select("kd", "kt"), "repeated")
+    if not again.limit(1).count():
+        return out
+    # of equal rows one stays; combined before the shuffle, so that a row with very many copies is no hot key
+    other = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "lang", "source", "n_chars")
+    once = joined(keyed, again, ["kd", "kt"], "left_semi", 16).groupBy("kd", "kt").agg(F.min(other).alias("x"), F.first("text").alias("text"))
+    return out.unionByName(once.select("x.doc_id", "text", "x.lang", "x.source", "x.n_chars"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches_of, shared_dir, stored
 from .components import Links, components
@@ -56,9 +57,10 @@ def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * sums > counts[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, and the columns of keep): fp is the fingerprint as a signed long."""
     batches_of(docs.sparkSession)
+    more = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,9 +70,10 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 hashes.append(np.array(own, np.uint64))
                 counts.append(len(own))
             fp = fingerprints_of(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.array(counts, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *keep])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), *more])
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep).mapInArrow(run, schema)
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -190,6 +193,19 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 2, leaf_size: int = 4
     return visited.groupBy("leaf").applyInPandas(stars, "a long, b long")
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, size: int = 3, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(id, fp, and the columns of keep) of every row of docs, and (fp, first, component) of every fingerprint.
+
+    first is the smallest id of the fingerprint, component the smallest fingerprint of its group, which is never null.
+    Both are written tables.
+    """
+    shared_dir(docs.sparkSession)
+    prints = stored(with_fingerprints(docs, id_col, text_col, size, keep), "fingerprints")
+    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    groups = components(link_fingerprints(distinct, max_bits)).withColumnRenamed("vertex", "fp")
+    return prints, stored(distinct.join(groups, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "groups")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, size: int = 3) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of docs.
 
@@ -197,11 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are returned as often as they occur. A null id is ignored when the smallest id of a component is taken; a component
     of null ids alone has a null component_id. An empty table gives an empty one. Other columns are not used.
     """
-    shared_dir(docs.sparkSession)
-    prints = stored(with_fingerprints(docs, id_col, text_col, size), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    groups = components(link_fingerprints(distinct, max_bits)).withColumnRenamed("vertex", "fp")
-    groups = stored(distinct.join(groups, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "groups")
+    prints, groups = grouped(docs, id_col, text_col, max_bits, size)
     least = groups.groupBy("component").agg(F.min("first").alias("component_id"))
     named = stored(groups.join(least, "component").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

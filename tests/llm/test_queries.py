@@ -63,3 +63,17 @@ def test_pipeline_stage_by_stage(spark):
         else:
             assert set(after) == set(before)
     assert corpus_pipeline.run(spark, FOLDER).count() == kept.count()
+
+
+def test_near_duplicates_go_by_row(spark):
+    words = [f"{w}{i}" for i in range(40) for w in ("alpha", "beta")]
+    same, other, third, fourth, null = (" ".join(f"{w}{k}" for w in words) for k in "abcde")
+    rows = [(1, same), (1, same), (None, null), (None, null), (None, null), (2, other), (3, other), (3, third), (None, fourth), (9, fourth)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    kept = corpus_pipeline.stored(kept, "kept")
+    want = [(1, same), (2, other), (3, third), (9, fourth), (None, null)]
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted(want, key=repr)
+    cut = corpus_pipeline.cut_repeats(spark, kept, FOLDER).collect()
+    assert sorted([(r.doc_id, r.text) for r in cut], key=repr) == sorted(want, key=repr)
