@@ -10,6 +10,7 @@ handles a few numbers a block, and a file's blocks are as many as one writing ta
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, stored
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters given to the tokenizer at once; a longer run without a space is cut there.
+#: Characters given to the tokenizer at once; a longer stretch that the pattern matches as one is given whole.
 PIECE = 100_000
 
 _encodings: dict = {}
@@ -88,14 +89,28 @@ def write_token_files(docs: DataFrame, ranks: str, eod: int, id_col: str = "doc_
     return written.select("file", "block", "tokens"), named
 
 
+def _splits(text: str, i: int) -> bool:
+    """Whether the pattern ends a match before i and matches both sides alone as it does together.
+
+    So it does where white space begins, and between letters, digits and signs; but an apostrophe may take letters on.
+    """
+    a, b = text[i - 1], text[i]
+    if a.isspace() or b.isspace():
+        return b in " \t\n\r" and not a.isspace()
+    kinds = [unicodedata.category(c) for c in (a, b)]
+    if "Cn" in kinds:  # the tokenizer's tables may be newer and know it as a letter
+        return False
+    before, behind = (k[0] if k[0] in "LN" else "" for k in kinds)
+    return before != behind and not (a == "'" and behind == "L")
+
+
 def _parts(text: str) -> Iterator[str]:
-    """Parts of a text to tokenize alone: cut before a space after a letter, where the pattern cuts too."""
+    """Parts of a text to tokenize alone, cut where the pattern splits too; a stretch without such a place is whole."""
     start = 0
     while len(text) - start > PIECE:
-        cut = text.rfind(" ", start + 1, start + PIECE)
-        while cut > start and not text[cut - 1].isalpha():
-            cut = text.rfind(" ", start + 1, cut)
-        cut = cut if cut > start and text[cut + 1 : cut + 2].isalpha() else start + PIECE
+        limit = start + PIECE
+        cut = next((i for i in range(limit, start, -1) if _splits(text, i)), None)
+        cut = cut or next((i for i in range(limit + 1, len(text)) if _splits(text, i)), len(text))
         yield text[start:cut]
         start = cut
     yield text[start:]

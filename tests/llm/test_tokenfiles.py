@@ -22,6 +22,21 @@ def test_counts_are_those_of_the_texts(spark, block):
     assert T.token_counts(table.limit(0), RANKS, 50256).count() == 0
 
 
+def test_long_texts_are_cut_where_the_pattern_splits(spark, monkeypatch):
+    rng = random.Random(4)
+    own = tiktoken.Encoding("t", pat_str=T.PATTERN, mergeable_ranks=T.load_ranks(RANKS), special_tokens={})
+    pages = "".join(rng.choice(["page 12", ' said "no', "\n\n", "  (x)", "it's", " 3.5", "\u3000", "x1"]) for _ in range(60_000))
+    han = "".join(rng.choice("一二三四字。，") for _ in range(120_000))
+    texts = ["1234567 8901 " * 12_000, pages, han, "ab12'" * 30_000, "字" * 110_000, "page 12" + "y" * 120_000 + " 12", "\n" * 120_000 + "x"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in T.token_counts(table, RANKS, 50256).collect()} == {i: len(own.encode_ordinary(t)) for i, t in enumerate(texts)}
+    monkeypatch.setattr(T, "PIECE", 3)
+    signs = ["a", "B", "é", "字", "1", "²", "'", "'s", "'ll", "!", "。", " ", "  ", "\n", "\u3000", "\x1c", "\u0301"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 25)))
+        assert [t for p in T._parts(text) for t in own.encode_ordinary(p)] == own.encode_ordinary(text), text
+
+
 def test_scan_of_any_blocks(spark):
     import numpy as np
 
