@@ -1,15 +1,17 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and its lossless decoding.
 
-Merges are taken from an agenda by score, then from the left; with dropout each candidate is skipped if a keyed hash of
-its place and its unit falls under the rate, so that the same seed always gives the same segmentation, on any machine
-and after any retry. A unit is a run of spaces with the text up to the next space or line end, or between a letter and a
-sign that no piece of the vocabulary joins: no piece reaches across, so units are encoded apart and remembered. Each text has one of a few variants of the
-dropout, chosen by a keyed hash of the text.
+Merges are taken from an agenda by score, then from the left; with dropout each candidate of a text is skipped with the
+same chance, apart from all others: how many are kept up to the next skipped one is drawn from a keyed hash of the text
+and the number of the draw, so that the same seed always gives the same segmentation, on any machine and after any retry. A unit is a run of spaces with the text up to the next space or line end, or between a letter and a
+sign that no piece of the vocabulary joins: no piece reaches across, so units are encoded apart and remembered by
+the candidates skipped; every occurrence of a unit has draws of its own.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 import re
 import string
 from array import array
@@ -27,11 +29,13 @@ from .common import batches_of, with_columns
 SPACE = "▁"
 #: Letters for cutting units; raised figures, which some pieces join with signs, are none.
 LETTER = r"[^\W\d_²³¹]"
-#: Units remembered by a worker before its cache starts anew.
+#: Units, with the candidates skipped in them, remembered by a worker before its cache starts anew.
 CACHE = 800_000
 #: Characters up to which a unit is merged in plain lists; beyond them an agenda of pairs pays off.
 SHORT = 48
 NONE = float("-inf")
+#: Candidates kept without dropout.
+NEVER = float("inf")
 
 
 @dataclass(frozen=True)
@@ -78,51 +82,66 @@ class Vocabulary:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.0, seed: int = 0, variants: int = 4):
-        if not 0 <= dropout <= 1 or variants < 1:
-            raise ValueError("dropout must be from 0 to 1, and variants at least 1")
-        self.vocabulary, self.limit, self.seed, self.variants = vocabulary, int(dropout * 2**64), seed, variants if dropout else 1
-        self.known: list[dict[str, array]] = [{} for _ in range(self.variants)]
+    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.0, seed: int = 0):
+        if not 0 <= dropout <= 1:
+            raise ValueError("dropout must be from 0 to 1")
+        self.vocabulary, self.dropout, self.seed = vocabulary, dropout, seed
+        self.log = math.log1p(-dropout) if 0 < dropout < 1 else 0.0
+        self.known: dict[str | tuple[str, int], tuple[int, array]] = {}
         self.bytes, self.cut = vocabulary.table(), vocabulary.units()
         self.scores = {p: score for p, (score, _) in vocabulary.pieces.items()}
-        self.places: dict[int, bytes] = {}
 
-    def variant(self, text: str) -> int:
-        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed) % self.variants if self.variants > 1 else 0
+    def gaps(self, text: str) -> Iterator[int | float]:
+        """Candidates kept before each skipped one, in the order in which the text's candidates come up."""
+        if not self.dropout:
+            yield NEVER
+        key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
+        log, scale, draw, least = math.log, self.log, xxhash.xxh64_intdigest, 2.0**-65
+        for i in itertools.count():
+            yield int(log(draw(i.to_bytes(8, "little"), key) * 2.0**-64 + least) / scale) if scale else 0
 
     def encode(self, text: str, into: array | None = None) -> array:
         """The ids of text, at the end of into; an empty text has none."""
         out = array("i") if into is None else into
         if not text:
             return out
-        variant = self.variant(text)
-        known = self.known[variant]
-        if len(known) > CACHE // self.variants:
+        known = self.known
+        if len(known) > CACHE:
             known.clear()
+        gaps = self.gaps(text)
+        gap = next(gaps)
         # a space sign that the text has itself is spelled in bytes, else it would come back as a space
         for i, part in enumerate(text.split(SPACE)):
             if i:
                 out.extend(self.vocabulary.byte_ids[b] for b in SPACE.encode())
             for unit in self.cut.findall((SPACE + part if not i else part).replace(" ", SPACE)):
-                ids = known.get(unit)
-                if ids is None:
-                    ids = known[unit] = self.merge(unit, variant)
+                if self.dropout and len(unit) > SHORT:
+                    # no more candidates than three a character come up: one for each pair, two for each merge
+                    n, skipped = 3 * len(unit), bytearray(3 * len(unit) // 8 + 1)
+                    while gap < n:
+                        skipped[gap >> 3] |= 1 << (gap & 7)
+                        gap += 1 + next(gaps)
+                    ids = self.merge(unit, int.from_bytes(skipped, "little"))[1]
+                else:
+                    found = known.get(unit)
+                    if found is None:
+                        found = known[unit] = self.merge(unit, 0)
+                    n, ids = found
+                    skips = 0
+                    while gap < n:
+                        skips |= 1 << gap
+                        gap += 1 + next(gaps)
+                        found = known.get((unit, skips))
+                        if found is None:
+                            found = known[unit, skips] = self.merge(unit, skips)
+                        n, ids = found
+                gap -= n
                 out.extend(ids)
         return out
 
-    def skipped(self, key: int, left: int, size: int) -> bool:
-        """Whether the merge of size characters from left is dropped in the unit of key."""
-        place = left << 32 | size
-        data = self.places.get(place)
-        if data is None:
-            data = place.to_bytes(8, "little")
-            if len(self.places) < CACHE:
-                self.places[place] = data
-        return xxhash.xxh64_intdigest(data, key) < self.limit
-
-    def merge(self, unit: str, variant: int) -> array:
-        key = xxhash.xxh64_intdigest(f"{variant}:{unit}".encode("utf-8", "surrogatepass"), self.seed) if self.limit else 0
-        symbols = self._short(unit, key) if len(unit) <= SHORT else self._long(unit, key)
+    def merge(self, unit: str, skips: int) -> tuple[int, array]:
+        """How many candidates came up, and the ids; those whose bit in skips is set (by their order) are skipped."""
+        symbols, n = self._short(unit, skips) if len(unit) <= SHORT else self._long(unit, skips)
         pieces, out = self.vocabulary.pieces, array("i")
         for s in symbols:
             found = pieces.get(s)
@@ -130,34 +149,35 @@ class Encoder:
                 out.append(found[1])
             else:
                 out.extend(self.vocabulary.byte_ids[b] for b in s.encode("utf-8", "surrogatepass"))
-        return out
+        return n, out
 
-    def _short(self, unit: str, key: int) -> list[str]:
+    def _short(self, unit: str, skips: int) -> tuple[list[str], int]:
         """The agenda as a list beside the symbols: the best pair is its maximum, the first of equals."""
-        get, limit = self.scores.get, self.limit
+        get, n = self.scores.get, 0
         symbols = list(unit)
         agenda = [get(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
-        left = list(range(len(symbols)))
         while agenda:
             best = max(agenda)
             if best == NONE:
                 break
             i = agenda.index(best)
-            both = symbols[i] + symbols[i + 1]
-            if limit and self.skipped(key, left[i], len(both)):
+            n += 1
+            if skips >> n - 1 & 1:
                 agenda[i] = NONE
                 continue
+            both = symbols[i] + symbols[i + 1]
             symbols[i] = both
-            del symbols[i + 1], left[i + 1], agenda[i]
+            del symbols[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = get(both + symbols[i + 1], NONE)
             if i:
                 agenda[i - 1] = get(symbols[i - 1] + both, NONE)
-        return symbols
+        return symbols, n
 
-    def _long(self, unit: str, key: int) -> list[str]:
+    def _long(self, unit: str, skips: int) -> tuple[list[str], int]:
         """The agenda as a heap: pairs by falling score, then from the left; void once either side has changed."""
-        get, limit = self.scores.get, self.limit
+        get, tried = self.scores.get, 0
+        skipped = skips.to_bytes(3 * len(unit) // 8 + 1, "little")
         symbols = list(unit)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -176,7 +196,8 @@ class Encoder:
             _, left, right, both = heapq.heappop(agenda)
             if not symbols[left] or not symbols[right] or after[left] != right or symbols[left] + symbols[right] != both:
                 continue
-            if limit and self.skipped(key, left, len(both)):
+            tried += 1
+            if skipped[tried - 1 >> 3] >> (tried - 1 & 7) & 1:
                 continue
             symbols[left], symbols[right] = both, ""
             after[left] = after[right]
@@ -184,7 +205,7 @@ class Encoder:
                 before[after[right]] = left
             offer(before[left], left)
             offer(left, after[left])
-        return [s for s in symbols if s]
+        return [s for s in symbols if s], tried
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; the space set before every text is taken off."""
@@ -194,16 +215,16 @@ class Encoder:
 _encoders: dict = {}
 
 
-def _encoder(sent, dropout: float, seed: int, variants: int) -> Encoder:
+def _encoder(sent, dropout: float, seed: int) -> Encoder:
     """One encoder for a worker process, so that later tasks find its cache."""
-    key = (len(sent.value.pieces), hash(sent.value.byte_ids), dropout, seed, variants)
+    key = (len(sent.value.pieces), hash(sent.value.byte_ids), dropout, seed)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(sent.value, dropout, seed, variants)
+        _encoders[key] = Encoder(sent.value, dropout, seed)
     return _encoders[key]
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", dropout: float = 0.1, seed: int = 10, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model: str, text_col: str = "text", dropout: float = 0.1, seed: int = 10) -> DataFrame:
     """docs with piece_ids array<int>, n_pieces long and lossless boolean (decoding gives the text back).
 
     A null text has null in all three; an empty text has no pieces. Equal texts get equal pieces. Whole texts are
@@ -218,7 +239,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", dropout: float =
     kept = schema.names[:-3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(sent, dropout, seed, variants)
+        own = _encoder(sent, dropout, seed)
         for batch in batches:
             flat, ends, right = array("i"), [0], []
             for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
@@ -241,7 +262,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFrame
     sent = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def compute(ids: list) -> list[list]:
-        own = _encoder(sent, 0.0, 0, 1)
+        own = _encoder(sent, 0.0, 0)
         return [[None if x is None else own.decode(x) for x in ids]]
 
     return append_columns(rows, ids_col, [T.StructField("decoded", T.StringType())], compute)

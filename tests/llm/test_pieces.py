@@ -42,6 +42,22 @@ def test_dropout_varies_by_seed_alone():
         P.Encoder(VOCABULARY, 1.5)
 
 
+def test_dropout_varies_by_text_and_occurrence():
+    some = P.Encoder(VOCABULARY, 0.1, 3)
+    word = " international"
+    runs = [tuple(some.encode(word * 400)), *(tuple(some.encode(f"{i}{word}")) for i in range(400))]
+    assert len(set(runs)) == 401
+    forms = {tuple(some.encode(f"{i}{word}"))[len(some.encode(str(i))) :] for i in range(400)}
+    assert len(forms) > 8
+    # a pair that one merge joins stays apart in one of ten places
+    n = 40_000
+    pair = next(p for p, _ in sorted(VOCABULARY.pieces.items()) if len(p) == 2 and p[0] == P.SPACE and p[1].isalpha())
+    ids = P.Encoder(VOCABULARY, 0.1, 3).encode(" ".join([pair[1]] * n))
+    assert abs((len(ids) - n) / n - 0.1) < 0.01
+    long = "international" * 30
+    assert DROPPED.decode(DROPPED.encode(long)) == long and len({tuple(DROPPED.encode(long + "\n" + x)[:50]) for x in "abcd"}) == 4
+
+
 def test_table(spark):
     long = "wordy text " * 40_000 + "x" * 30_000
     rows = [(1, "Hello  world\n"), (2, None), (3, ""), (None, "a▁b"), (1, "Hello  world\n"), (4, long)]
