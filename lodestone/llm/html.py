@@ -1,12 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned with an exemplar of that host by simple tree matching. A slot (a run of text in a block)
-that reads the same on most aligned pages is template; slots that vary are content. Containers that by their element,
-role, class or id are menus, headers, footers, sidebars, notices, adverts, forms or comments are left out in any case,
-and where a page marks its article or main part, only that is searched.
-
-All pages of a host vote, by counts that are summed before the shuffle; the exemplar alone stands for the host, so a
-host may hold any share of the pages. Inline elements belong to the text of their block.
+The pages of one host and layout are aligned with an exemplar by simple tree matching. A slot (a run of text in a block)
+that reads the same on most aligned pages is template. Text that varies tells where the article stands: from the root
+the wrapper goes down to the block that holds most of the varying text outside links, as long as no paragraph or heading
+of varying text is left beside it. A page's main text is the slots in its block that matches this one, without the
+template and without parts that by element, role, class or id are forms, asides, comments and the like.
+
+Where a host has too few pages of a layout, or no block holds most of the text, a page's own marks decide: its article
+or main part if it has one. All pages vote, by counts that are summed before the shuffle, and each is aligned with one
+exemplar, so that a host may hold any share of the pages. Inline elements belong to the text of their block.
 """
 
 from __future__ import annotations
@@ -38,19 +40,27 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice newsletter subscribe subscription signup popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead comment comments disqus respond share sharing social related recommended widget toolbar login".split())
 SPACES = re.compile(r"\s+")
 CUTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
-#: Pages that must be aligned with a slot before it can be template: elsewhere and in a marked article; share alike.
+#: Pages that must be aligned with a slot before it can be template, and the share of them that reads alike: elsewhere,
+#: and in the block of the article.
 LEAST, LEAST_INSIDE = (3, 0.5), (8, 0.8)
+#: Pages needed before a layout tells where the article stands, and the share of the varying text it must hold.
+LEAST_PAGES, MOST = 3, 0.6
+#: Depth of blocks that make the layout of a page.
+LAYOUT = 3
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 
 class Page:
     """Blocks of a page in order: label, parent, children, and the text runs (slots) with the block they stand in."""
 
-    __slots__ = ("labels", "parents", "children", "outside", "inside", "slots", "signatures", "sizes")
+    __slots__ = ("labels", "parents", "children", "outside", "inside", "slots", "links", "signatures", "sizes")
 
     def __init__(self, source: str):
         self.labels, self.parents, self.children = ["#"], [-1], [[]]
         self.outside, self.inside = [False], [False]
         self.slots: list[tuple[int, int, str]] = []
+        #: Characters of each slot that stand in links.
+        self.links: list[int] = []
         self._read(source)
 
     def _open(self, parent: int, label: str, outside: bool, inside: bool) -> int:
@@ -67,12 +77,16 @@ class Page:
         stack: list[tuple[str, int]] = [("#", 0)]
         text: list[str] = []
         runs: dict[int, int] = {}
+        linked, in_link = 0, False
 
         def flush() -> None:
+            nonlocal linked
             if text:
                 whole = SPACES.sub(" ", entities.unescape("".join(text))).strip()
                 text.clear()
+                linked, in_links = 0, linked
                 if whole:
+                    self.links.append(min(len(whole), in_links))
                     block = stack[-1][1]
                     runs[block] = run = runs.get(block, -1) + 1
                     self.slots.append((block, run, whole))
@@ -92,9 +106,11 @@ class Page:
             found = TOKEN.search(source, at)
             if not found:
                 text.append(source[at:])
+                linked += in_link * (n - at)
                 break
             if found.start() > at:
                 text.append(source[at : found.start()])
+                linked += in_link * (found.start() - at)
             at = found.end()
             name = (found[2] or found[5] or "").lower()
             if not name:
@@ -112,6 +128,8 @@ class Page:
             if name in INLINE:
                 if name in ("br", "img"):
                     text.append(" ")
+                elif name == "a":
+                    in_link = not closing
                 continue
             if closing:
                 close((name,), () if name not in ("p", "li") else ("td", "th", "article", "body"))
@@ -149,6 +167,17 @@ class Page:
                     label = words[0]
         return tuple(marks), label, outside
 
+    def layout(self) -> bytes:
+        """The kinds of blocks near the root that hold other blocks, as a digest."""
+        paths, deep = {0: ("",)}, set()
+        for i in range(1, len(self.labels)):
+            above = paths.get(self.parents[i])
+            if above and len(above) <= LAYOUT:
+                paths[i] = (*above, self.labels[i])
+                if self.children[i]:
+                    deep.add(paths[i])
+        return _digest(repr(sorted(deep)))
+
     def prepare(self) -> None:
         """Numbers for equal subtrees, and their sizes."""
         n = len(self.labels)
@@ -166,27 +195,50 @@ def _signature(key: tuple) -> int:
     return _signatures.setdefault(key, len(_signatures))
 
 
+def _trimmed(a: Page, xs: list[int], b: Page, ys: list[int]) -> tuple[int, int]:
+    """How many subtrees at the begin and at the end of two rows are equal."""
+    lo, hi, n, m = 0, 0, len(xs), len(ys)
+    while lo < n and lo < m and a.signatures[xs[lo]] == b.signatures[ys[lo]]:
+        lo += 1
+    while hi < n - lo and hi < m - lo and a.signatures[xs[n - 1 - hi]] == b.signatures[ys[m - 1 - hi]]:
+        hi += 1
+    return lo, hi
+
+
 def _match(a: Page, i: int, b: Page, j: int) -> int:
-    """Simple tree matching: blocks of the largest common order-keeping alignment of two subtrees with equal labels."""
-    x, y = a.signatures[i], b.signatures[j]
-    if x == y:
+    """Simple tree matching: blocks of the largest common order-keeping alignment of two subtrees with equal labels.
+
+    Depth first with a stack of its own, since pages may be nested deeper than calls may.
+    """
+    if a.signatures[i] == b.signatures[j]:
         return a.sizes[i]
-    found = _matches.get((x, y))
-    if found is None:
-        found = _matches[x, y] = 1 + _children(a, a.children[i], b, b.children[j], None)
-    return found
+    stack = [(i, j)]
+    while stack:
+        x, y = stack[-1]
+        key = a.signatures[x], b.signatures[y]
+        if key in _matches:
+            stack.pop()
+            continue
+        xs, ys = a.children[x], b.children[y]
+        lo, hi = _trimmed(a, xs, b, ys)
+        labels: dict[str, list[int]] = {}
+        for v in ys[lo : len(ys) - hi]:
+            labels.setdefault(b.labels[v], []).append(v)
+        wanted = {(a.signatures[u], b.signatures[v]): (u, v) for u in xs[lo : len(xs) - hi] for v in labels.get(a.labels[u], ())}
+        missing = [pair for k, pair in wanted.items() if k[0] != k[1] and k not in _matches]
+        if missing:
+            stack += missing
+        else:
+            _matches[key] = 1 + _children(a, xs, b, ys, None)
+            stack.pop()
+    return _matches[a.signatures[i], b.signatures[j]]
 
 
 def _children(a: Page, xs: list[int], b: Page, ys: list[int], pairs: list | None) -> int:
     """The best alignment of two rows of subtrees; equal ones at both ends need no table. pairs gets the children."""
-    total, lo, hi = 0, 0, 0
+    lo, hi = _trimmed(a, xs, b, ys)
     n, m = len(xs), len(ys)
-    while lo < n and lo < m and a.signatures[xs[lo]] == b.signatures[ys[lo]]:
-        total += a.sizes[xs[lo]]
-        lo += 1
-    while hi < n - lo and hi < m - lo and a.signatures[xs[n - 1 - hi]] == b.signatures[ys[m - 1 - hi]]:
-        total += a.sizes[xs[n - 1 - hi]]
-        hi += 1
+    total = sum(a.sizes[x] for x in (*xs[:lo], *xs[n - hi :]))
     if pairs is not None:
         pairs += [*zip(xs[:lo], ys[:lo], strict=True), *zip(xs[n - hi :], ys[m - hi :], strict=True)]
     xs, ys = xs[lo : n - hi], ys[lo : m - hi]
@@ -236,10 +288,9 @@ def _digest(text: str) -> bytes:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
 
-def skeleton(source: str) -> bytes:
+def skeleton(page: Page) -> bytes:
     """An exemplar without its texts: blocks and the digests of its slots."""
-    page = Page(source)
-    return pickle.dumps((page.labels, page.parents, page.inside, {(block, run): _digest(text) for block, run, text in page.slots}))
+    return pickle.dumps((page.labels, page.parents, {(block, run): _digest(text) for block, run, text in page.slots}))
 
 
 _skeletons: dict[bytes, tuple] = {}
@@ -251,7 +302,7 @@ def _load(data: bytes) -> tuple[Page, dict]:
         if len(_skeletons) > 2000:
             _skeletons.clear()
         page = Page("")
-        page.labels, page.parents, page.inside, slots = pickle.loads(data)
+        page.labels, page.parents, slots = pickle.loads(data)
         page.children = [[] for _ in page.labels]
         for i, p in enumerate(page.parents[1:], 1):
             page.children[p].append(i)
@@ -259,31 +310,85 @@ def _load(data: bytes) -> tuple[Page, dict]:
     return found
 
 
-def extract(source: str | None, wrapper: bytes | None = None, constant: frozenset | set = frozenset()) -> str:
-    """Main text of a page; constant holds the slots (block, run) of the wrapper that are template."""
+def extract(source: str | None, wrappers: dict[bytes, tuple[bytes, frozenset | set, int]] | None = None, marks: bool = True) -> tuple[str, int]:
+    """(main text of a page, how many of its slots the wrapper of its layout leaves out).
+
+    wrappers holds for each layout the exemplar, its slots (block, run) that are template, and its block of the article
+    or -1. Without marks elements, roles, classes and ids play no part.
+    """
     page = Page(source or "")
-    article = any(page.inside[block] and not page.outside[block] for block, _, _ in page.slots)
-    kept = [s for s in page.slots if not page.outside[s[0]] and (page.inside[s[0]] or not article)]
-    if wrapper and constant and kept:
-        exemplar, _ = _load(wrapper)
-        matched = align(exemplar, page)
-        varying = [s for s in kept if (matched.get(s[0]), s[1]) not in constant]
+    kept, dropped = page.slots, 0
+    exemplar_data, constant, region = (wrappers or {}).get(page.layout(), (b"", (), -1))
+    matched = align(_load(exemplar_data)[0], page) if exemplar_data and (constant or region >= 0) else {}
+    within = next((b for b, x in matched.items() if x == region), None) if region >= 0 else None
+    if within is not None:
+        inside = [False] * len(page.labels)
+        inside[within] = True
+        for i in range(within + 1, len(page.labels)):
+            inside[i] = inside[page.parents[i]]
+        kept = [s for s in kept if inside[s[0]]]
+    varying = [s for s in kept if (matched.get(s[0]), s[1]) not in constant] if constant else kept
+    if varying:
         # a page that is nothing but template tells no template from content
-        kept = varying or kept
-    return "\n\n".join(text for _, _, text in kept)
+        kept, dropped = varying, len(page.slots) - len(varying)
+    if marks:
+        kept = [s for s in kept if not page.outside[s[0]]]
+    if marks and within is None and any(page.inside[s[0]] for s in kept):
+        kept = [s for s in kept if page.inside[s[0]]]
+    return "\n\n".join(text for _, _, text in kept), dropped
+
+
+def article_block(exemplar: Page, votes: dict[tuple[int, int], tuple[int, int]], loose: dict[int, int], own: dict[int, int], pages: int) -> int:
+    """The exemplar's block of the article, or -1.
+
+    votes has (pages, same) of each slot; own the varying text outside links that stands in a block itself, loose that
+    in blocks of other pages below it that match none.
+    """
+    if pages < LEAST_PAGES:
+        return -1
+    mass = [own.get(i, 0) + loose.get(i, 0) for i in range(len(exemplar.labels))]
+    for i in range(len(mass) - 1, 0, -1):
+        mass[exemplar.parents[i]] += mass[i]
+    flow = {b for (b, _), (n, same) in votes.items() if exemplar.labels[b].split(".")[0] in FLOW and 2 * (n - same) >= pages}
+    at = 0
+    while not any(c in flow for c in exemplar.children[at]):
+        best = max(exemplar.children[at], key=lambda c: mass[c], default=None)
+        if best is None or mass[best] < MOST * mass[0] or mass[best] < 2 * own.get(best, 0):
+            break
+        at = best
+    return at if at and mass[at] >= MOST * mass[0] and exemplar.labels[at].split(".")[0] not in ("html", "body") else -1
+
+
+VOTE = "host string, layout binary, block int, run int, pages long, same long, own long, loose long"
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, constant): the exemplar of each host, and which of its slots are template."""
+    """(host, wrappers): for each layout of a host the exemplar, its slots that are template, and its article's block."""
     batches_of(pages.sparkSession, 500)
     hosted = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html")).where("host <> '' and html is not null")
-    first = hosted.groupBy("host").agg(F.min(F.struct(F.xxhash64("html").alias("order"), "html")).alias("one"))
 
-    def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first page of each layout in a task, by the order of digests."""
+        best: dict[tuple, tuple] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(*key, *value) for key, value in best.items()]
+            best.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), *[pa.binary()] * 3), strict=True)], names=["host", "layout", "order", "wrapper"])
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([skeleton(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["host", "wrapper"])
+            for host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page = Page(source)
+                key, order = (host, page.layout()), _digest(source)
+                if key not in best or order < best[key][0]:
+                    best[key] = order, skeleton(page)
+            if len(best) > 5_000:
+                yield out()
+        yield out()
 
-    wrappers = stored(first.select("host", "one.html").mapInArrow(skeletons, "host string, wrapper binary"), "wrappers")
+    first = hosted.mapInArrow(layouts, "host string, layout binary, order binary, wrapper binary").groupBy("host", "layout").agg(F.min(F.struct("order", "wrapper")).alias("one"))
+    wrappers = stored(first.select("host", "layout", "one.order", "one.wrapper"), "wrappers")
+    of_host = stored(wrappers.groupBy("host").agg(F.collect_list(F.struct("layout", "order", "wrapper")).alias("wrappers")), "exemplars")
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple, list[int]] = {}
@@ -291,51 +396,94 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
         def out() -> pa.RecordBatch:
             rows = [(*key, *n) for key, n in counts.items()]
             counts.clear()
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["host", "block", "run", "inside", "pages", "same"])
+            kinds = (pa.string(), pa.binary(), pa.int32(), pa.int32(), *[pa.int64()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names=["host", "layout", "block", "run", "pages", "same", "own", "loose"])
 
         for batch in batches:
-            for host, source, wrapper in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("host", "html", "wrapper")), strict=True):
-                exemplar, slots = _load(wrapper)
+            for host, source, known in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("host", "html", "wrappers")), strict=True):
                 page = Page(source)
-                matched = align(exemplar, page)
-                met = [((matched[b], run), slots[matched[b], run] == _digest(text)) for b, run, text in page.slots if b in matched and (matched[b], run) in slots]
-                if all(same for _, same in met):
+                layout = page.layout()
+                wrapper, order = next((w["wrapper"], w["order"]) for w in known if w["layout"] == layout)
+                if order == _digest(source):
                     continue  # the exemplar itself or a copy of it: no evidence
-                for (block, run), same in met:
-                    n = counts.setdefault((host, block, run, exemplar.inside[block]), [0, 0])
-                    n[0] += 1
-                    n[1] += same
+                exemplar, slots = _load(wrapper)
+                matched = align(exemplar, page)
+                counts.setdefault((host, layout, 0, -1), [0] * 4)[0] += 1
+                for (block, run, text), links in zip(page.slots, page.links, strict=True):
+                    x = matched.get(block)
+                    same = False
+                    if x is not None and (x, run) in slots:
+                        same = slots[x, run] == _digest(text)
+                        n = counts.setdefault((host, layout, x, run), [0] * 4)
+                        n[0] += 1
+                        n[1] += same
+                    if not same and links < len(text):
+                        direct = x is not None
+                        while x is None:
+                            block = page.parents[block]
+                            x = matched.get(block)
+                        counts.setdefault((host, layout, x, -1), [0] * 4)[2 if direct else 3] += len(text) - links
             if len(counts) > 50_000:
                 yield out()
         yield out()
 
-    met = joined(hosted, wrappers, ["host"], "inner", 64 + F.octet_length("wrapper"))
-    voted = met.mapInArrow(votes, "host string, block int, run int, inside boolean, pages long, same long").groupBy("host", "block", "run", "inside").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    least = F.when(F.col("inside"), LEAST_INSIDE[0]).otherwise(LEAST[0])
-    share = F.when(F.col("inside"), LEAST_INSIDE[1]).otherwise(LEAST[1])
-    template = voted.where((F.col("pages") >= least) & (F.col("same") >= share * F.col("pages"))).groupBy("host").agg(F.collect_list(F.struct("block", "run")).alias("constant"))
-    return stored(wrappers.join(template, "host"), "templates")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("layout", pa.binary()), ("wrapper", pa.binary()), ("constant", pa.list_(pa.struct([("block", pa.int32()), ("run", pa.int32())]))), ("region", pa.int32())]))
+        for batch in batches:
+            hosts, made = batch.column(0), []
+            for rows in batch.column(1).to_pylist():
+                made.append([])
+                for w in rows:
+                    exemplar, _ = _load(w["wrapper"])
+                    seen = {(v["block"], v["run"]): (v["pages"], v["same"]) for v in w["votes"]}
+                    loose, own = ({v["block"]: v[k] for v in w["votes"] if v["run"] < 0} for k in ("loose", "own"))
+                    n = seen.get((0, -1), (0, 0))[0]
+                    slots = {k: v for k, v in seen.items() if k[1] >= 0}
+                    region = article_block(exemplar, slots, loose, own, n)
+                    inside = [i == region for i in range(len(exemplar.labels))]
+                    for i in range(1, len(inside)):
+                        inside[i] = inside[i] or inside[exemplar.parents[i]]
+                    least = {k: LEAST_INSIDE if inside[k[0]] or region < 0 and _marked(exemplar, k[0]) else LEAST for k in slots}
+                    constant = [{"block": k[0], "run": k[1]} for k, (met, same) in slots.items() if met >= least[k][0] and same >= least[k][1] * met]
+                    made[-1].append({"layout": w["layout"], "wrapper": w["wrapper"], "constant": constant, "region": region})
+            yield pa.RecordBatch.from_arrays([hosts, pa.array(made, kind)], names=["host", "wrappers"])
+
+    met = joined(hosted, of_host, ["host"], "inner", 64 + F.octet_length(F.to_json("wrappers")))
+    voted = stored(met.mapInArrow(votes, VOTE).groupBy("host", "layout", "block", "run").agg(*(F.sum(c).alias(c) for c in ("pages", "same", "own", "loose"))), "votes")
+    listed = voted.groupBy("host", "layout").agg(F.collect_list(F.struct("block", "run", "pages", "same", "own", "loose")).alias("votes"))
+    told = listed.join(wrappers.hint("shuffle_hash"), ["host", "layout"]).groupBy("host").agg(F.collect_list(F.struct("layout", "wrapper", "votes")).alias("wrappers"))
+    return stored(told.mapInArrow(decide, "host string, wrappers array<struct<layout: binary, wrapper: binary, constant: array<struct<block: int, run: int>>, region: int>>"), "templates")
+
+
+def _marked(page: Page, block: int) -> bool:
+    """Whether a block stands in an article or main part."""
+    while block > 0:
+        if page.labels[block].split(".")[0] in ("article", "main"):
+            return True
+        block = page.parents[block]
+    return False
 
 
 def _host(url_col: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages with main_text and n_main_chars (its code points).
+def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", marks: bool = True) -> DataFrame:
+    """pages with main_text, n_main_chars (its code points) and n_left_out (slots that the wrapper leaves out).
 
     A null or empty page, and one without main text, has an empty one. Pages without a host, or of a host with too few
     pages to tell a template, are judged by their structure alone. Blocks are joined in page order by an empty line,
     with character references decoded and white space within a block made one space. Repeated rows and copies get
-    equal texts. Columns named like the new ones are replaced, others pass through.
+    equal texts. Pages may be of any length and nested to any depth. Columns named like the new ones are replaced,
+    others pass through. With marks False the wrapper alone decides.
     """
-    templates = induce(pages.select(url_col, html_col), url_col, html_col).toDF("_host", "_wrapper", "_constant")
-    met = joined(pages.withColumn("_host", _host(url_col)), templates, ["_host"], "left", 96 + F.octet_length("_wrapper") + 8 * F.size("_constant"))
-    packed = met.withColumn("_page", F.struct(F.col(html_col).alias("html"), F.col("_wrapper").alias("wrapper"), F.col("_constant").alias("constant"))).drop("_host", "_wrapper", "_constant")
+    templates = induce(pages.select(url_col, html_col), url_col, html_col).toDF("_host", "_wrappers")
+    met = joined(pages.withColumn("_host", _host(url_col)), templates, ["_host"], "left", 96 + F.octet_length(F.to_json("_wrappers")))
+    packed = met.withColumn("_page", F.struct(F.col(html_col).alias("html"), F.col("_wrappers").alias("wrappers"))).drop("_host", "_wrappers")
 
     def compute(rows: list) -> list[list]:
-        texts = [extract(r["html"], r["wrapper"], {(c["block"], c["run"]) for c in r["constant"] or ()}) for r in rows]
-        return [texts, [len(t) for t in texts]]
+        found = [extract(r["html"], {w["layout"]: (w["wrapper"], {(c["block"], c["run"]) for c in w["constant"]}, w["region"]) for w in r["wrappers"] or ()}, marks) for r in rows]
+        return [[t for t, _ in found], [len(t) for t, _ in found], [n for _, n in found]]
 
-    return append_columns(packed, "_page", [T.StructField("main_text", T.StringType()), T.StructField("n_main_chars", T.LongType())], compute).drop("_page")
+    new = [T.StructField("main_text", T.StringType()), T.StructField("n_main_chars", T.LongType()), T.StructField("n_left_out", T.LongType())]
+    return append_columns(packed, "_page", new, compute).drop("_page")

@@ -65,7 +65,7 @@ FROM v LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) ON v.vec_id = a JOI
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.col("n_main_chars").alias("n_chars"))
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.col("n_main_chars").alias("n_chars"), "n_left_out")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import functools
+import random
+
 from lodestone.llm import html as H
 
 
@@ -24,21 +27,77 @@ def test_structure_alone():
     <div class="cookie-notice">We use cookies</div><script>var t="</p>";</script><!-- <p>hidden</p> --><div class=ad>Buy</div>
     <article><h1>A &amp; B&nbsp;C</h1><p>One <b>two</b><br>three&#33;<p>Four
       five<ul><li>six<li>seven</ul><form><input value="x"><p>Search</p></form><aside>Side</aside><table><tr><td>a<td>b</table><div id="comments"><p>Reader</p></div></article><footer>End</footer></body></html>"""
-    assert H.extract(source) == "A & B C\n\nOne two three!\n\nFour five\n\nsix\n\nseven\n\na\n\nb"
+    assert H.extract(source)[0] == "A & B C\n\nOne two three!\n\nFour five\n\nsix\n\nseven\n\na\n\nb"
 
 
 def test_odd_markup():
-    assert H.extract("plain text &lt;x&gt;") == "plain text <x>"
-    assert H.extract('<p title="a > b">in</p> out') == "in\n\nout"
-    assert H.extract("<p>a<script>never closed <p>b") == "a"
-    assert H.extract("<p>1 < 2 and 3 > 2</p>") == "1 < 2 and 3 > 2"
-    assert H.extract("<div><p>a</div><p>b") == "a\n\nb"
-    assert H.extract("<p>" + "long " * 200_000).startswith("long long")
-    assert H.extract("<" * 5000) == "<" * 5000
-    assert H.extract("<b>" * 3000 + "x") == "x"
+    assert H.extract("plain text &lt;x&gt;")[0] == "plain text <x>"
+    assert H.extract('<p title="a > b">in</p> out')[0] == "in\n\nout"
+    assert H.extract("<p>a<script>never closed <p>b")[0] == "a"
+    assert H.extract("<p>1 < 2 and 3 > 2</p>")[0] == "1 < 2 and 3 > 2"
+    assert H.extract("<div><p>a</div><p>b")[0] == "a\n\nb"
+    assert H.extract("<p>" + "long " * 200_000)[0].startswith("long long")
+    assert H.extract("<" * 5000)[0] == "<" * 5000
+    assert H.extract("<b>" * 3000 + "x")[0] == "x"
 
 
 def test_simple_tree_matching():
     a, b = H.Page("<div><p>1</p><p>2</p></div><ul><li>x</li></ul>"), H.Page("<div><p>1</p><h2>n</h2><p>2</p></div><section></section><ul><li>x</li><li>y</li></ul>")
     matched = H.align(a, b)
     assert [(a.labels[x], b.labels[y]) for y, x in sorted(matched.items())] == [("#", "#"), ("div", "div"), ("p", "p"), ("p", "p"), ("ul", "ul"), ("li", "li")]
+
+
+def test_tree_matching_equals_plain_recursion():
+    rng = random.Random(3)
+
+    def some(depth):
+        return "".join(f"<{t}>{some(depth - 1)}</{t}>" for t in rng.choices(["div", "ul", "section"], k=rng.randrange(4))) if depth else "x"
+
+    for _ in range(150):
+        a, b = H.Page(some(4)), H.Page(some(4))
+
+        @functools.cache
+        def plain(i, j):
+            xs, ys = a.children[i], b.children[j]
+            table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+            for m, x in enumerate(xs):
+                for n, y in enumerate(ys):
+                    table[m + 1][n + 1] = max(table[m][n + 1], table[m + 1][n], table[m][n] + (plain(x, y) if a.labels[x] == b.labels[y] else 0))
+            return 1 + table[-1][-1]
+
+        matched = H.align(a, b)
+        assert len(matched) == plain(0, 0) == H._match(a, 0, b, 0)
+        assert all(a.labels[x] == b.labels[y] and (not y or matched[b.parents[y]] == a.parents[x]) for y, x in matched.items())
+        assert len(set(matched.values())) == len(matched)
+
+
+def bare(i):
+    """A page without any telling element or name: links, a notice, the article, words about it, more links, a footer."""
+    links = "".join(f"<div><a href='/{(i * 7 + k) % 50}'>Word {(i * 7 + k) % 50}</a></div>" for k in range(6))
+    body = "".join(f"<p>Paragraph {k} of story {i}, with <a href='/x'>a link</a> and rather many words in it.</p>" for k in range(1 + i % 5))
+    return f"<html><body><div><div>Site of news</div></div><div>{links}</div><div><div>Read our terms</div><div><h2>Story {i}</h2>{body}<div>All rights reserved</div></div></div><div>Issue {i}</div></body></html>"
+
+
+def test_the_wrapper_alone_decides(spark):
+    rows = [(i, f"https://bare.org/{i}", bare(i)) for i in range(14)] + [(50, "https://bare.org/", ""), (51, "https://bare.org/error", "<html><body><p>Not found</p></body></html>")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for marks in (False, True):
+        got = {r.page_id: r for r in H.main_text(table, marks=marks).collect()}
+        for i in range(14):
+            want = [f"Story {i}", *(f"Paragraph {k} of story {i}, with a link and rather many words in it." for k in range(1 + i % 5))]
+            assert got[i].main_text == "\n\n".join(want) and got[i].n_left_out == 10
+        assert (got[50].main_text, got[51].main_text) == ("", "Not found")
+
+
+def test_the_wrapper_equals_marks_on_the_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    alone = H.main_text(pages, marks=False).where("n_left_out > 0").collect()
+    assert len(alone) > 100 and all(r.main_text == H.extract(r.html)[0] for r in alone)
+
+
+def test_deep_and_long_pages(spark):
+    deep = ["<div>" * n + f"text {n}" + "</div>" * n for n in (4000, 5000, 6000, 7000)]
+    wide = ["<ul>" + "".join(f"<li><p>{i} {k}</p></li>" if (i + k) % 3 else f"<li>{k}</li>" for k in range(300)) + "</ul>" for i in range(4)]
+    rows = [(i, f"http://{'deep' if i < 4 else 'wide'}.org/{i}", x) for i, x in enumerate(deep + wide)]
+    got = {r.page_id: r.main_text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"text {n}" for n in (4000, 5000, 6000, 7000)] and all("299" in got[i] for i in range(4, 8))
