@@ -37,20 +37,54 @@ def test_against_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(base.astype(np.float32))]
     rows += [(100 + i, (base[i % 20] + 0.12 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(80)]
     rows += [(200, None), (201, []), (202, [0.0] * 16), (203, [float("nan")] + [1.0] * 15), (204, [None] + [1.0] * 15), (205, [float("inf")] + [0.0] * 15), (206, [1.0, 2.0]), (207, [2.0, 4.0]), (208, [3.0] * 17), (209, rows[0][1]), (210, rows[0][1]), (211, (3 * base[0]).astype(np.float32).tolist()), (212, [1e30] * 16), (213, [1e-30] * 16)]
-    check(spark, rows, cell_size=8, block=5, exact=True)
+    check(spark, rows, cell_size=8, block=5)
+    check(spark, rows, cell_size=20, block=7)
     check(spark, rows)
 
 
-def test_recall_of_the_default(spark):
+def test_whole_recall_at_the_threshold(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(700, 64))
+    centres[350:, 3:] *= 0.01  # in these all the difference is in three directions
     rows = [(i, v.tolist()) for i, v in enumerate(centres.astype(np.float32))]
     step = rng.normal(size=(700, 64))
+    step[350:, 3:] *= 0.01
     step *= 0.3 * np.linalg.norm(centres, axis=1)[:, None] / np.linalg.norm(step, axis=1)[:, None]
     rows += [(1000 + i, v.tolist()) for i, v in enumerate((centres + step).astype(np.float32))]
-    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cell_size=32).collect()
-    found, real = sum(r.n_links for r in got), sum(r[1] for r in brute(rows))
-    assert real > 1000 and 0.99 * real <= found <= real
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cell_size=32, block=100).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_hot_spots_and_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    spot = np.ones(16) + 0.05 * rng.normal(size=(260, 16))
+    rim = np.ones(16) + 0.25 * rng.normal(size=(120, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((spot, rim, rng.normal(size=(150, 16)))).astype(np.float32))]
+    check(spark, rows, cell_size=100, block=40)
+    check(spark, rows + rows[:50], cell_size=100, block=40)
+    check(spark, rows + [(1000 + i, v.astype(np.float32).tolist()) for i, v in enumerate(rng.normal(size=(200, 9)))], cell_size=100, block=40)
+    got = E.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_groups_are_two_blocks(spark, monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    spot = np.concatenate((np.ones((2000, 8)) + 0.02 * rng.normal(size=(2000, 8)), rng.normal(size=(2000, 8))))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(spot)], "vec_id long, embedding array<double>")
+    sizes = []
+    real = type(table.groupBy("vec_id")).applyInPandas
+
+    def spy(self, func, schema):
+        if "root" in str(schema):
+            sizes.extend(r["count"] for r in self.count().collect())
+        return real(self, func, schema)
+
+    monkeypatch.setattr(type(table.groupBy("vec_id")), "applyInPandas", spy)
+    rows = E.near_duplicates(table, cell_size=500, block=200).collect()
+    assert len(rows) == 4000 and sizes and max(sizes) <= 2 * 200 * 1.5  # blocks by hash are not quite even
+    assert isinstance(pd.Series(sizes).sum(), (int, np.integer)) and sum(sizes) < 40 * 4000
 
 
 def test_empty_and_bad(spark):
