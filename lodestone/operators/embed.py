@@ -6,8 +6,8 @@ fixed number of dimensions, which needs no model and gives equal vectors everywh
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +30,7 @@ def hash_strategy(dimension: int) -> Callable[[list[str]], list]:
         for text in batch:
             v = np.zeros(dimension, np.float32)
             for word in re.findall(r"\w+", text.lower()):
-                h = zlib.crc32(word.encode())
+                h = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
                 v[h % dimension] += 1.0 if h >> 31 else -1.0
             n = float(np.linalg.norm(v))
             out.append((v / n if n else v).tolist())

@@ -30,7 +30,8 @@ def symbols(files: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for pdf in batches:
             rows = [r for f in pdf.itertuples(index=False) if f.content is not None for r in _file_symbols(f.repo, f.path, f.language, f.content)]
-            yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names).astype({"start_line": "Int32", "end_line": "Int32"})
+            columns = {n: pd.Series([r.get(n) for r in rows], dtype="Int32" if n.endswith("_line") else object) for n in names}
+            yield pd.DataFrame(columns, columns=names)
 
     some = files.withColumn("language", paths.language(F.col("path"))).where(F.col("language").isin("python", "javascript", "typescript"))
     return some.select("repo", "path", "language", "content").mapInPandas(run, SCHEMA)
@@ -65,8 +66,11 @@ def _file_symbols(repo: str, path: str, language: str, content: str) -> list[dic
         edge(file, own, "CONTAINS_CLASS")
         return own
 
+    packages: set[str] = set()
+
     def package(name: str, line: int) -> None:
-        if not any(r.get("id") == f"package:{name}" for r in out):
+        if name not in packages:
+            packages.add(name)
             node("Package", f"package:{name}", name, line, line)
         edge(file, f"package:{name}", "IMPORTS")
 

@@ -13,7 +13,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
@@ -46,20 +46,31 @@ def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def edge_list(edges: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
-    """Edges with label and name of both ends, value (rank of the source, else 1) and ln of the weight, for a drawing."""
+def edge_list(edges: DataFrame, nodes: DataFrame, limit: int | None = None, ranks: DataFrame | None = None) -> DataFrame:
+    """Edges with label and name of both ends, value (rank of the source from ranks (id, rank), else 1) and ln of the
+    weight, for a drawing. Edges without both ends are left out; the first ones by source, target and type are taken."""
+
     def end(side: str) -> DataFrame:
         return nodes.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"), F.col("name").alias(f"{side}_name"))
 
     weight = F.col("weight") if "weight" in edges.columns else F.lit(None).cast("double")
     out = edges.select("src", "dst", "type", F.ln(weight).alias("log_weight")).join(end("src"), "src").join(end("dst"), "dst")
-    return out.orderBy("src", "dst", "type").limit(limit) if limit else out
+    out = out.orderBy("src", "dst", "type").limit(limit) if limit else out
+    value = F.lit(1.0)
+    if ranks is not None:
+        out = out.join(ranks.select(F.col("id").alias("src"), "rank"), "src", "left")
+        value = F.coalesce("rank", value)
+    return out.withColumn("value", value).drop("rank")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """(id, degree): edges that touch a node; a self loop counts once."""
-    ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"))
-    return ends.groupBy("id").agg(F.count("*").alias("degree"))
+    """(id, degree): edges that touch a node; a self loop counts once.
+
+    Both sides are counted before they are added, so that no edge is written twice.
+    """
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    into = edges.where("not (src <=> dst)").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    return out.unionByName(into).groupBy("id").agg(F.sum("n").alias("degree"))
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -106,6 +117,12 @@ def path_branch(*hops: tuple[DataFrame, str, str]) -> DataFrame:
     return out
 
 
+def asked_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """wanted (id) with the columns of files, and error where there is no such file."""
+    found = wanted.select("id").distinct().join(files.withColumn("_there", F.lit(True)), "id", "left")
+    return found.withColumn("error", F.when(F.col("_there").isNull(), "no such file")).drop("_there")
+
+
 def explain_file(files: DataFrame, edges: DataFrame, commits: int = 5) -> DataFrame:
     """For each file its classes, functions, packages and first commits, and a sentence that counts them."""
     def around(kind: str, name: str, near: str, far: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,17 +49,50 @@ def source_graph(files: DataFrame, repo: str, url: str | None = None) -> tuple[D
     found = extract.symbols(files)
     file_nodes = extract.file_nodes(files)
     top = files.sparkSession.range(1).select(F.lit(f"repo:{repo}").alias("id"), F.lit("Repo").alias("label"), F.lit(repo).alias("name"), F.lit(url).cast("string").alias("url"))
-    symbols = found.where("kind = 'node'").select("id", "label", "name", "start_line", "end_line", "signature", "snippet", F.col("sort").alias("kind")).dropDuplicates(["id"])
+    symbols = found.where("kind = 'node'").select("id", "label", "name", "start_line", "end_line", "signature", "snippet", F.col("sort").alias("kind"))
+    symbols = merged_rows(symbols)
     has = file_nodes.select(F.lit(f"repo:{repo}").alias("src"), F.col("id").alias("dst"), F.lit("HAS_FILE").alias("type"))
     edges = found.where("kind = 'edge'").select("src", "dst", "type").unionByName(has)
     return _union([top, file_nodes, symbols]), dedupe_edges(edges)
 
 
+def merged_rows(nodes: DataFrame) -> DataFrame:
+    """One row for each id: of several the one that comes first by all its columns."""
+    rest = [c for c in nodes.columns if c != "id"]
+    return nodes.groupBy("id").agg(F.min(F.struct(*rest)).alias("x")).select("id", *(F.col(f"x.{c}").alias(c) for c in rest))
+
+
 def merged(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Graphs as one: a node of several keeps the first value of each column that is not null."""
-    nodes, edges = _union([n for n, _ in graphs]), _union([e for _, e in graphs])
-    columns = [c for c in nodes.columns if c != "id"]
-    return nodes.groupBy("id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in columns)), dedupe_edges(edges)
+    """Graphs as one: a node of several keeps the value of the earliest graph that has one, column by column.
+
+    Equal nodes of one graph that differ give the smallest value, so that the result depends on no order of tasks.
+    """
+    nodes, edges = _union([n.withColumn("_graph", F.lit(i)) for i, (n, _) in enumerate(graphs)]), _union([e for _, e in graphs])
+    columns = [c for c in nodes.columns if c not in ("id", "_graph")]
+    best = [F.min(F.when(F.col(c).isNotNull(), F.struct("_graph", F.col(c).alias("value")))).alias(c) for c in columns]
+    return nodes.groupBy("id").agg(*best).select("id", *(F.col(f"{c}.value").alias(c) for c in columns)), dedupe_edges(edges)
+
+
+def plan(was: str | None, now: str, diff: bool = True) -> str:
+    """How to bring a graph from the commit was to now: full without a known commit or a diff, none if nothing moved."""
+    if was == now:
+        return "none"
+    return "incremental" if was and diff else "full"
+
+
+def update(nodes: DataFrame, edges: DataFrame, state: DataFrame, old: DataFrame | None, new: DataFrame, repo: str, sha: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, state) of a repository brought up to sha; old are the files (repo, path, sha, content) of the
+    commit that state names, None if they can't be told."""
+    from lodestone.streaming import events
+
+    todo = plan(last_sha(state, repo), sha, old is not None)
+    if todo == "none":
+        return nodes, edges, state
+    if todo == "incremental":
+        nodes, edges = events.incremental(nodes, edges, old, new, repo, parse)
+    else:
+        nodes, edges = merged([parse(new), (nodes, edges)])
+    return nodes, edges, with_state(state, repo, sha)
 
 
 def full_ingest(files: DataFrame, commits: DataFrame, repo: str, url: str, settings: Settings = Settings(), dimension: int = 64) -> tuple[DataFrame, DataFrame]:

@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, texts, vectors
-from lodestone.operators import dml, embed, extract, graph, rag, search
+from lodestone.operators import dml, embed, graph, rag, search
 from lodestone.session import table
 from lodestone.sources import history
 from lodestone.streaming import events as webhooks
 
 from . import fixture
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from .registry import query
 
 #: The query vector and text of the searches.
 VECTOR = [((i * 37) % 64) / 64 - 0.5 for i in range(64)]
@@ -239,41 +214,73 @@ def expand_reverse(spark, d):
     return graph.expand(starts, fixture.edges(spark, d, "TOUCHED"), fixture.nodes(spark, d), "TOUCHED", reverse=True).select("start", "id", "label", "name")
 
 
+_CODE = f"""WITH {SQL_NODES},
+{SQL_EDGES},
+code AS (SELECT * FROM edges UNION ALL SELECT 'file:' || o_custkey, 'class:' || o_orderkey, 'CONTAINS_CLASS' FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 'class:' || o_orderkey, 'method:' || o_orderkey, 'HAS_METHOD' FROM orders WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT 'file:' || c_custkey, 'test:' || c_custkey, 'HAS_TEST' FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'file:' || c_custkey, 'doc:' || c_custkey, 'HAS_DOC' FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT 'file:' || o_custkey, 'package:' || l_partkey, 'IMPORTS' FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT 'pr:' || event_id, 'repo:' || user_id % 25, 'TARGETS' FROM events WHERE event_type = 'signup')
+"""
+
+
+def _lists(kind: str, name: str, near: str, far: str) -> str:
+    return f"LEFT JOIN (SELECT {near} AS id, list_sort(list(DISTINCT {far})) AS {name} FROM code WHERE type = '{kind}' GROUP BY 1) {name}_ ON {name}_.id = f.id"
+
+
 @query(
-    SQL_GRAPH
-    + """SELECT f.id, f.name, coalesce(fn, []) AS functions, list_slice(coalesce(cm, []), 1, 5) AS commits,
-  printf('%s has %d classes, %d functions, %d imports and %d commits', f.name, 0, len(coalesce(fn, [])), 0, len(coalesce(cm, []))) AS summary FROM nodes f
-  LEFT JOIN (SELECT src, list_sort(list(DISTINCT dst)) AS fn FROM edges WHERE type = 'CONTAINS_FUNCTION' GROUP BY src) a ON a.src = f.id
-  LEFT JOIN (SELECT dst, list_sort(list(DISTINCT src)) AS cm FROM edges WHERE type = 'TOUCHED' GROUP BY dst) b ON b.dst = f.id WHERE f.label = 'File'"""
+    _CODE
+    + f"""SELECT f.id, f.name, coalesce(classes, []) AS classes, coalesce(functions, []) AS functions, coalesce(packages, []) AS packages, list_slice(coalesce(commits, []), 1, 5) AS commits,
+  printf('%s has %d classes, %d functions, %d imports and %d commits', f.name, len(coalesce(classes, [])), len(coalesce(functions, [])), len(coalesce(packages, [])), len(coalesce(commits, []))) AS summary FROM nodes f
+  {_lists("CONTAINS_CLASS", "classes", "src", "dst")} {_lists("CONTAINS_FUNCTION", "functions", "src", "dst")} {_lists("IMPORTS", "packages", "src", "dst")} {_lists("TOUCHED", "commits", "dst", "src")} WHERE f.label = 'File'"""
 )
 def explain_file(spark, d):
     files = fixture.nodes(spark, d).where("label = 'File'")
-    return graph.explain_file(files, fixture.edges(spark, d, "CONTAINS_FUNCTION", "TOUCHED")).select("id", "name", "functions", "commits", "summary")
+    return graph.explain_file(files, fixture.code_edges(spark, d, "CONTAINS_CLASS", "CONTAINS_FUNCTION", "FILE_IMPORTS", "TOUCHED"))
+
+
+@query(_CODE + "SELECT 'file:99999999' AS id, 'no such file' AS error UNION ALL SELECT id, NULL FROM nodes WHERE id IN ('file:1', 'file:2')")
+def explain_missing_file(spark, d):
+    """Files asked for by id; those that are not there come back with an error."""
+    wanted = spark.createDataFrame([("file:1",), ("file:2",), ("file:99999999",)], "id string")
+    return graph.asked_files(wanted, fixture.nodes(spark, d).where("label = 'File'")).select("id", "error")
 
 
 @query(
-    """SELECT 'repo:' || n_nationkey AS id, n_name AS name, (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS files,
-  (SELECT count(DISTINCT o_orderkey) FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey) AS functions,
-  (SELECT count(DISTINCT l_partkey) FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_nationkey = n_nationkey) AS packages,
-  (SELECT count(DISTINCT event_id) FROM customer JOIN events ON user_id = c_custkey WHERE c_nationkey = n_nationkey) AS commits,
-  (SELECT count(DISTINCT s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS people FROM nation"""
+    _CODE
+    + """, f AS (SELECT src AS repo, dst AS file FROM code WHERE type = 'HAS_FILE')
+SELECT n.id, n.name, (SELECT count(DISTINCT file) FROM f WHERE repo = n.id) AS files, (SELECT count(DISTINCT dst) FROM f JOIN code ON src = file AND type = 'CONTAINS_CLASS' WHERE repo = n.id) AS classes,
+  (SELECT count(DISTINCT dst) FROM f JOIN code ON src = file AND type = 'CONTAINS_FUNCTION' WHERE repo = n.id) AS functions, (SELECT count(DISTINCT dst) FROM f JOIN code ON src = file AND type = 'HAS_TEST' WHERE repo = n.id) AS tests,
+  (SELECT count(DISTINCT dst) FROM f JOIN code ON src = file AND type = 'HAS_DOC' WHERE repo = n.id) AS docs, (SELECT count(DISTINCT dst) FROM f JOIN code ON src = file AND type = 'IMPORTS' WHERE repo = n.id) AS packages,
+  (SELECT count(DISTINCT src) FROM f JOIN code ON dst = file AND type = 'TOUCHED' WHERE repo = n.id) AS commits, (SELECT count(DISTINCT src) FROM code WHERE type = 'BELONGS_TO' AND dst = n.id) AS people,
+  (SELECT count(DISTINCT src) FROM code WHERE type = 'TARGETS' AND dst = n.id) AS pull_requests FROM nodes n WHERE label = 'Repo'"""
 )
 def repo_stats(spark, d):
-    files, functions, imports, touched, people = (fixture.edges(spark, d, k) for k in ("HAS_FILE", "CONTAINS_FUNCTION", "IMPORTS", "TOUCHED", "BELONGS_TO"))
-    branches = {
-        "files": graph.path_branch((files, "src", "dst")),
-        "functions": graph.path_branch((files, "src", "dst"), (functions, "src", "dst")),
-        "packages": graph.path_branch((files, "src", "dst"), (functions, "src", "dst"), (imports, "src", "dst")),
-        "commits": graph.path_branch((files, "src", "dst"), (touched, "dst", "src")),
-        "people": graph.path_branch((people, "dst", "src")),
-    }
-    return graph.statistics(fixture.nodes(spark, d).where("label = 'Repo'").select("id", "name"), branches)
-
-
-@query(SQL_GRAPH + "SELECT e.src, e.dst, e.type, CAST(NULL AS DOUBLE) AS log_weight, a.label AS src_label, a.name AS src_name, b.label AS dst_label, b.name AS dst_name FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst ORDER BY e.src, e.dst, e.type LIMIT 5000")
+    """Each branch is walked on the tables' own numbers; identifiers are made for the few rows of the result."""
+
+    def edges(kind: str, near: str, far: str):
+        return (fixture.code_keys(spark, d, kind), near, far)
+
+    files = edges("HAS_FILE", "src", "dst")
+    branches = {"files": graph.path_branch(files)}
+    for name, kind, near, far in (("classes", "CONTAINS_CLASS", "src", "dst"), ("functions", "CONTAINS_FUNCTION", "src", "dst"), ("tests", "HAS_TEST", "src", "dst"), ("docs", "HAS_DOC", "src", "dst"), ("packages", "FILE_IMPORTS", "src", "dst"), ("commits", "TOUCHED", "dst", "src")):
+        branches[name] = graph.path_branch(files, edges(kind, near, far))
+    branches["people"] = graph.path_branch(edges("BELONGS_TO", "dst", "src"))
+    branches["pull_requests"] = graph.path_branch(edges("TARGETS", "dst", "src"))
+    repos = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    return graph.statistics(repos, branches).withColumn("id", F.concat(F.lit("repo:"), F.col("id").cast("string")))
+
+
+@query(
+    SQL_GRAPH
+    + """, w AS (SELECT src, dst, type, 1 + length(dst)::DOUBLE AS weight FROM edges), deg AS (SELECT src AS id, count(*)::DOUBLE AS rank FROM edges GROUP BY src)
+SELECT e.src, e.dst, e.type, round(ln(weight), 9) AS log_weight, a.label AS src_label, a.name AS src_name, b.label AS dst_label, b.name AS dst_name, coalesce(rank, 1.0) AS value
+  FROM w e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst LEFT JOIN deg ON deg.id = e.src ORDER BY e.src, e.dst, e.type LIMIT 5000"""
+)
 def edge_list(spark, d):
     """The 5000 edges of a drawing: the limit is the feature."""
-    return graph.edge_list(fixture.edges(spark, d), fixture.nodes(spark, d), 5000)
+    e = fixture.edges(spark, d)
+    ranks = e.groupBy(F.col("src").alias("id")).agg(F.count("*").cast("double").alias("rank"))
+    weighted = e.withColumn("weight", (1 + F.length("dst")).cast("double"))
+    return graph.edge_list(weighted, fixture.nodes(spark, d), 5000, ranks).withColumn("log_weight", F.round("log_weight", 9))
 
 
 @query(SQL_GRAPH + "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges WHERE src <> dst) GROUP BY id")
@@ -302,14 +309,14 @@ def edges_with_endpoints(spark, d):
     return n.groupBy("label").agg(F.count("*").alias("n")).crossJoin(F.broadcast(kept))  # one row
 
 
-_REACH = """WITH RECURSIVE e AS (SELECT 'repo:' || n_nationkey AS a, 'region:' || n_regionkey AS b FROM nation UNION SELECT 'person:' || s_suppkey, 'repo:' || s_nationkey FROM supplier WHERE s_nationkey <> 0 UNION SELECT 'repo:' || c_nationkey, 'file:' || c_custkey FROM customer),
+_REACH = """WITH RECURSIVE e AS (SELECT 'repo:' || n_nationkey AS a, 'region:' || n_regionkey AS b FROM nation UNION SELECT 'person:' || s_suppkey, 'repo:' || s_nationkey FROM supplier WHERE s_nationkey <> 0 UNION SELECT 'file:' || o_custkey, 'function:' || o_orderkey FROM orders UNION SELECT 'function:' || l_orderkey, 'package:' || l_partkey FROM lineitem UNION SELECT 'commit:' || event_id, 'file:' || user_id FROM events UNION SELECT 'repo:' || c_nationkey, 'file:' || c_custkey FROM customer),
 b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id) AS (SELECT 'region:1' UNION SELECT b.b FROM r JOIN b ON b.a = r.id)
 """
 
 
 def _reach(spark, d):
     people = fixture.edges(spark, d, "BELONGS_TO").where("dst <> 'repo:0'")
-    e = fixture.edges(spark, d, "PART_OF", "HAS_FILE").unionByName(people)
+    e = fixture.edges(spark, d, "PART_OF", "HAS_FILE", "CONTAINS_FUNCTION", "DEFINED_IN", "IMPORTS", "TOUCHED").unionByName(people)
     return e, graph.reachable(e, spark.createDataFrame([("region:1",)], "id string"))
 
 
@@ -325,18 +332,30 @@ def clear_repo(spark, d):
 
 
 @query(
-    SQL_GRAPH
-    + """, doomed AS (SELECT id FROM nodes WHERE id IN ('file:1', 'file:7') UNION SELECT dst FROM edges WHERE type = 'CONTAINS_FUNCTION' AND src IN ('file:1', 'file:7'))
-SELECT src, dst, type FROM edges WHERE type IN ('CONTAINS_FUNCTION', 'IMPORTS') AND src NOT IN (SELECT id FROM doomed) AND dst NOT IN (SELECT id FROM doomed)"""
+    _CODE
+    + """, own AS (SELECT dst AS id FROM code WHERE type IN ('CONTAINS_CLASS', 'CONTAINS_FUNCTION', 'HAS_TEST', 'HAS_DOC') AND src IN ('file:1', 'file:7', 'file:6')),
+doomed AS (SELECT unnest(['file:1', 'file:7', 'file:6']) AS id UNION SELECT id FROM own UNION SELECT dst FROM code JOIN own ON src = own.id AND type = 'HAS_METHOD')
+SELECT src, dst, type FROM code ANTI JOIN doomed a ON src = a.id ANTI JOIN doomed b ON dst = b.id"""
 )
 def delete_file_cascade(spark, d):
-    n, e = fixture.nodes(spark, d), fixture.edges(spark, d, "CONTAINS_FUNCTION", "IMPORTS")
-    return dml.delete_files(n, e, n.where("id in ('file:1', 'file:7')"))[1]
+    n = fixture.nodes(spark, d)
+    return dml.delete_files(n, fixture.code_edges(spark, d), n.where("id in ('file:1', 'file:7', 'file:6')"))[1]
 
 
-@query(None)
+def _pagerank_sql(rounds: int) -> str:
+    """Power iteration with one step a round."""
+    steps = ["r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS rank FROM ids)"]
+    for i in range(1, rounds + 1):
+        steps.append(
+            f"""r{i} AS (SELECT ids.id, (0.15::DOUBLE + 0.85::DOUBLE * (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM l))) / (SELECT count(*) FROM ids) + 0.85::DOUBLE * coalesce(got, 0) AS rank
+  FROM ids LEFT JOIN (SELECT dst, sum(rank / n) AS got FROM l JOIN r{i - 1} p ON p.id = src JOIN outs USING (src) GROUP BY dst) g ON g.dst = ids.id)"""
+        )
+    return f"WITH {SQL_NODES},\n{SQL_EDGES},\nl AS (SELECT DISTINCT src, dst FROM edges), ids AS (SELECT src AS id FROM l UNION SELECT dst FROM l), outs AS (SELECT src, count(*) AS n FROM l GROUP BY src),\n" + ",\n".join(steps) + f"\nSELECT id, round(rank, 12) AS rank FROM r{rounds}"
+
+
+@query(_pagerank_sql(5))
 def pagerank(spark, d):
-    return graph.pagerank(fixture.edges(spark, d, "PART_OF", "HAS_FILE", "BELONGS_TO"), 5)
+    return graph.pagerank(fixture.edges(spark, d), 5).withColumn("rank", F.round("rank", 12))
 
 
 # changes
@@ -504,9 +523,9 @@ def html_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("link"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, CAST(len(regexp_extract_all(html, '<!--[^>]*-->')) AS INT) AS comments FROM pages")
+@query("SELECT page_id, regexp_extract_all(html, '<h[1-6]>([^<]*)</h[1-6]>', 1) AS headings, CAST(len(regexp_extract_all(html, '<!--[^>]*-->')) AS INT) AS comments FROM pages")
 def html_headings(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"), F.size(F.regexp_extract_all("html", F.lit("<!--[^>]*-->"), F.lit(0))).alias("comments"))
+    return table(spark, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit("<h[1-6]>([^<]*)</h[1-6]>"), F.lit(1)).alias("headings"), F.size(F.regexp_extract_all("html", F.lit("<!--[^>]*-->"), F.lit(0))).alias("comments"))
 
 
 # webhook events
@@ -548,39 +567,3 @@ def pr_content(spark, d):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
 def event_properties(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-
-
-# extraction and embedding: no SQL for these
-
-
-def _sources(spark, d, ending: str, code: str):
-    """A source file for each document, with the document's words as comment."""
-    body = F.concat(F.lit(code.split("@")[0]), F.col("doc_id").cast("string"), F.lit(code.split("@")[1]))
-    return table(spark, d, "documents").select(F.lit("r").alias("repo"), F.concat(F.lit("pkg/test_"), F.col("doc_id").cast("string"), F.lit(ending)).alias("path"), body.alias("content"))
-
-
-@query(None)
-def python_symbols(spark, d):
-    return extract.symbols(_sources(spark, d, ".py", 'import os.path\nX = 1\ndef test_@(a, b):\n    """doc"""\n    return a\nclass K:\n    def m(self):\n        pass\n# note\n'))
-
-
-@query(None)
-def js_symbols(spark, d):
-    return extract.symbols(_sources(spark, d, ".js", "import x from '@scope/pkg/sub';\nconst z = require('lodash/fp');\nvar v@ = 1;\nfunction f(a) { return a; }\nclass C { run(n) { return n; } }\n"))
-
-
-@query(None)
-def ts_symbols(spark, d):
-    return extract.symbols(_sources(spark, d, ".ts", "import { x } from 'rxjs/operators';\nvar v@ = 1;\nfunction f(a: number): number { return a; }\nclass C { run(n: number): number { return n; } }\n"))
-
-
-@query(None)
-def blame_lines(spark, d):
-    report = F.concat(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(" 1 1 2\nauthor "), F.col("source"), F.lit("\n\tline\n"), F.sha2(F.col("doc_id").cast("string"), 256), F.lit(" 2 2\n\tmore\n"))
-    return history.blame(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), report.alias("report")))
-
-
-@query(None)
-def hash_embed(spark, d):
-    docs = fixture.documents(spark, d).withColumns({"path": F.col("signature"), "language": F.col("author_name"), "type": F.lit("README"), "text": F.col("content"), "package": F.lit(""), "author": F.col("author_name")})
-    return embed.backfill(docs).select("id", "embedding")

@@ -52,6 +52,43 @@ def edges(spark: SparkSession, folder: str, *kinds: str) -> DataFrame:
     return out
 
 
+#: Edges of code: table or tables, rows, number of the source, number of the target, and what both stand for.
+_CODE = {
+    "HAS_FILE": ("customer", "true", "c_nationkey", "c_custkey", "repo", "file"),
+    "CONTAINS_FUNCTION": ("orders", "true", "o_custkey", "o_orderkey", "file", "function"),
+    "TOUCHED": ("events", "true", "event_id", "user_id", "commit", "file"),
+    "BELONGS_TO": ("supplier", "true", "s_suppkey", "s_nationkey", "person", "repo"),
+    "CONTAINS_CLASS": ("orders", "o_orderkey % 4 = 0", "o_custkey", "o_orderkey", "file", "class"),
+    "HAS_METHOD": ("orders", "o_orderkey % 4 = 0", "o_orderkey", "o_orderkey", "class", "method"),
+    "HAS_TEST": ("customer", "c_custkey % 3 = 0", "c_custkey", "c_custkey", "file", "test"),
+    "HAS_DOC": ("customer", "c_custkey % 2 = 0", "c_custkey", "c_custkey", "file", "doc"),
+    "FILE_IMPORTS": ("orders lineitem", "true", "o_custkey", "l_partkey", "file", "package"),
+    "TARGETS": ("events", "event_type = 'signup'", "event_id", "user_id % 25", "pr", "repo"),
+}
+
+
+def code_keys(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """(src, dst) of one kind as the tables' own numbers."""
+    names, rows, src, dst, _, _ = _CODE[kind]
+    first, *more = names.split()
+    found = table(spark, folder, first)
+    if more:
+        found = found.join(table(spark, folder, more[0]), F.col("o_orderkey") == F.col("l_orderkey"))
+    return found.where(rows).select(F.expr(src).cast("long").alias("src"), F.expr(dst).cast("long").alias("dst"))
+
+
+def code_edges(spark: SparkSession, folder: str, *kinds: str) -> DataFrame:
+    """(src, dst, type) of classes, methods, tests, docs, imports of files and pull requests beside those of edges; of
+    the kinds named, or of all."""
+    plain = ("PART_OF", "HAS_FILE", "CONTAINS_FUNCTION", "DEFINED_IN", "IMPORTS", "TOUCHED", "BELONGS_TO")
+    out = None if kinds else edges(spark, folder)
+    for kind in kinds or [k for k in _CODE if k not in plain]:
+        named = "IMPORTS" if kind == "FILE_IMPORTS" else kind
+        part = code_keys(spark, folder, kind).select(*(F.concat(F.lit(_CODE[kind][i] + ":"), F.col(c).cast("string")).alias(c) for i, c in ((4, "src"), (5, "dst"))), F.lit(named).alias("type"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as searchable nodes: id, label by language, name, signature, content, embedding (null for many)."""
     docs, vectors = table(spark, folder, "documents"), table(spark, folder, "embeddings")

@@ -13,8 +13,18 @@ READMES = ("README.md", "README.rst", "README.txt", "README", "readme.md")
 
 def scan(spark: SparkSession, root: str, repo: str) -> DataFrame:
     """(repo, path, content) of the code files below root, in any store that Spark reads; ignored folders are left out."""
-    files = all_files(spark, root, repo)
-    return files.where(paths.is_code(F.col("path")) & ~paths.ignored(F.col("path"))).withColumn("content", F.decode("bytes", "UTF-8")).drop("bytes")
+    return code_files(all_files(spark, root, repo)).withColumn("content", F.decode("bytes", "UTF-8")).drop("bytes")
+
+
+def code_files(files: DataFrame) -> DataFrame:
+    """The rows of files (path, ...) that are code outside ignored folders."""
+    return files.where(paths.is_code(F.col("path")) & ~paths.ignored(F.col("path")))
+
+
+def totals(files: DataFrame) -> DataFrame:
+    """One row: files, parsed, skipped, and of those ignored (code in ignored folders) and other (no code)."""
+    code, away = paths.is_code(F.col("path")), paths.ignored(F.col("path"))
+    return files.agg(F.count("*").alias("files"), F.count_if(code & ~away).alias("parsed"), F.count_if(~(code & ~away)).alias("skipped"), F.count_if(code & away).alias("ignored"), F.count_if(~code).alias("other"))
 
 
 def all_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
@@ -32,5 +42,5 @@ def listed(files: DataFrame, wanted: DataFrame) -> DataFrame:
 def readme(files: DataFrame, limit: int = 50_000) -> DataFrame:
     """One Doc row (repo, id, label, text) for each repository with a README at its top."""
     order = F.array_position(F.array(*map(F.lit, READMES)), F.col("path"))
-    best = files.where(order > 0).groupBy("repo").agg(F.min_by("content", order).alias("content"))
+    best = files.where(order > 0).groupBy("repo").agg(F.min_by("content", F.struct(order, "content")).alias("content"))
     return best.select("repo", paths.node_id(F.col("repo"), "doc", "README").alias("id"), F.lit("Doc").alias("label"), F.lit("README").alias("type"), texts.truncated(F.col("content"), limit, "\n\n... (truncated)").alias("text"))

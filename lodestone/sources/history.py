@@ -35,18 +35,67 @@ class _Reader(DataSourceReader):
         self.repo, self.branch, self.most = repo, branch, most
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        """Ranges of commits of about the same number, so that a long history is read by many tasks."""
+        command = ["git", "-C", self.repo, "rev-list", "--count", self.branch]
+        total = int(subprocess.run(command, capture_output=True, check=True).stdout)
+        total = min(total, self.most) if self.most else total
+        return [_Range(i, min(COMMITS, total - i)) for i in range(0, total, COMMITS)] or [_Range(0, 1)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        command = ["git", "-C", self.repo, "log", self.branch, "--numstat", "--no-renames", "--format=%x1e%H%x1f%an%x1f%ae%x1f%cI%x1f%B%x1f"]
-        if self.most:
-            command.append(f"--max-count={self.most}")
-        text = subprocess.run(command, capture_output=True, check=True).stdout.decode("utf-8", "replace")
-        for record in text.split("\x1e")[1:]:
-            sha, name, email, date, message, stats = record.split("\x1f")
-            rows = [r.split("\t") for r in stats.strip().split("\n") if r.count("\t") == 2]
-            added, gone = (sum(int(r[i]) for r in rows if r[i].isdigit()) for i in (0, 1))
-            yield (sha, name, email, date, message.strip(), added, gone, [r[2] for r in rows])
+        command = ["git", "-C", self.repo, "log", self.branch, "--numstat", "--find-renames", f"--skip={partition.first}", f"--max-count={partition.count}", "--format=%x1e%H%x1f%an%x1f%ae%x1f%cI%x1f%B%x1f"]
+        with subprocess.Popen(command, stdout=subprocess.PIPE, encoding="utf-8", errors="replace") as log:
+            held = ""
+            for line in log.stdout:
+                # a record ends where the next one begins
+                if line.startswith("\x1e") and held:
+                    yield commit_of(held)
+                    held = ""
+                held += line.lstrip("\x1e")
+            if held:
+                yield commit_of(held)
+        if log.returncode:
+            raise RuntimeError(f"git log failed with code {log.returncode}")
+
+
+#: Commits read by one task.
+COMMITS = 5_000
+
+
+class _Range(InputPartition):
+    def __init__(self, first: int, count: int):
+        super().__init__(first)
+        self.first, self.count = first, count
+
+
+_RENAMED = re.compile(r"\{[^{}]* => ([^{}]*)\}")
+
+
+def path_now(path: str) -> str:
+    """The new path of a file that was renamed: a/{b => c}/d or a => d."""
+    if " => " not in path:
+        return path
+    return _RENAMED.sub(r"\1", path).replace("//", "/") if "{" in path else path.split(" => ")[1]
+
+
+def commit_of(record: str) -> tuple:
+    """A row of COMMIT from a record: fields with the unit separator between them, the last one being the file counts."""
+    sha, name, email, date, message, stats = record.split("\x1f")
+    rows = [r.split("\t") for r in stats.strip().split("\n") if r.count("\t") == 2]
+    added, gone = (sum(int(r[i]) for r in rows if r[i].isdigit()) for i in (0, 1))
+    return sha, name, email, date, message.strip(), added, gone, [path_now(r[2]) for r in rows]
+
+
+def commits_of(records: DataFrame) -> DataFrame:
+    """Commits (the columns of gitlog) from the column record; null records give none."""
+
+    def run(batches):
+        import pandas as pd
+
+        names = [c.split()[0] for c in COMMIT.split(", ")]
+        for pdf in batches:
+            yield pd.DataFrame([commit_of(r) for r in pdf["record"] if r is not None], columns=names)
+
+    return records.select("record").mapInPandas(run, COMMIT)
 
 
 def git_log(spark: SparkSession, repo: str, most: int = 0, branch: str = "HEAD") -> DataFrame:

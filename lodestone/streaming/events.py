@@ -6,6 +6,7 @@ import hashlib
 import hmac
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +27,19 @@ def verified(body: bytes, signature: str | None, secret: str) -> bool:
     return hmac.compare_digest(wanted, signature or "")
 
 
+def signature(body: Column, secret: str) -> Column:
+    """sha256=... of a text with a secret, by the definition of HMAC over the built-in hash."""
+    key = secret.encode() if len(secret.encode()) <= 64 else hashlib.sha256(secret.encode()).digest()
+    key = key.ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(x ^ 0x36 for x in key)), body.cast("binary")), 256)
+    return F.concat(F.lit("sha256="), F.sha2(F.concat(F.lit(bytes(x ^ 0x5C for x in key)), F.unhex(inner)), 256))
+
+
+def is_signed(body: Column, given: Column, secret: str) -> Column:
+    """Whether given is the signature of body; without a secret there is nothing to check."""
+    return F.coalesce(signature(body, secret) == given, F.lit(False)) if secret else F.lit(True)
+
+
 def parsed(events: DataFrame) -> DataFrame:
     """events (event_type, body) with the column payload."""
     return events.withColumn("payload", F.from_json("body", PAYLOAD))
@@ -65,15 +79,27 @@ def run(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint:
 
 
 def versioned(spark: SparkSession, path: str, empty: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A handler that keeps a table as one folder for each batch: a repeated batch starts from the one before it."""
+    """A handler that keeps a table in two folders that take turns: a repeated batch starts from the one before it, and
+    no more than two versions are kept."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(empty.schema).parquet(f"{path}/v{number - 1}") if number else empty
-        change(old, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = spark.read.schema(empty.schema).parquet(f"{path}/turn={(number - 1) % 2}") if number else empty
+        fresh = change(old, batch)
+        fresh.write.mode("overwrite").parquet(f"{path}/turn={number % 2}")
+        spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("append").parquet(f"{path}-batches")
 
     return handle
 
 
+def newest(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
+    """The table that versioned keeps, after its last batch; empty before the first."""
+    try:
+        last = spark.read.schema("batch long").parquet(f"{path}-batches").agg(F.max("batch").alias("last")).first().last
+    except AnalysisException:
+        return empty
+    return spark.read.schema(empty.schema).parquet(f"{path}/turn={last % 2}")
+
+
 def incremental(nodes: DataFrame, edges: DataFrame, old: DataFrame, new: DataFrame, repo: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """nodes and edges after files (repo, path, sha, content) became those of new: what came from changed files goes,
     and changed and added files are parsed again. Without changes the graph is returned as it is."""
@@ -82,5 +108,5 @@ def incremental(nodes: DataFrame, edges: DataFrame, old: DataFrame, new: DataFra
     left_nodes, left_edges = dml.delete_files(nodes, edges, gone)
     fresh = new.join(changes.where("change <> 'removed'").select("path"), "path", "left_semi")
     more_nodes, more_edges = parse(fresh)
-    joined = left_nodes.unionByName(more_nodes, allowMissingColumns=True).dropDuplicates(["id"])
-    return joined, left_edges.unionByName(more_edges, allowMissingColumns=True).dropDuplicates(["src", "dst", "type"])
+    # of a node that is there already the newly parsed values count
+    return dml.upsert(left_nodes, more_nodes, ["id"]), left_edges.unionByName(more_edges, allowMissingColumns=True).dropDuplicates(["src", "dst", "type"])

@@ -115,10 +115,52 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     query = events.run(stream, events.versioned(spark, str(tmp_path / "out"), empty, change), str(tmp_path / "checkpoint"))
     assert query.awaitTermination(120)
-    last = spark.read.parquet(str(tmp_path / "out" / "v2"))
+    last = events.newest(spark, str(tmp_path / "out"), empty)
+    assert events.newest(spark, str(tmp_path / "none"), empty).count() == 0
     assert {r.id for r in last.collect()} == {f"n:pr:{i}" for i in range(5)} and last.count() == 5
 
 
+def test_renames_and_ranges(spark, tmp_path, monkeypatch):
+
+
+    def git(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A B", "-c", "user.email=a@x.io", *args], check=True, capture_output=True)
+
+    git("init", "-q")
+    (tmp_path / "a.py").write_text("x = 1\n" * 20)
+    git("add", "."), git("commit", "-qm", "first")
+    (tmp_path / "lib").mkdir()
+    git("mv", "a.py", "lib/b.py"), git("commit", "-qm", "moved")
+    for i in range(5):
+        (tmp_path / "c.py").write_text(f"y = {i}\n")
+        git("add", "."), git("commit", "-qm", f"step {i}\n\nmore")
+    monkeypatch.setattr(history, "COMMITS", 3)
+    rows = history.git_log(spark, str(tmp_path)).collect()
+    assert [r.message for r in rows][-2:] == ["moved", "first"] and len(rows) == 7 == len({r.sha for r in rows})
+    assert rows[-2].files_changed == ["lib/b.py"] and rows[-1].files_changed == ["a.py"] and rows[0].message == "step 4\n\nmore"
+    assert len(history.git_log(spark, str(tmp_path), most=2).collect()) == 2
+    assert [history.path_now(p) for p in ("a/{b => c}/d.py", "a/{ => c}/d.py", "a/{b => }/d.py", "x => y", "z")] == ["a/c/d.py", "a/c/d.py", "a/d.py", "y", "z"]
+
+
+def test_update_by_state(spark):
+    from lodestone.operators import ingest
+
+    def parse(df):
+        nodes = df.select(F.concat(F.lit("r:"), "path", F.lit(":file")).alias("id"), F.lit("File").alias("label"), "sha")
+        return nodes, nodes.select(F.lit("repo:r").alias("src"), F.col("id").alias("dst"), F.lit("HAS_FILE").alias("type"))
+
+    def files(**shas):
+        return spark.createDataFrame([("r", p, s, "") for p, s in shas.items()], "repo string, path string, sha string, content string")
+
+    none = spark.createDataFrame([], "repo_name string, repo_sha string, updated_at timestamp")
+    empty = parse(files(x="").limit(0))
+    first = ingest.update(*empty, none, None, files(a="1", b="1"), "r", "c1", parse)
+    assert {(r.id, r.sha) for r in first[0].collect()} == {("r:a:file", "1"), ("r:b:file", "1")} and ingest.last_sha(first[2], "r") == "c1"
+    assert ingest.update(*first, None, files(z="9"), "r", "c1", parse) == first
+    second = ingest.update(*first, files(a="1", b="1"), files(a="2", c="1"), "r", "c2", parse)
+    assert {(r.id, r.sha) for r in second[0].collect()} == {("r:a:file", "2"), ("r:c:file", "1")} and ingest.last_sha(second[2], "r") == "c2"
+
+
 def test_incremental_equals_full(spark):
     def parse(df):
         found = extract.symbols(df)
