@@ -55,27 +55,30 @@ def communication_matrix(parts: list[int], shards: list[int], seed: int) -> np.n
     return out
 
 
-def _parts(docs: DataFrame, kept: list[str]) -> tuple[DataFrame, dict] | None:
-    """docs with each row's part and place, and the rows of each part; None where rows have no places of their own."""
+def _parts(docs: DataFrame, kept: list[str]) -> tuple[DataFrame, dict, int] | None:
+    """docs with each row's part and place, the rows of each part, and the bytes of the files; None where rows have no
+    places of their own."""
     try:
-        placed = docs.select(*[F.col(f"`{n}`") for n in kept], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        placed = docs.select(*[F.col(f"`{n}`") for n in kept], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), F.col("_metadata.file_size").alias("_size"))
         placed = placed.withColumn("_part", F.floor(F.col("_row") / PART).cast("int"))
     except AnalysisException:
         return None
     at = F.col("_row") % PART
     # a few numbers for each PART rows: the driver's share of the work
-    found = placed.groupBy("_file", "_part").agg(F.count("*").alias("n"), F.max(at).alias("last"), F.sum(at).alias("sum")).collect()
+    found = placed.groupBy("_file", "_part").agg(F.count("*").alias("n"), F.max(at).alias("last"), F.sum(at).alias("sum"), F.first("_size").alias("size")).collect()
     if any(r.n != r.last + 1 or 2 * r["sum"] != r.n * (r.n - 1) for r in found):
         return None  # rows were left out or copied
-    return placed, {(r["_file"], r["_part"]): r.n for r in found}
+    return placed, {(r["_file"], r["_part"]): r.n for r in found}, sum({r["_file"]: r["size"] for r in found}.values())
 
 
-def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_per_cell: int = 16_384) -> DataFrame:
+def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_per_cell: int = 16_384, bytes_per_cell: int = 16 << 20) -> DataFrame:
     """docs with shard int (0 to shards-1) and slot long (gapless from 0 in its shard).
 
     Shard sizes differ by one row at most, and every permutation of the rows is equally likely. Null, empty and very
     long texts are rows like any other; equal texts and repeated rows are dealt independently, since only their place
-    in the input counts. An empty table gives an empty one. Columns named shard or slot are replaced.
+    in the input counts, so they may come to different shards. An empty table gives an empty one. Columns named shard or
+    slot are replaced. A cell, which is what one task exchanges, has about rows_per_cell rows or bytes_per_cell bytes of
+    the files, whichever is less; the driver keeps one number for each cell.
 
     Rows are told apart by file and row number, which every re-run of a lost task sees alike; docs that don't come
     straight from Parquet files are first written to the shared folder.
@@ -83,10 +86,10 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_pe
     spark = docs.sparkSession
     batches_of(spark)
     kept = [f.name for f in docs.schema if f.name.lower() not in ("shard", "slot")]
-    placed, counts = _parts(docs, kept) or _parts(stored(docs.select(*[F.col(f"`{n}`") for n in kept]), "rows"), kept)
+    placed, counts, size = _parts(docs, kept) or _parts(stored(docs.select(*[F.col(f"`{n}`") for n in kept]), "rows"), kept)
     parts, total = sorted(counts), sum(counts.values())
     matrix = communication_matrix([counts[p] for p in parts], shard_sizes(total, shards), seed)
-    per_shard = max(1, -(-total // (shards * rows_per_cell)))
+    per_shard = max(1, -(-total // (shards * rows_per_cell)), -(-size // (shards * bytes_per_cell)))
     sent = spark.sparkContext.broadcast(({p: i for i, p in enumerate(parts)}, matrix))
 
     def drawn(batch: pa.RecordBatch, dealt: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +142,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_pe
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array((cells_ // per_shard).astype(np.int32)), pa.array(slot)], names=[*kept, "shard", "slot"])
 
     out = with_columns(T.StructType([f for f in docs.schema if f.name in kept]), [T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    exchanged = placed.mapInArrow(deal, schema).repartition(shards * per_shard, "_cell").sortWithinPartitions("_cell", "_order")
+    exchanged = placed.mapInArrow(deal, schema).repartitionById(shards * per_shard, "_cell").sortWithinPartitions("_cell", "_order")
     return exchanged.mapInArrow(number, out)
 
 
