@@ -34,6 +34,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def width_of(ranks: dict[bytes, int], eod: int) -> int:
+    """Bytes of a token: 2, or 4 where an identifier goes beyond them."""
+    return 2 if max(eod, *ranks.values()) < 1 << 16 else 4
+
+
 def _encoding(sent):
     import tiktoken
 
@@ -44,16 +49,20 @@ def _encoding(sent):
     return _encodings[key]
 
 
-def write_token_files(docs: DataFrame, ranks: str, eod: int, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 16, width: int = 2) -> tuple[DataFrame, DataFrame]:
+def write_token_files(docs: DataFrame, ranks: str, eod: int, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 16, width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Token files of docs, and (file, ordinal, id) of the documents in them: both are written tables.
 
-    A null text is written like an empty one: nothing but its separator.
+    A null text is written like an empty one: nothing but its separator. Tokens take width bytes, which width_of gives
+    if it is left out; a width too small for the largest identifier is refused.
     """
     spark = docs.sparkSession
     batches_of(spark)
     sent = spark.sparkContext.broadcast(load_ranks(ranks))  # as large as the vocabulary
     if eod in sent.value.values():
         raise ValueError("the separator must not be a token's identifier")
+    width = width or width_of(sent.value, eod)
+    if width < width_of(sent.value, eod):
+        raise ValueError(f"{width} bytes are too few for the largest identifier")
     kind = {2: "<u2", 4: "<u4"}[width]
     schema = "file int, block int, tokens binary, ids array<long>"
 
@@ -149,11 +158,12 @@ def documents_in(files: DataFrame, eod: int, width: int = 2) -> DataFrame:
     return closed.unionByName(tails.where("start < size").select("file", F.col("ordinal").cast("long"), "start", (F.col("size") - F.col("start")).alias("n_tokens")))
 
 
-def token_counts(docs: DataFrame, ranks: str, eod: int, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 16, width: int = 2) -> DataFrame:
+def token_counts(docs: DataFrame, ranks: str, eod: int, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 16) -> DataFrame:
     """(id_col, n_tokens) for every row of docs, counted in the token files written from them.
 
     Null and empty texts have 0; null ids and repeated rows are returned as they are; an empty table gives an empty one.
+    Texts of any length have the count of the whole text; other columns are not used.
     """
-    files, named = write_token_files(docs, ranks, eod, id_col, text_col, block, width)
-    found = documents_in(files, eod, width)
+    files, named = write_token_files(docs, ranks, eod, id_col, text_col, block)
+    found = documents_in(files, eod, width_of(load_ranks(ranks), eod))
     return found.join(named, ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
