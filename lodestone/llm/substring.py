@@ -7,27 +7,31 @@ than fanout lists of anchors they are compacted into one. Windows whose anchor i
 that a few rows for each hundred words are moved instead of one for each.
 
 Anchors that are met again are verified: a whole stretch of windows at once by the hash of all its words; where
-stretches differ (the edges of a shared passage) window by window. Verification hashes have 128 bits with the anchor.
+stretches differ (the edges of a shared passage) window by window. Two stretches are taken for equal if anchor and hash,
+128 bits, are; words are not compared. For 10^12 stretches the odds of one wrong pair are about 10^-15.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, batches_of, release, stored, with_keys
+from .common import append_columns, batches_of, release, shared_dir, stored, with_keys
 from .windows import BASES, WordHashes, anchors, mixed, prefix, span_hashes, words_of
 
 #: A place packs the first window of a stretch and its last one's distance from it.
 SPAN_BITS = 8
 ROW = "kd long, tag int, a long, b long, place long"
+SCHEMAS = {"run": ROW, "keys": "a long, n long", "repeated": "a long"}
+MANIFEST = "version long, window int, gram int, fanout int, run array<string>, keys array<string>, repeated array<string>"
 
 
 def anchor_rows(keyed: DataFrame, text_col: str, window: int, gram: int) -> DataFrame:
@@ -52,44 +56,76 @@ def anchor_rows(keyed: DataFrame, text_col: str, window: int, gram: int) -> Data
 
 
 class FingerprintIndex:
-    """Immutable runs of window fingerprints; grows batch by batch."""
+    """Immutable runs of window fingerprints; grows batch by batch.
 
-    def __init__(self, window: int = 35, gram: int = 12, fanout: int = 4):
+    The runs, the lists of anchors and the anchors met again are tables below folder. After each batch a manifest names
+    those in force, as a new version: a job that fails leaves the last version as it was, and a later session opens the
+    index with open(). Without a folder one in the shared folder is taken.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 35, gram: int = 12, fanout: int = 4):
         if not 0 < gram <= window or window - gram >= 1 << SPAN_BITS:
             raise ValueError("gram must be from 1 to window, and window - gram under 256")
-        self.window, self.gram, self.fanout = window, gram, fanout
-        self.runs: list[DataFrame] = []
-        self.keys: list[DataFrame] = []
-        self.repeated: list[DataFrame] = []
+        self.spark, self.folder = spark, (folder or f"{shared_dir(spark)}/lodestone/index-{uuid.uuid4().hex}").rstrip("/")
+        self.window, self.gram, self.fanout, self.version = window, gram, fanout, 0
+        #: Names of the tables in force.
+        self.tables: dict[str, list[str]] = {"run": [], "keys": [], "repeated": []}
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The index that an earlier job left in folder, at its newest version."""
+        last = spark.read.schema(MANIFEST).json(f"{folder.rstrip('/')}/manifest").orderBy(F.desc("version")).first()
+        if last is None:
+            raise ValueError(f"there is no index in {folder}")
+        out = cls(spark, folder, last.window, last.gram, last.fanout)
+        out.version, out.tables = last.version, {k: list(last[k]) for k in out.tables}
+        return out
+
+    def _write(self, kind: str, df: DataFrame, sort: bool = True) -> str:
+        name = f"{kind}-{uuid.uuid4().hex}"
+        (df.sortWithinPartitions("a") if sort else df).write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def _read(self, kind: str) -> list[DataFrame]:
+        return [self.spark.read.schema(SCHEMAS[kind]).parquet(f"{self.folder}/{name}") for name in self.tables[kind]]
+
+    def _commit(self) -> None:
+        self.version += 1
+        row = (self.version, self.window, self.gram, self.fanout, *(self.tables[k] for k in ("run", "keys", "repeated")))
+        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Writes the run of a batch, merge-joins it with the history, and compacts when lists of anchors pile up."""
         batches_of(docs.sparkSession)
-        run = stored(anchor_rows(with_keys(docs.select(id_col, text_col), id_col, text_col), text_col, self.window, self.gram).sortWithinPartitions("a"), "run")
-        keys = stored(run.groupBy("a").agg(F.count("*").alias("n")).sortWithinPartitions("a"), "keys")
-        self.repeated += [keys.where("n > 1").select("a"), *(keys.join(old.hint("merge"), "a").select("a") for old in self.keys)]
-        self.runs.append(run)
-        self.keys.append(keys)
-        if len(self.keys) > self.fanout:
-            self.compact()
-
-    def compact(self) -> None:
+        name = self._write("run", anchor_rows(with_keys(docs.select(id_col, text_col), id_col, text_col), text_col, self.window, self.gram))
+        run = self.spark.read.schema(SCHEMAS["run"]).parquet(f"{self.folder}/{name}")
+        own = self._write("keys", run.groupBy("a").agg(F.count("*").alias("n")))
+        keys = self.spark.read.schema(SCHEMAS["keys"]).parquet(f"{self.folder}/{own}")
+        met = [keys.where("n > 1").select("a"), *(keys.join(old.hint("merge"), "a").select("a") for old in self._read("keys"))]
+        self.tables["repeated"].append(self._write("repeated", reduce(DataFrame.unionByName, met), sort=False))
+        self.tables["run"].append(name)
+        self.tables["keys"].append(own)
+        if len(self.tables["keys"]) > self.fanout:
+            self._compact()
+        self._commit()
+
+    def _compact(self) -> None:
         """One sorted list of anchors instead of many; the rows of the runs stay where they are."""
-        if len(self.keys) > 1:
-            whole = reduce(DataFrame.unionByName, self.keys).groupBy("a").agg(F.sum("n").alias("n"))
-            self.repeated = [stored(reduce(DataFrame.unionByName, self.repeated).distinct(), "repeated")]
-            self.keys = [stored(whole.sortWithinPartitions("a"), "keys")]
+        whole = reduce(DataFrame.unionByName, self._read("keys")).groupBy("a").agg(F.sum("n").alias("n"))
+        repeated = self._write("repeated", reduce(DataFrame.unionByName, self._read("repeated")).distinct(), sort=False)
+        self.tables |= {"keys": [self._write("keys", whole)], "repeated": [repeated]}
 
     def spans(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(kd, tag, spans): in each text of docs the words from start to stop of all repeated windows, merged.
 
-        docs are the texts of all batches, or those of them of which the spans are wanted.
+        docs are the texts of all batches. Only those that share an anchor with others are read as words again, for the
+        edges of shared passages; so after a new batch its texts and the ones they meet are.
         """
         spark, window = docs.sparkSession, self.window
-        repeated = stored(reduce(DataFrame.unionByName, self.repeated).distinct(), "repeated")
+        repeated = stored(reduce(DataFrame.unionByName, self._read("repeated")).distinct(), "repeated")
         release(spark)
         # what the bit set lets through beside repeated anchors has one stretch, and so stays single below
-        found = stored(_where_in(reduce(DataFrame.unionByName, self.runs), key_bits(repeated, ["a"]), ["a"]), "found")
+        found = stored(_where_in(reduce(DataFrame.unionByName, self._read("run")), key_bits(repeated, ["a"]), ["a"]), "found")
         blocks = stored(found.groupBy("a", "b").agg(F.count("*").alias("n")), "blocks")
         release(spark, repeated)
         # whole stretches met again
@@ -100,8 +136,12 @@ class FingerprintIndex:
         whole = stored(whole.select("kd", "tag", _packed(first, span + window).alias("x")), "whole")
         # stretches that differ under one anchor show their windows
         mixed_up = stored(blocks.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a"), "mixed")
+        bits = key_bits(mixed_up, ["a"])
+        holders = key_bits(_where_in(found, bits, ["a"]).select("kd", F.col("tag").cast("long").alias("tag")).distinct(), ["kd", "tag"])
         release(spark, found, again, blocks)
-        lists = stored(self._window_lists(with_keys(docs.select(id_col, text_col), id_col, text_col).select("kd", "tag", text_col), key_bits(mixed_up, ["a"])), "windows")
+        keyed = with_keys(docs.select(id_col, text_col), id_col, text_col)
+        some = _where_in(keyed.select("kd", F.col("tag").cast("long").alias("tag"), text_col), holders, ["kd", "tag"])
+        lists = stored(self._window_lists(some.select("kd", F.col("tag").cast("int").alias("tag"), text_col), bits), "windows")
         each = lists.select("a", F.explode("hashes").alias("w"))
         twice = stored(each.groupBy("a", "w").agg(F.count("*").alias("n")).where("n > 1").select("a", "w"), "twice")
         release(spark, mixed_up)
@@ -241,7 +281,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     The table is indexed in that many batches, each merge-joined with those before it.
     """
-    index = FingerprintIndex(window)
+    index = FingerprintIndex(docs.sparkSession, window=window)
     for i in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)) == i), id_col, text_col)
     spans = index.spans(docs, id_col, text_col)

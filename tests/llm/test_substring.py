@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 from lodestone.llm import substring as S
 
 
@@ -49,15 +51,21 @@ def test_texts_and_spans(spark):
     assert S.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_batches_and_compaction(spark):
+def test_batches_sessions_and_compaction(spark, tmp_path):
     docs = corpus(4, 20)
     table = spark.createDataFrame([d for d in docs if d[0] is not None], "doc_id long, text string")
-    index = S.FingerprintIndex(20, fanout=2)
+    folder = str(tmp_path / "index")
+    index = S.FingerprintIndex(spark, folder, 20, fanout=2)
     for i in range(5):
         index.add(table.where(f"pmod(doc_id, 5) = {i}"))
-    assert len(index.keys) <= 2 and len(index.runs) == 5
+        # another session goes on where this one stopped
+        index = S.FingerprintIndex.open(spark.newSession(), folder)
+        assert index.version == i + 1 and (index.window, index.fanout) == (20, 2)
+    assert len(index.tables["keys"]) <= 2 and len(index.tables["run"]) == 5
     got = index.spans(table).collect()
-    whole = S.FingerprintIndex(20)
+    whole = S.FingerprintIndex(spark, window=20)
     whole.add(table)
     want = whole.spans(table).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and got
+    with pytest.raises(ValueError):
+        S.FingerprintIndex(spark, window=10, gram=12)
