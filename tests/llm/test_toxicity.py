@@ -1,11 +1,18 @@
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm import queries as Q
 from lodestone.llm import toxicity as X
 
+FOLDER = "/root/testdata/sf0.001"
+
 SCHEMA = "doc_id long, text string"
 
 
@@ -44,16 +51,110 @@ def test_index_is_exact():
     rng = np.random.default_rng(0)
     vectors = []
     for _ in range(500):
-        t = rng.choice(40, rng.integers(1, 8), replace=False)
+        t = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
         w = rng.random(len(t))
-        vectors.append(dict(zip(t.tolist(), (w / np.linalg.norm(w)).tolist(), strict=True)))
-    labels = np.zeros((500, 2), int)
-    index = X.BlockMaxIndex(vectors, labels, list(range(500)), 16)
-    for q in vectors[:60]:
-        all_ = sorted((sum(w * q.get(t, 0) for t, w in v.items()) for v in vectors), reverse=True)
-        got = [s for s, _ in index.nearest(q, 10)]
-        assert len(got) >= 10 and np.allclose(got[:10], np.minimum(all_[:10], 1.0), atol=1e-9) and all(s >= all_[9] - 1e-9 for s in got)
-    assert index.nearest({99: 1.0}, 5) == []
+        vectors.append((t, w / np.linalg.norm(w)))
+    dense = np.zeros((500, 40))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    terms, rows = np.nonzero(dense.T)
+    index = X.BlockMaxIndex(np.bincount(terms, minlength=40), rows, dense[rows, terms], 500, 16)
+    for (got, at), q in zip(index.nearest(vectors[:60], 10), dense, strict=False):
+        cosines = dense @ q
+        want = np.sort(cosines)[::-1]
+        assert len(got) >= 10 and np.allclose(got[:10], want[:10], atol=1e-9) and (got >= want[9] - 1e-8).all() and np.allclose(cosines[at], got, atol=1e-9)
+    none = np.zeros(0, int)
+    assert len(index.nearest([(none, np.zeros(0))], 5)[0][0]) == 0
+    assert len(X.BlockMaxIndex(np.zeros(40, int), none, np.zeros(0), 0, 16).nearest(vectors[:1], 5)[0][0]) == 0
+
+
+def brute(docs, labels, params):
+    """(score, evidence) of each text, from strings and plain sums alone."""
+    def bag(text):
+        out = Counter()
+        for w, n in Counter(re.findall(r"\w+", (text or "").lower())).items():
+            for t in {"=" + w} | {w[:k] + "*" for k in (5,) if len(w) > k}:
+                out[t] += n
+        return out
+
+    texts = dict(docs)
+    examples = [(i, y, bag(texts[i])) for i, y in sorted(labels) if i in texts]
+    vocabulary = {t for _, _, x in examples for t in x}
+    bags = {i: {t: n for t, n in bag(x).items() if t in vocabulary} for i, x in docs}
+    df = Counter(t for x in bags.values() for t in x)
+    once = {texts[i]: max(y for j, y, _ in examples if texts[j] == texts[i]) for i, _, _ in examples}
+    of = [sum(y == k for y in once.values()) for k in (0, 1)]
+    held = Counter((t, y) for x, y in once.items() for t in bag(x))
+    scale = {}
+    for t in vocabulary:
+        g = 0.0
+        for k in (0, 1):
+            n, both = held[t, k], held[t, 0] + held[t, 1]
+            for seen, total in ((n, both), (of[k] - n, sum(of) - both)):
+                g += 2 * seen * math.log(seen * sum(of) / (total * of[k])) if seen else 0
+        scale[t] = (math.log((1 + len(docs)) / (1 + df[t])) + 1) * (params.floor + (1 - params.floor) * min(1, g / params.full))
+
+    def unit(x):
+        w = {t: (1 + math.log(n)) * scale[t] for t, n in x.items()}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        return {t: v / norm for t, v in w.items()}
+
+    kinds = {}
+    for i, y, x in examples:
+        own = kinds.setdefault(tuple(sorted(x.items())), [i, [0, 0], unit(x)])
+        own[1][y] += 1
+    none = kinds.pop((), [0, [0, 0], {}])[1]
+    prior = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1)
+
+    def vote(x, without=None):
+        if not x:
+            return ((none[1] - (without == 1)) + prior) / (sum(none) - (without is not None) + 1), []
+        q, all_ = unit(x), []
+        for key, (i, n, w) in kinds.items():
+            n = [n[k] - (dict(key) == x and without == k) for k in (0, 1)]
+            all_.append((sum(v * w.get(t, 0) for t, v in q.items()), i, n, kinds[key][1]))
+        all_ = sorted((a for a in all_ if a[0] > 0), key=lambda a: -a[0])
+        last = all_[min(len(all_), params.neighbours) - 1][0] if all_ else 0
+        sums = [0.0, 0.0]
+        for cosine, _, n, _ in all_:
+            if cosine >= last - 1e-9 and sum(n):
+                for k in (0, 1):
+                    sums[k] += math.log1p(sum(n)) * n[k] / sum(n) / (params.near + 1 - min(1, cosine))
+        return (sums[1] + prior) / (sum(sums) + 1), [(i, int(full[1] > full[0]), cosine) for cosine, i, _, full in all_[:3]]
+
+    seen = [[0, 0] for _ in range(params.bins)]
+    for _, y, x in examples:
+        seen[min(params.bins - 1, int(vote(dict(x), y)[0] * params.bins))][y] += 1
+    pairs = [(n[1] + (b + 0.5) / params.bins * 0.5, sum(n) + 0.5) for b, n in enumerate(seen)]
+    # isotonic by the min-max formula
+    means = {(i, j): sum(x for x, _ in pairs[i : j + 1]) / sum(n for _, n in pairs[i : j + 1]) for i in range(len(pairs)) for j in range(i, len(pairs))}
+    values = [max(min(means[i, j] for j in range(b, len(pairs))) for i in range(b + 1)) for b in range(len(pairs))]
+    out = {}
+    for i, x in bags.items():
+        raw, near = vote(x)
+        out[i] = values[min(params.bins - 1, int(raw * params.bins))], near
+    return out
+
+
+def test_query_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    want = brute(docs, labels, X.Params())
+    rows = Q.op1_toxicity(spark, FOLDER).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        score, near = want[r.doc_id]
+        assert abs(r.score - score) < 1e-6 and len(r.evidence) == min(3, len(near))
+        assert all(abs(e.cosine - n[2]) < 1e-5 for e, n in zip(r.evidence, near, strict=True))
+        if len({round(n[2], 4) for n in near}) == len(near):
+            assert [(e.id, e.label) for e in r.evidence] == [n[:2] for n in near]
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(labels[r.doc_id], r.predicted) for r in Q.op1_toxicity(spark, folder).where("held_out").collect() if labels.get(r.doc_id) is not None]
+    assert len(held) > 60 and sum(y == p for y, p in held) / len(held) >= 0.95
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(1, 1)]])
