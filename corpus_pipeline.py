@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents, and each keeps every row that it does not reject.
+
+In every stage other columns than those of documents are dropped, whatever their names; doc_id has to be a number or
+null; an empty table gives an empty one; texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -17,7 +20,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples do not call toxic; trained on rows that are not held out."""
+    """Documents that the nearest labelled examples do not call toxic; trained on rows that are not held out.
+
+    Null and empty texts are judged like the labelled examples without words, and are kept where there are none.
+    Repeated rows and equal texts are judged alike. Without labels of both kinds every document is kept.
+    """
+    docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
     return toxicity.score(docs, model).where("toxic_predicted = 0").select(*COLUMNS)
@@ -26,8 +34,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of SimHash near-duplicates: that with the smallest identifier, null ones last.
 
-    Rows are told apart by identifier and text; of rows equal in both, one stays.
+    Rows are told apart by identifier and text; of rows equal in both, one stays. Null, empty and blank texts have one
+    fingerprint, so that one of them all stays. Ties between rows with one identifier go to the smaller hash of the text.
     """
+    docs = docs.select(*COLUMNS)
     text_hash = F.xxhash64("text")
     keyed = docs.withColumns({"kd": F.coalesce(F.col("doc_id").cast("long"), text_hash), "kt": text_hash})
     prints, groups = simhash.grouped(keyed, keep=("kd", "kt"))
@@ -48,7 +58,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that stand elsewhere too; those left without a word go."""
+    """Documents without the words of passages that stand elsewhere too; those that lose all their words go.
+
+    A passage is 35 words or more; each place of it goes, also in one document. Null and empty texts are kept as they
+    are. Of repeated rows with so many words nothing is left, which is why near-duplicates go before.
+    """
+    docs = docs.select(*COLUMNS)
     kept = substring.dedup(docs)
     left = (F.col("n_words") > F.col("n_removed")) | (F.col("n_words") == 0)
     text = F.col("kept_text")
@@ -56,15 +71,22 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold benchmark passages by the contamination rule."""
+    """Documents that don't hold benchmark passages by the contamination rule: one word in twenty or more is hit.
+
+    Null and empty texts hold none. Repeated rows are judged alike, and go or stay together.
+    """
+    docs = docs.select(*COLUMNS)
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     rejected = stored(found.where("contaminated").select("kd", "tag").distinct(), "rejected")
     return with_keys(docs).join(rejected.hint("shuffle_hash"), ["kd", "tag"], "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document, with seeded merge-dropout."""
-    return pieces.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "text", "lang", "source", "n_chars", "piece_ids", "n_pieces", "lossless")
+    """The pieces of each document, with seeded merge-dropout.
+
+    Null texts have null pieces, empty ones none; equal texts get equal pieces.
+    """
+    return pieces.encode(docs.select(*COLUMNS), f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "text", "lang", "source", "n_chars", "piece_ids", "n_pieces", "lossless")
 
 
 STAGES = [
