@@ -106,13 +106,41 @@ FROM conversations GROUP BY conv_id
 """
 
 
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 on conversations with calls made of them: every assistant's turn calls a tool and names the result of the
+    call before; in every third conversation the turns behind are results; in every fifth each call waits for itself."""
+    c, turn = F.col("conv_id"), F.col("turn")
+    said = F.coalesce("text", F.lit(""))
+
+    def name(t):
+        return F.concat(F.lit("c"), t.cast("string"))
+
+    waits = F.struct(name(F.when(c % 5 == 0, turn).otherwise(turn - 2)).alias("$result"))
+    call = F.to_json(F.struct(said.alias("content"), F.array(F.struct(name(turn).alias("id"), F.concat(F.lit("look"), (turn % 3).cast("string")).alias("name"), F.struct(turn.alias("x"), waits.alias("after")).alias("arguments"))).alias("tool_calls")))
+    result = F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), said.alias("content")))
+    calls, answers = F.col("role") == "assistant", (F.col("role") != "assistant") & (c % 3 == 0)
+    messages = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(answers, "tool").otherwise(F.col("role")).alias("role"), F.when(calls, call).when(answers, result).otherwise(F.concat(F.lit("said "), said)).alias("text"))
+    tools = spark.createDataFrame([("look0", "x", "integer", True), ("look0", "after", "object", False), ("look1", "x", "string", True), ("look1", "after", "object", False)], "name string, parameter string, type string, required boolean")
+    return chat.format_chats(messages, tools).drop("chat")
+
+
+CHAT_TOOL_CALLS_SQL = """
+WITH t AS (SELECT conv_id, turn, role = 'assistant' AS calls, role <> 'assistant' AND conv_id % 3 = 0 AS answers FROM conversations),
+l AS (SELECT a.conv_id, a.turn FROM t a JOIN t b ON a.calls AND b.answers AND a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+o AS (SELECT b.conv_id, count(*) AS n FROM t b WHERE answers AND NOT EXISTS (SELECT 1 FROM t a WHERE a.calls AND a.conv_id = b.conv_id AND a.turn = b.turn - 1) GROUP BY b.conv_id)
+SELECT t.conv_id, count(*) AS n_messages, count(*) FILTER (WHERE calls) AS n_calls, count(l.turn) AS n_linked, CAST(count(*) FILTER (WHERE calls) - count(l.turn) + coalesce(any_value(o.n), 0) AS BIGINT) AS n_orphans,
+  count(*) FILTER (WHERE calls AND t.turn % 3 <> 0) AS n_invalid, CASE WHEN t.conv_id % 5 = 0 THEN 2 * count(l.turn) ELSE 0 END AS n_cyclic
+FROM t LEFT JOIN l ON t.calls AND l.conv_id = t.conv_id AND l.turn = t.turn LEFT JOIN o ON o.conv_id = t.conv_id GROUP BY t.conv_id
+"""
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_pieces", "lossless", "piece_ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embeddings": op4_embeddings, "op5_html": op5_html, "op6_sharding": op6_sharding, "op7_substring": op7_substring, "op8_token_counts": op8_token_counts, "op9_chat": op9_chat, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embeddings": op4_embeddings, "op5_html": op5_html, "op6_sharding": op6_sharding, "op7_substring": op7_substring, "op8_token_counts": op8_token_counts, "op9_chat": op9_chat, "op10_sentencepiece": op10_sentencepiece, "chat_tool_calls": chat_tool_calls}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_embeddings": OP4_SQL, "op7_substring": OP7_SQL, "op9_chat": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_embeddings": OP4_SQL, "op7_substring": OP7_SQL, "op9_chat": OP9_SQL, "chat_tool_calls": CHAT_TOOL_CALLS_SQL}
