@@ -46,6 +46,11 @@ def answer(context: DataFrame, question: str, agent: str = "pathfinder", provide
     yield {"type": "done"}
 
 
+def analyse_issue(nodes: DataFrame, query: list[float], title: str, body: str, provider: str = "extractive") -> Iterator[dict]:
+    """The records of an answer to an issue, from functions, files and commits near its title and body."""
+    yield from answer(rag.issue_context(nodes, query, title, body), f"{title}\n\n{body}", "diagnostician", provider)
+
+
 def events(records: Iterator[dict]) -> Iterator[str]:
     """Lines of a server-sent event stream."""
     for r in records:

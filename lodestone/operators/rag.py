@@ -72,6 +72,7 @@ def shown(summary: DataFrame) -> DataFrame:
     return summary.where(~F.col("name").isin("", "N/A") & ~texts.blank(F.col("content"))).withColumn("percent", F.when(F.col("score") > 0, F.format_string("%.0f%%", F.col("score") * 100)))
 
 
+# fixed values: the lines of the texts below are formats of prompts
 def context_text(context: DataFrame) -> DataFrame:
     """One row with the context as a text; a fixed answer without any."""
     content = F.coalesce(F.nullif("content", F.lit("")), F.nullif("snippet", F.lit("")), F.nullif("message", F.lit("")), F.lit(""))

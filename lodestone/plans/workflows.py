@@ -13,7 +13,7 @@ from lodestone.sources import history
 from lodestone.streaming import events as webhooks
 
 from . import fixture
-from .catalogue import SQL_DOCS, SQL_SCORED, VECTOR, _ask_sql, _customers, _path, _path_sql, _webhooks
+from .catalogue import _ISSUE, SQL_DOCS, SQL_SCORED, VECTOR, _ask_sql, _customers, _path, _path_sql, _webhooks
 from .registry import query
 
 # symbols: a source for each document, with all its lines as comments
@@ -413,6 +413,16 @@ def answer_events(spark, d):
     return got.select((F.col("i") / 2).cast("int").alias("i"), "kind", "text")
 
 
+@query(_ISSUE.replace("SELECT id, label, score, CAST", "SELECT CAST").replace(" AS position FROM best", " AS position, label, score FROM best"))
+def issue_events(spark, d):
+    """The context record of a streamed analysis of an issue; pieces of the answer and an end follow it."""
+    records = list(answer.analyse_issue(fixture.documents(spark, d), VECTOR, "No such title", "No such body"))
+    kinds = [r["type"] for r in records]
+    if kinds[0] != "context" or kinds[-1] != "done" or set(kinds[1:-1]) != {"chunk"}:
+        raise RuntimeError(f"records out of order: {kinds}")
+    return spark.createDataFrame([(x["position"], x["type"], x["score"]) for x in records[0]["items"]], "position int, label string, score double")
+
+
 @query(
     """WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 4 AS k, source FROM documents)
 SELECT id, 0 AS i, CASE k WHEN 3 THEN 'raw' ELSE 'chunk' END AS kind, CASE k WHEN 3 THEN 'not json' ELSE source END AS text FROM f UNION ALL SELECT id, 2, 'end', NULL FROM f"""

@@ -47,3 +47,24 @@ def test_cli(capsys):
     cli.main(["settings"])
     out = capsys.readouterr().out
     assert "python .py .pyi" in out and json.loads(out.strip().split("\n")[-1])["max_limit"] == 100
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestone import cli
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("import os\n\ndef f():\n    return 1\n")
+    (tmp_path / "src" / "b.txt").write_text("text")
+    cli.main(["analyze", str(tmp_path / "src"), "--name", "r", "--out", str(tmp_path / "graph")])
+    said = capsys.readouterr().out
+    assert "Function 1" in said and "'parsed': 1" in said and "'skipped': 1" in said
+    cli.main(["stats", str(tmp_path / "graph")])
+    assert "Function 1" in capsys.readouterr().out
+    cli.main(["validate", str(tmp_path / "graph")])
+    assert capsys.readouterr().out.strip() == "repeated identifiers: 0, edges without ends: 0"
+    cli.main(["clear", str(tmp_path / "graph"), "repo:r", "--out", str(tmp_path / "cleared")])
+    cli.main(["stats", str(tmp_path / "cleared")])
+    assert "Function" not in capsys.readouterr().out
+    for command in ("languages", "settings", "flags"):
+        cli.main([command])
+        assert capsys.readouterr().out
