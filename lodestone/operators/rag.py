@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.config import Flags, Settings
 from lodestone.functions import texts
 
-from .search import scored, text_score, top_by
+from .search import nearest_by_label, text_score, top_by
 
 # fixed values: node types of each agent, by priority
 AGENTS = {
@@ -40,7 +40,7 @@ def ask_context(nodes: DataFrame, query: list[float], text: str, agent: str = "p
     share = per_type or max(1, limit // len(types))
     hybrid = kind == "hybrid" and flags.on("hybrid_search")
     some = nodes.where(F.col("label").isin(*types)) if hybrid or flags.on("vector_search") else nodes.limit(0)
-    pool = top_by(scored(some, query, settings.similarity), ["label"], share * (2 if hybrid else 1))
+    pool = nearest_by_label(some, query, share * (2 if hybrid else 1), settings.similarity)
     words = F.when(F.col("label") == "Commit", text_score("Commit", text)).otherwise(text_score("Function", text)) if hybrid else F.lit(0.0)
     weight = settings.vector_weight if hybrid else 1.0
     both = pool.drop("rank").withColumn("score", F.round(weight * F.col("vector_score") + (1 - weight) * words, 9))

@@ -111,7 +111,7 @@ def knn(spark, d):
 
 @query(f"WITH {SQL_SCORED} SELECT id, label, vector_score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vector_score DESC, id) AS r FROM scored) WHERE r <= 3")
 def knn_by_label(spark, d):
-    return search.top_by(search.scored(fixture.documents(spark, d), VECTOR), ["label"], 3).select("id", "label", "vector_score", "rank")
+    return search.nearest_by_label(fixture.documents(spark, d), VECTOR, 3).select("id", "label", "vector_score", "rank")
 
 
 @query(
