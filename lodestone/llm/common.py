@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,10 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+class _Made(threading.local):
+    """Folders that temporary has named in this thread."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    _made.paths.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """df written once as Parquet to the shared folder and read back: its lineage ends there and survives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    path = temporary(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,12 +106,32 @@ def joined(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes,
     return big.join(F.broadcast(small) if size <= bound else small.hint("merge"), on, how)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark writes to; Python has no public call for that."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tables_made() -> int:
+    """A mark for finished: how many tables this thread has written."""
+    return len(_made.paths)
+
+
+def finished(result: DataFrame, name: str, since: int) -> DataFrame:
+    """result as a written table, with all tables deleted that this thread has written since the mark; for jobs that go
+    on with result alone."""
+    out = stored(result, name)
+    for path in _made.paths[since:-1]:
+        _delete(result.sparkSession, path)
+    del _made.paths[since:-1]
+    return out
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Frees the disk of steps that are done: deletes written tables that nothing reads any more, and has the driver
     collect its garbage, upon which Spark removes the shuffle files of results that are gone."""
     for path in {os.path.dirname(f) for t in tables for f in t.inputFiles()}:
         if "/lodestone/" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
     gc.collect()
     spark._jvm.System.gc()

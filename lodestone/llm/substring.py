@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, batches_of, release, shared_dir, stored, with_keys
+from .common import append_columns, batches_of, release, stored, temporary, with_keys
 from .windows import BASES, WordHashes, anchors, mixed, prefix, span_hashes, words_of
 
 #: A place packs the first window of a stretch and its last one's distance from it.
@@ -66,7 +66,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 35, gram: int = 12, fanout: int = 4):
         if not 0 < gram <= window or window - gram >= 1 << SPAN_BITS:
             raise ValueError("gram must be from 1 to window, and window - gram under 256")
-        self.spark, self.folder = spark, (folder or f"{shared_dir(spark)}/lodestone/index-{uuid.uuid4().hex}").rstrip("/")
+        self.spark, self.folder = spark, (folder or temporary(spark, "index")).rstrip("/")
         self.window, self.gram, self.fanout, self.version = window, gram, fanout, 0
         #: Names of the tables in force.
         self.tables: dict[str, list[str]] = {"run": [], "keys": [], "repeated": []}
