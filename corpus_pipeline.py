@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, pieces, simhash, substring, toxicity
-from lodestone.llm.common import joined, stored, with_keys
+from lodestone.llm.common import finished, joined, stored, tables_made, with_keys
 from lodestone.llm.queries import TOKENIZERS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -102,8 +102,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder."""
+    """All stages over documents; each but the last is written to the shared folder, where it replaces what was there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    mark = tables_made()
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = finished(stage(spark, docs, sf_dir), name, mark)
     return STAGES[-1][1](spark, docs, sf_dir)
