@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import reachable
+from .graph import reachable, stored
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_old: bool = True, created: str | None = None, now: Column | None = None) -> DataFrame:
@@ -55,8 +55,8 @@ def set_embeddings(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def without(nodes: DataFrame, edges: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges without the ids of doomed and all that touches them."""
-    ids = doomed.select("id").distinct()
+    """nodes and edges without the ids of doomed and all that touches them; doomed is worked out once, and written."""
+    ids = stored(doomed.select("id").distinct(), "doomed")
     left = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return nodes.join(ids, "id", "left_anti").select(*nodes.columns), left.select(*edges.columns)
 
@@ -64,6 +64,7 @@ def without(nodes: DataFrame, edges: DataFrame, doomed: DataFrame) -> tuple[Data
 def file_subgraph(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(id): files and their classes, functions, tests and docs, and the methods of the classes."""
     own = files.select("id")
+    edges = edges.where(F.col("type").isin("CONTAINS_CLASS", "CONTAINS_FUNCTION", "HAS_TEST", "HAS_DOC", "HAS_METHOD"))
     direct = edges.where(F.col("type").isin("CONTAINS_CLASS", "CONTAINS_FUNCTION", "HAS_TEST", "HAS_DOC")).join(own.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
     methods = edges.where(F.col("type") == "HAS_METHOD").join(direct.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
     return own.unionByName(direct).unionByName(methods).distinct()

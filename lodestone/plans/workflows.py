@@ -439,13 +439,11 @@ def received_events(spark, d):
     """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents),
 h AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS h FROM w), s AS (SELECT doc_id, h % 64 AS spot, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY doc_id, h % 64),
 n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM s GROUP BY doc_id)
-SELECT d.doc_id AS id, CASE WHEN trim(d.text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN NULL ELSE list_transform(list_transform(range(64), lambda i: coalesce(map_extract(m, i)[1], 0.0)), lambda x: round(CASE WHEN n > 0 THEN x / n ELSE 0.0 END, 4)) END AS embedding
+SELECT d.doc_id AS id, CASE WHEN trim(d.text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN NULL ELSE list_transform(list_transform(range(64), lambda i: CAST(coalesce(map_extract(m, i)[1], 0.0) AS FLOAT)), lambda x: CASE WHEN n > 0 THEN x / CAST(n AS FLOAT) ELSE 0.0::FLOAT END) END AS embedding
 FROM documents d LEFT JOIN (SELECT doc_id, map(list(spot), list(x)) AS m, any_value(n.n) AS n FROM s JOIN n USING (doc_id) GROUP BY doc_id) USING (doc_id)"""
 )
 def hash_embed(spark, d):
-    vector = embed.embedder("hash", 64)(F.col("text"))
-    rounded = F.transform(vector, lambda x: F.round(x.cast("double"), 4))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), rounded.alias("embedding"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), embed.embedder("hash", 64)(F.col("text")).alias("embedding"))
 
 
 @query(f"WITH {SQL_DOCS} SELECT label, count(*) AS total, count(*) FILTER (WHERE embedding IS NOT NULL OR trim(content) <> '') AS embedded FROM docs GROUP BY label")
