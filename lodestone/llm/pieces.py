@@ -30,10 +30,10 @@ from .common import batches_of, with_columns
 SPACE = "▁"
 #: Letters for cutting units; raised figures, which some pieces join with signs, are none.
 LETTER = r"[^\W\d_²³¹]"
-#: Units remembered by a worker, without dropout, before its memory starts anew.
-CACHE = 400_000
+#: Units remembered by a task, without dropout, before its memory starts anew.
+CACHE = 150_000
 #: Units encoded at once, and columns of one table of them.
-UNITS, ROWS = 400_000, 1 << 16
+UNITS, ROWS = 150_000, 1 << 14
 #: Characters up to which units are merged side by side (at most 252); beyond them a heap for each unit pays off.
 LONG = 128
 #: The order of a pair that doesn't merge.
@@ -407,6 +407,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", dropout: float =
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array(none))
             count = pa.array(n, mask=none)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), ids, count, pa.array(right, pa.bool_())], names=schema.names)
+        own._forget()  # the worker may go on with other work
 
     return docs.mapInArrow(run, schema)
 

@@ -140,8 +140,7 @@ class FingerprintIndex:
         holders = key_bits(_where_in(found, bits, ["a"]).select("kd", F.col("tag").cast("long").alias("tag")).distinct(), ["kd", "tag"])
         release(spark, found, again, blocks)
         keyed = with_keys(docs.select(id_col, text_col), id_col, text_col)
-        some = _where_in(keyed.select("kd", F.col("tag").cast("long").alias("tag"), text_col), holders, ["kd", "tag"])
-        lists = stored(self._window_lists(some.select("kd", F.col("tag").cast("int").alias("tag"), text_col), bits), "windows")
+        lists = stored(self._window_lists(keyed.select("kd", F.col("tag").cast("long").alias("tag"), text_col), bits, holders), "windows")
         each = lists.select("a", F.explode("hashes").alias("w"))
         twice = stored(each.groupBy("a", "w").agg(F.count("*").alias("n")).where("n > 1").select("a", "w"), "twice")
         release(spark, mixed_up)
@@ -151,14 +150,15 @@ class FingerprintIndex:
         release(spark, whole, lists, twice)
         return spans
 
-    def _window_lists(self, keyed: DataFrame, bits: np.ndarray) -> DataFrame:
-        """(kd, tag, a, first, hashes): the window hashes of each stretch whose anchor is in bits."""
+    def _window_lists(self, keyed: DataFrame, bits: np.ndarray, holders: np.ndarray) -> DataFrame:
+        """(kd, tag, a, first, hashes): the window hashes of each stretch whose anchor is in bits, of rows in holders."""
         window, gram = self.window, self.gram
-        sent = keyed.sparkSession.sparkContext.broadcast(bits)
+        sent, asked_for = (keyed.sparkSession.sparkContext.broadcast(x) for x in (bits, holders))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
+                batch = batch.filter(pa.array(in_bits(asked_for.value, _key(batch, ["kd", "tag"]))))
                 sizes, rows, firsts, lengths, flat = [], [], [], [], []
                 for text in batch.column(2).to_pylist():
                     ids = hashes.of(words_of(text))
@@ -176,7 +176,7 @@ class FingerprintIndex:
                 take = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
                 rows, firsts, lengths, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, firsts, lengths, flat))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(rows), pa.array(firsts), lists], names=["kd", "tag", "a", "first", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take).cast(pa.int32()), pa.array(rows), pa.array(firsts), lists], names=["kd", "tag", "a", "first", "hashes"])
 
         return keyed.mapInArrow(run, "kd long, tag int, a long, first long, hashes array<long>")
 

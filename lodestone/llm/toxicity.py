@@ -35,9 +35,9 @@ WORD = re.compile(r"\w+")
 #: Beginnings of words that are terms beside the whole words.
 PREFIXES = (5,)
 #: Entries after which a worker's word cache starts anew.
-CACHE = 300_000
+CACHE = 150_000
 #: Tokens, and queries, taken at once.
-TOKENS, BATCH = 500_000, 256
+TOKENS, BATCH = 150_000, 128
 
 
 @dataclass(frozen=True)
