@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, html, pieces, sharding, simhash, substring, tokenfiles, toxicity
+from . import chat, decontamination, embeddings, html, packing, pieces, repair, resampling, sharding, simhash, substring, tokenfiles, toxicity
 
 #: Vocabulary files of public tokenizers.
 TOKENIZERS = "/opt/tokenizers"
@@ -138,8 +138,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_pieces", "lossless", "piece_ids")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embeddings": op4_embeddings, "op5_html": op5_html, "op6_sharding": op6_sharding, "op7_substring": op7_substring, "op8_token_counts": op8_token_counts, "op9_chat": op9_chat, "op10_sentencepiece": op10_sentencepiece, "chat_tool_calls": chat_tool_calls}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_embeddings": op4_embeddings, "op5_html": op5_html, "op6_sharding": op6_sharding, "op7_substring": op7_substring, "op8_token_counts": op8_token_counts, "op9_chat": op9_chat, "op10_sentencepiece": op10_sentencepiece, "op11_packing": op11_packing, "op12_repair": op12_repair, "op13_resampling": op13_resampling, "chat_tool_calls": chat_tool_calls}
 
 
 def oracle_sql() -> dict[str, str]:
