@@ -73,28 +73,58 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).groupBy("id").agg(F.sum("n").alias("degree"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(id): nodes that a path of edges in either direction joins to the ids of starts, those included.
+#: Rounds of contraction after which something must be wrong: each leaves less than half of the nodes that have edges.
+MOST_ROUNDS = 100
 
-    Each round joins only the nodes that the last one found; it ends when there are no more. Every frontier is a
-    written table, so that a lost executor repeats one round at most.
+
+def contracted(edges: DataFrame) -> tuple[list[DataFrame], int]:
+    """(maps, rounds): tables (id, to) of each round, by which the nodes of a component come to one node.
+
+    In a round each node hooks to the first of itself and its neighbours in an order that is drawn anew, pointers jump
+    twice, and edges move to where their ends point. A node that has edges is first in its own order with a chance of
+    half at most, so that rounds grow with the logarithm of the nodes, however long a path is. Every round is a written
+    table; a node with very many edges is combined before the shuffle, and the joins are between written tables, which
+    adaptive execution splits where a key is hot.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = stored(both, "links")
-    frontier = stored(starts.select("id").distinct(), "frontier")
-    found = [frontier]
-    for _ in range(max_rounds):
-        seen = found[0]
-        for more in found[1:]:
-            seen = seen.unionByName(more)
-        step = frontier.withColumnRenamed("id", "src").join(both, "src").select(F.col("dst").alias("id")).distinct()
-        frontier = stored(step.join(seen, "id", "left_anti"), "frontier")
-        if not frontier.limit(1).count():
-            return seen
-        found.append(frontier)
-        if len(found) > 8:
-            found = [stored(seen.unionByName(frontier), "seen")]
-    raise RuntimeError(f"more than {max_rounds} rounds")
+    both = edges.select("src", "dst").where("src <> dst")
+    both = stored(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    maps: list[DataFrame] = []
+    while both.limit(1).count():
+        if len(maps) >= MOST_ROUNDS:
+            raise RuntimeError(f"more than {MOST_ROUNDS} rounds")
+        drawn = F.lit(len(maps))
+        own, near = F.struct(F.xxhash64("src", drawn).alias("h"), F.col("src").alias("id")), F.struct(F.xxhash64("dst", drawn).alias("h"), F.col("dst").alias("id"))
+        hooks = stored(both.groupBy("src").agg(F.min(F.least(own, near)).alias("x")).select(F.col("src").alias("id"), F.col("x.id").alias("to")), "hooks")
+        for _ in range(2):
+            next_ = hooks.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            hooks = stored(hooks.join(next_, "to").select("id", F.col("next").alias("to")), "hooks")
+        maps.append(hooks)
+        a, b = hooks.select(F.col("id").alias("src"), F.col("to").alias("a")), hooks.select(F.col("id").alias("dst"), F.col("to").alias("b"))
+        # an edge moves once: the table has it in both directions
+        half = both.where("src < dst").join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        both = stored(half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
+    return maps, len(maps)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): nodes that have an edge to another one, and a node of their own component that stands for it."""
+    maps, _ = contracted(edges)
+    if not maps:
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    # from the last round, which has the fewest nodes, to the first
+    out = maps[-1].select("id", F.col("to").alias("component"))
+    for earlier in reversed(maps[:-1]):
+        later = out.withColumnRenamed("id", "to")
+        out = stored(earlier.join(later, "to", "left").select("id", F.coalesce("component", "to").alias("component")), "components")
+    return out
+
+
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id): nodes that a path of edges in either direction joins to the ids of starts, those included."""
+    first = starts.select("id").distinct()
+    found = components(edges)
+    wanted = found.join(first, "id", "left_semi").select("component").distinct()
+    return found.join(wanted, "component", "left_semi").select("id").unionByName(first).distinct()
 
 
 def statistics(starts: DataFrame, branches: dict[str, DataFrame]) -> DataFrame:
