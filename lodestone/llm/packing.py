@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +24,8 @@ from tokenizers import Tokenizer
 
 from .common import batches_of
 
-#: Runs remembered by a worker before the cache starts anew.
-CACHE = 200_000
+#: Words remembered by a worker before the cache starts anew.
+CACHE = 400_000
 #: Rows tokenised at a time.
 ROWS = 64
 
@@ -41,35 +41,56 @@ def _stands_for_bytes() -> dict[int, int]:
     return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(others)}
 
 
-class Runs(dict):
-    """Identifiers of a run of anything but ASCII white space, as little-endian unsigned 32-bit numbers.
+class Words(dict):
+    """Identifiers of the words that the tokenizer divides a text into, as little-endian unsigned 32-bit numbers."""
 
-    The tokenizer drops white space, so that no token and no normalisation reaches over it.
-    """
-
-    #: Signs below U+0250 but controls: normal forms and lower case are the same everywhere, and no marks combine.
-    PLAIN = regex.compile(r"[\x21-\x7E\xA1-ɏ]+")
-    SPLIT = regex.compile(WORDS)
     SIGNS = _stands_for_bytes()
 
-    def __init__(self, tokenizer: Tokenizer, special: list[str]):
-        self.tokenizer, self.model, self.special = tokenizer, tokenizer.model, special
-
-    def __missing__(self, run: bytes) -> bytes:
-        text = run.decode("utf-8", "replace")
-        if self.PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            words = (w.encode().decode("latin-1").translate(self.SIGNS) for w in self.SPLIT.findall(text.lower()))
-            ids = [t.id for w in words for t in self.model.tokenize(w)]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
-        if len(run) <= 64:
+    def __init__(self, tokenizer: Tokenizer):
+        self.model = tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.SIGNS))
+        found = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        if len(word) <= 64:
             if len(self) >= CACHE:
                 self.clear()
-            self[run] = found
+            self[word] = found
         return found
 
 
+class Plain:
+    """Texts of a tokenizer that drops white space and divides the rest by WORDS.
+
+    Signs below U+0180 but controls have the same normal form and lower case everywhere, and no marks combine among them:
+    texts of such signs are divided here. Of other texts the runs between ASCII white space are taken one by one, since
+    no token and no normalisation reaches over it, and those of other signs are left to the tokenizer.
+    """
+
+    SIGNS = re.compile(r"[\t-\r\x20-\x7E\xA0-ſ]*")
+    LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+    #: WORDS for these signs.
+    SPLIT = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{LETTERS}{NUMBERS}]+")
+
+    def __init__(self, tokenizer: Tokenizer, special: list[str]):
+        self.tokenizer, self.special, self.words = tokenizer, special, Words(tokenizer)
+
+    def _is_plain(self, text: str) -> bool:
+        return self.SIGNS.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def _divided(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.SPLIT.findall(text.lower())))
+
+    def ids(self, text: str) -> bytes:
+        if self._is_plain(text):
+            return self._divided(text)
+        out = []
+        for run in text.encode("utf-8", "replace").split():
+            run = run.decode("utf-8", "replace")
+            out.append(self._divided(run) if self._is_plain(run) else np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes())
+        return b"".join(out)
+
+
 class Encoder:
     """Identifiers of texts by a tokenizer file, without special tokens of its own."""
 
@@ -80,11 +101,11 @@ class Encoder:
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         drops = steps == [{"type": "NFC"}, SPACE, {"type": "Lowercase"}] and split == {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
-        self.runs = Runs(self.tokenizer, special) if drops and not any(any(c.isspace() for c in s) for s in special) else None
+        self.plain = Plain(self.tokenizer, special) if drops and not any(any(c.isspace() for c in s) for s in special) else None
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if self.runs is not None:
-            return [b"".join(map(self.runs.__getitem__, (t or "").encode("utf-8", "replace").split())) for t in texts]
+        if self.plain is not None:
+            return [self.plain.ids(t or "") for t in texts]
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 

@@ -54,7 +54,7 @@ def test_query_equals_the_tokenizer(spark, tokenizer):
 
 def test_every_plain_sign_is_split_as_the_tokenizer_does(tokenizer):
     encode = P.Encoder(open(FILE).read())
-    assert encode.runs is not None
+    assert encode.plain is not None
     signs = [chr(c) for c in range(0x300) if not 0xD800 <= c < 0xE000]
     texts = [f"{c} a{c} {c}b1{c}{c}2 it's{c}ll X{c}Y" for c in signs] + ["I'LL don't 'S '' é'll ǰ J̌ Σας ΑΣ 中文,字 ½²x <|endoftext|> a<|startoftext|>b <|x|>", "\x1c\x85  a b\x0bc", "", "word" * 5000]
     assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
