@@ -69,6 +69,17 @@ def with_columns(schema: T.StructType, new: list[T.StructField]) -> T.StructType
     return T.StructType([f for f in schema if f.name.lower() not in names] + new)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, with underscores before those that df has, whatever their case: for columns of an operator's own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def append_columns(df: DataFrame, source: str, new: list[T.StructField], compute: Callable[[list], list[list]]) -> DataFrame:
     """df with columns computed from the column source by batches; columns of the same names are replaced."""
     schema = with_columns(df.schema, new)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, batches_of, joined, stored
+from .common import append_columns, batches_of, joined, stored, unused
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
@@ -477,13 +477,14 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ma
     equal texts. Pages may be of any length and nested to any depth. Columns named like the new ones are replaced,
     others pass through. With marks False the wrapper alone decides.
     """
-    templates = induce(pages.select(url_col, html_col), url_col, html_col).toDF("_host", "_wrappers")
-    met = joined(pages.withColumn("_host", _host(url_col)), templates, ["_host"], "left", 96 + F.octet_length(F.to_json("_wrappers")))
-    packed = met.withColumn("_page", F.struct(F.col(html_col).alias("html"), F.col("_wrappers").alias("wrappers"))).drop("_host", "_wrappers")
+    host, wrappers, page = unused(pages, "_host", "_wrappers", "_page")
+    templates = induce(pages.select(url_col, html_col), url_col, html_col).toDF(host, wrappers)
+    met = joined(pages.withColumn(host, _host(url_col)), templates, [host], "left", 96 + F.octet_length(F.to_json(wrappers)))
+    packed = met.withColumn(page, F.struct(F.col(html_col).alias("html"), F.col(wrappers).alias("wrappers"))).drop(host, wrappers)
 
     def compute(rows: list) -> list[list]:
         found = [extract(r["html"], {w["layout"]: (w["wrapper"], {(c["block"], c["run"]) for c in w["constant"]}, w["region"]) for w in r["wrappers"] or ()}, marks) for r in rows]
         return [[t for t, _ in found], [len(t) for t, _ in found], [n for _, n in found]]
 
     new = [T.StructField("main_text", T.StringType()), T.StructField("n_main_chars", T.LongType()), T.StructField("n_left_out", T.LongType())]
-    return append_columns(packed, "_page", new, compute).drop("_page")
+    return append_columns(packed, page, new, compute).drop(page)

@@ -12,6 +12,7 @@ Occurrences none of whose candidates is skipped are segmented as without dropout
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import itertools
 import re
@@ -63,6 +64,14 @@ class Vocabulary:
             raise ValueError("the model must have byte fallback and no piece that reaches across spaces or lines")
         return cls(pieces, tuple(of_bytes[f"<0x{b:02X}>"] for b in range(256)), sp.unk_id())
 
+    @functools.cached_property
+    def digest(self) -> bytes:
+        """What tells a vocabulary from others; worked out once, before it is sent to the workers."""
+        out = hashlib.sha256(repr((self.byte_ids, self.unknown)).encode())
+        for piece in sorted(self.pieces.items()):
+            out.update(repr(piece).encode())
+        return out.digest()
+
     def units(self) -> re.Pattern:
         """Cuts a text where no piece reaches across: before spaces, around line ends, and between a letter and a sign
         (in this order or the other) that stand side by side in no piece."""
@@ -370,12 +379,18 @@ class Encoder:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
+def _digested(model: str) -> Vocabulary:
+    out = Vocabulary.load(model)
+    out.digest  # noqa: B018, remembered in the object
+    return out
+
+
 _encoders: dict = {}
 
 
 def _encoder(sent, dropout: float, seed: int) -> Encoder:
     """One encoder for a worker process, so that later tasks find its cache."""
-    key = (len(sent.value.pieces), hash(sent.value.byte_ids), dropout, seed)
+    key = (sent.value.digest, dropout, seed)
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(sent.value, dropout, seed)
@@ -391,7 +406,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", dropout: float =
     """
     spark = docs.sparkSession
     batches_of(spark)
-    sent = spark.sparkContext.broadcast(Vocabulary.load(model))  # as large as the vocabulary
+    sent = spark.sparkContext.broadcast(_digested(model))  # as large as the vocabulary
     new = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())]
     schema = with_columns(docs.schema, new)
     kept = schema.names[:-3]
@@ -416,7 +431,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFrame
     """rows with decoded string from the ids; null ids give null."""
     from .common import append_columns
 
-    sent = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    sent = rows.sparkSession.sparkContext.broadcast(_digested(model))
 
     def compute(ids: list) -> list[list]:
         own = _encoder(sent, 0.0, 0)

@@ -11,6 +11,7 @@ slot. The result is a uniform permutation of all rows that depends only on the s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, stored, with_columns
+from .common import batches_of, stored, unused, with_columns
 
 #: Rows of one part; parts are runs of a file's rows.
 PART = 1 << 18
@@ -55,20 +56,33 @@ def communication_matrix(parts: list[int], shards: list[int], seed: int) -> np.n
     return out
 
 
-def _parts(docs: DataFrame, kept: list[str]) -> tuple[DataFrame, dict, int] | None:
+class _Names(NamedTuple):
+    """Columns of the operator's own, named unlike those of the table."""
+
+    file: str
+    row: str
+    size: str
+    part: str
+    cell: str
+    order: str
+
+
+def _parts(docs: DataFrame, kept: list[str], own: _Names) -> tuple[DataFrame, dict, int] | None:
     """docs with each row's part and place, the rows of each part, and the bytes of the files; None where rows have no
     places of their own."""
     try:
-        placed = docs.select(*[F.col(f"`{n}`") for n in kept], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), F.col("_metadata.file_size").alias("_size"))
-        placed = placed.withColumn("_part", F.floor(F.col("_row") / PART).cast("int"))
+        places = docs.metadataColumn("_metadata")
+        placed = docs.select(*[F.col(f"`{n}`") for n in kept], places["file_path"].alias(own.file), places["row_index"].alias(own.row), places["file_size"].alias(own.size))
+        placed = placed.withColumn(own.part, F.floor(F.col(own.row) / PART).cast("int"))
     except AnalysisException:
         return None
-    at = F.col("_row") % PART
+    at = F.col(own.row) % PART
     # a few numbers for each PART rows: the driver's share of the work
-    found = placed.groupBy("_file", "_part").agg(F.count("*").alias("n"), F.max(at).alias("last"), F.sum(at).alias("sum"), F.first("_size").alias("size")).collect()
+    told = placed.select(F.col(own.file).alias("file"), F.col(own.part).alias("part"), F.col(own.size).alias("bytes"), at.alias("at"))
+    found = told.groupBy("file", "part").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.sum("at").alias("sum"), F.first("bytes").alias("size")).collect()
     if any(r.n != r.last + 1 or 2 * r["sum"] != r.n * (r.n - 1) for r in found):
         return None  # rows were left out or copied
-    return placed, {(r["_file"], r["_part"]): r.n for r in found}, sum({r["_file"]: r["size"] for r in found}.values())
+    return placed, {(r["file"], r["part"]): r.n for r in found}, sum({r["file"]: r["size"] for r in found}.values())
 
 
 def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_per_cell: int = 16_384, bytes_per_cell: int = 16 << 20) -> DataFrame:
@@ -86,7 +100,8 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_pe
     spark = docs.sparkSession
     batches_of(spark)
     kept = [f.name for f in docs.schema if f.name.lower() not in ("shard", "slot")]
-    placed, counts, size = _parts(docs, kept) or _parts(stored(docs.select(*[F.col(f"`{n}`") for n in kept]), "rows"), kept)
+    own = _Names(*unused(docs, "_file", "_row", "_size", "_part", "_cell", "_order"))
+    placed, counts, size = _parts(docs, kept, own) or _parts(stored(docs.select(*[F.col(f"`{n}`") for n in kept]), "rows"), kept, own)
     parts, total = sorted(counts), sum(counts.values())
     matrix = communication_matrix([counts[p] for p in parts], shard_sizes(total, shards), seed)
     per_shard = max(1, -(-total // (shards * rows_per_cell)), -(-size // (shards * bytes_per_cell)))
@@ -95,18 +110,18 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_pe
     def drawn(batch: pa.RecordBatch, dealt: dict) -> tuple[np.ndarray, np.ndarray]:
         """Cell and key of each row of a batch; dealt remembers the last parts."""
         index, rows = sent.value
-        files, at, part = (batch.column(batch.schema.get_field_index(n)) for n in ("_file", "_row", "_part"))
-        own = np.array([index[k] for k in zip(files.to_pylist(), part.to_pylist(), strict=True)], np.int64)
+        files, at, part = (batch.column(batch.schema.get_field_index(n)) for n in (own.file, own.row, own.part))
+        place = np.array([index[k] for k in zip(files.to_pylist(), part.to_pylist(), strict=True)], np.int64)
         at = at.to_numpy() % PART
-        shard, key = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-        for p in np.unique(own).tolist():
+        shard, key = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        for p in np.unique(place).tolist():
             if p not in dealt:
                 if len(dealt) > 2:
                     dealt.clear()
                 rng = np.random.default_rng((seed, p))
                 labels = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), rows[p]))
                 dealt[p] = labels, rng.integers(0, 1 << KEY, len(labels))
-            here = own == p
+            here = place == p
             shard[here], key[here] = dealt[p][0][at[here]], dealt[p][1][at[here]]
         return (shard * per_shard + (key >> 20) * per_shard // (1 << (KEY - 20))).astype(np.int32), key
 
@@ -116,10 +131,10 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_pe
             yield pa.RecordBatch.from_arrays([pa.array(drawn(batch, dealt)[0])], names=["cell"])
 
     # one number for each cell: a pass over the rows' places, without their texts
-    filled = {r.cell: r["count"] for r in placed.select("_file", "_row", "_part").mapInArrow(cells, "cell int").groupBy("cell").count().collect()}
+    filled = {r.cell: r["count"] for r in placed.select(own.file, own.row, own.part).mapInArrow(cells, "cell int").groupBy("cell").count().collect()}
     sizes = np.array([filled.get(c, 0) for c in range(shards * per_shard)], np.int64).reshape(shards, per_shard)
     first = spark.sparkContext.broadcast((np.cumsum(sizes, axis=1) - sizes).reshape(-1))
-    schema = with_columns(T.StructType([f for f in docs.schema if f.name in kept]), [T.StructField("_cell", T.IntegerType()), T.StructField("_order", T.LongType())])
+    schema = with_columns(T.StructType([f for f in docs.schema if f.name in kept]), [T.StructField(own.cell, T.IntegerType()), T.StructField(own.order, T.LongType())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt: dict = {}
@@ -131,7 +146,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_pe
         """Cells come one after the other, in the order of their second permutation."""
         cell, seen = -1, 0
         for batch in batches:
-            cells_ = batch.column(batch.schema.get_field_index("_cell")).to_numpy()
+            cells_ = batch.column(batch.schema.get_field_index(own.cell)).to_numpy()
             slot = first.value[cells_]
             for c in np.unique(cells_).tolist():
                 if c != cell:
@@ -142,7 +157,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_pe
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array((cells_ // per_shard).astype(np.int32)), pa.array(slot)], names=[*kept, "shard", "slot"])
 
     out = with_columns(T.StructType([f for f in docs.schema if f.name in kept]), [T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    exchanged = placed.mapInArrow(deal, schema).repartitionById(shards * per_shard, "_cell").sortWithinPartitions("_cell", "_order")
+    exchanged = placed.mapInArrow(deal, schema).repartitionById(shards * per_shard, own.cell).sortWithinPartitions(own.cell, own.order)
     return exchanged.mapInArrow(number, out)
 
 

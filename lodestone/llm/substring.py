@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, batches_of, release, stored, temporary, with_keys
+from .common import append_columns, batches_of, release, stored, temporary, unused, with_keys
 from .windows import BASES, WordHashes, anchors, mixed, prefix, span_hashes, words_of
 
 #: A place packs the first window of a stretch and its last one's distance from it.
@@ -285,14 +285,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     for i in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)) == i), id_col, text_col)
     spans = index.spans(docs, id_col, text_col)
-    keys = ("_kd", "_tag")
-    keyed = with_keys(docs, id_col, text_col, keys).join(spans.toDF(*keys, "_spans").hint("shuffle_hash"), list(keys), "left")
-    return removed(keyed.drop(*keys), text_col)
+    *keys, own = unused(docs, "_kd", "_tag", "_spans")
+    keyed = with_keys(docs, id_col, text_col, tuple(keys)).join(spans.toDF(*keys, own).hint("shuffle_hash"), keys, "left")
+    return removed(keyed.drop(*keys), text_col, own)
 
 
-def removed(docs: DataFrame, text_col: str) -> DataFrame:
-    """Applies the column _spans to the texts."""
-    pairs = docs.withColumn("_spans", F.struct(F.col(text_col).alias("text"), F.col("_spans").alias("spans")))
+def removed(docs: DataFrame, text_col: str, spans_col: str) -> DataFrame:
+    """Applies the column spans_col, which goes, to the texts."""
+    pairs = docs.withColumn(spans_col, F.struct(F.col(text_col).alias("text"), F.col(spans_col).alias("spans")))
 
     def compute(rows: list) -> list[list]:
         out = []
@@ -309,4 +309,4 @@ def removed(docs: DataFrame, text_col: str) -> DataFrame:
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     new = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", span), T.StructField("kept_sha256", T.StringType())]
-    return append_columns(pairs, "_spans", new, compute).drop("_spans")
+    return append_columns(pairs, spans_col, new, compute).drop(spans_col)

@@ -10,6 +10,7 @@ handles a few numbers a block, and a file's blocks are as many as one writing ta
 from __future__ import annotations
 
 import base64
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -39,14 +40,22 @@ def width_of(ranks: dict[bytes, int], eod: int) -> int:
     return 2 if max(eod, *ranks.values()) < 1 << 16 else 4
 
 
-def _encoding(sent):
+def digest_of(ranks: dict[bytes, int]) -> bytes:
+    """What tells a vocabulary from others."""
+    out = hashlib.sha256()
+    for token, rank in sorted(ranks.items()):
+        out.update(b"%d %d " % (len(token), rank) + token)
+    return out.digest()
+
+
+def _encoding(digest: bytes, ranks: dict[bytes, int]):
+    """One encoding for a worker process, as long as it gets the same vocabulary."""
     import tiktoken
 
-    key = len(sent.value)
-    if key not in _encodings:
+    if digest not in _encodings:
         _encodings.clear()
-        _encodings[key] = tiktoken.Encoding("lodestone", pat_str=PATTERN, mergeable_ranks=sent.value, special_tokens={})
-    return _encodings[key]
+        _encodings[digest] = tiktoken.Encoding("lodestone", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[digest]
 
 
 def write_token_files(docs: DataFrame, ranks: str, eod: int, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 16, width: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -57,18 +66,19 @@ def write_token_files(docs: DataFrame, ranks: str, eod: int, id_col: str = "doc_
     """
     spark = docs.sparkSession
     batches_of(spark)
-    sent = spark.sparkContext.broadcast(load_ranks(ranks))  # as large as the vocabulary
-    if eod in sent.value.values():
+    merges = load_ranks(ranks)
+    sent = spark.sparkContext.broadcast((digest_of(merges), merges))  # as large as the vocabulary
+    if eod in merges.values():
         raise ValueError("the separator must not be a token's identifier")
-    width = width or width_of(sent.value, eod)
-    if width < width_of(sent.value, eod):
+    width = width or width_of(merges, eod)
+    if width < width_of(merges, eod):
         raise ValueError(f"{width} bytes are too few for the largest identifier")
     kind = {2: "<u2", 4: "<u4"}[width]
     schema = "file int, block int, tokens binary, ids array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, at, held, size, ids = TaskContext.get().partitionId(), 0, [], 0, []
-        own = _encoding(sent)
+        own = _encoding(*sent.value)
 
         def out(tokens: np.ndarray):
             nonlocal at, ids
