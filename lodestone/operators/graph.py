@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the folder that all executors share (spark.checkpoint.dir) and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the folder that all executors share (spark.checkpoint.dir)."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
-        spark.conf.set("spark.checkpoint.dir", folder := "file://" + tempfile.mkdtemp(prefix="lodestone-"))
-    path = f"{folder.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", top := "file://" + tempfile.mkdtemp(prefix="lodestone-"))
+    return f"{top.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the folder that all executors share and read back."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def expand(starts: DataFrame, edges: DataFrame, nodes: DataFrame, kind: str | None = None, reverse: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, texts, vectors
-from lodestone.operators import dml, embed, graph, rag, search
+from lodestone.operators import dml, embed, graph, pivots, rag, search
 from lodestone.session import table
 from lodestone.sources import history
 from lodestone.streaming import events as webhooks
@@ -109,6 +109,35 @@ def knn(spark, d):
     return search.vector_search(fixture.documents(spark, d), VECTOR, 10).select("id", "label", "vector_score", "score")
 
 
+def _pivot_index(spark, d):
+    """An index of all embeddings in the folder that all executors share."""
+    vectors_ = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), "embedding")
+    return pivots.PivotIndex.build(vectors_, graph.folder(spark, "pivots"), 64, pivots=8, rings=2), vectors_
+
+
+@query(
+    """SELECT CAST(-1 AS BIGINT) AS query, vec_id AS id, CAST(label AS VARCHAR) AS label, vector_score, CAST(row_number() OVER (ORDER BY vector_score DESC, vec_id) AS INT) AS rank FROM (
+  SELECT vec_id, label, (1 + round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), """
+    + SQL_VECTOR
+    + """), 6)) / 2 AS vector_score FROM embeddings) ORDER BY rank LIMIT 10"""
+)
+def pivot_knn(spark, d):
+    """The nearest of all embeddings to one vector, by the index."""
+    asked = spark.createDataFrame([(-1, VECTOR)], "query long, embedding array<double>")
+    return _pivot_index(spark, d)[0].nearest(asked, 10)
+
+
+@query(
+    """SELECT query, id, CAST(label AS VARCHAR) AS label, vector_score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY vector_score DESC, id) AS r FROM
+  (SELECT q.vec_id AS query, e.vec_id AS id, e.label, (1 + round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)) / 2 AS vector_score
+   FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)) WHERE r <= 5"""
+)
+def pivot_neighbours(spark, d):
+    """For every row whose id is divisible by 20 the nearest of all other rows, by the index."""
+    index, vectors_ = _pivot_index(spark, d)
+    return index.nearest(vectors_.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding"), 5, but_itself=True)
+
+
 @query(f"WITH {SQL_SCORED} SELECT id, label, vector_score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vector_score DESC, id) AS r FROM scored) WHERE r <= 3")
 def knn_by_label(spark, d):
     return search.nearest_by_label(fixture.documents(spark, d), VECTOR, 3).select("id", "label", "vector_score", "rank")
