@@ -453,6 +453,33 @@ def file_history_topn(spark, d):
     return history.file_history(_touches(spark, d), 10)
 
 
+def _renamed(spark, d):
+    """Events as touches of files: every fifth user event is a rename, to a path that other events use too."""
+    u = F.col("user_id")
+    named = F.concat(F.lit("f"), u.cast("string"))
+    other = F.concat(F.lit("f"), ((u * 7 + F.col("event_id")) % 150).cast("string"))
+    renames = (F.col("event_type") == "signup") & (other != named)
+    return table(spark, d, "events").select(F.when(renames, other).otherwise(named).alias("path"), F.when(renames, named).alias("old_path"), F.col("ts").alias("committed_at"), F.col("event_id").alias("sha"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id AS sha, ts AS committed_at, 'f' || user_id AS named, 'f' || ((user_id * 7 + event_id) % 150) AS other, event_type FROM events),
+t AS (SELECT sha, committed_at, CASE WHEN event_type = 'signup' AND other <> named THEN other ELSE named END AS path, CASE WHEN event_type = 'signup' AND other <> named THEN named END AS old_path,
+  row_number() OVER (ORDER BY committed_at, sha) AS pos FROM e),
+cuts AS (SELECT DISTINCT path, pos FROM (SELECT path, pos FROM t WHERE old_path IS NOT NULL UNION ALL SELECT old_path, pos FROM t WHERE old_path IS NOT NULL)),
+lives AS (SELECT path, pos AS since, lead(pos) OVER (PARTITION BY path ORDER BY pos) AS until FROM (SELECT path, pos FROM cuts UNION ALL SELECT DISTINCT path, 0 FROM (SELECT path FROM t UNION ALL SELECT old_path FROM t WHERE old_path IS NOT NULL))),
+placed AS (SELECT t.*, since FROM t JOIN lives l ON t.path = l.path AND t.pos >= l.since AND (l.until IS NULL OR t.pos < l.until)),
+line(path, of, since) AS (SELECT path, path, since FROM lives WHERE until IS NULL UNION ALL
+  SELECT line.path, b.path, b.since FROM line JOIN t ON t.path = line.of AND t.pos = line.since AND t.old_path IS NOT NULL JOIN lives b ON b.path = t.old_path AND b.until = t.pos),
+alive AS (SELECT DISTINCT l.path FROM lives l JOIN placed p ON l.until IS NULL AND p.path = l.path AND p.since = l.since)
+SELECT path, sha, committed_at, touched_path, CAST(r AS INT) AS rank FROM (SELECT line.path, p.sha, p.committed_at, p.path AS touched_path, row_number() OVER (PARTITION BY line.path ORDER BY p.pos DESC) AS r
+  FROM line JOIN alive ON alive.path = line.path JOIN placed p ON p.path = line.of AND p.since = line.since) WHERE r <= 10"""
+)
+def file_history_followed(spark, d):
+    """The newest touches of each file, under all names that it has had."""
+    return history.followed(_renamed(spark, d))
+
+
 @query("SELECT user_id AS path, least(count(*), 1000) AS changes FROM events GROUP BY user_id")
 def change_counts(spark, d):
     return history.change_counts(_touches(spark, d))

@@ -159,7 +159,7 @@ def commit_log(spark, d):
     numbers = F.concat((F.col("event_id") % 7).cast("string"), F.lit("\t"), (F.col("event_id") % 5).cast("string"), F.lit("\tsrc/a"), u, F.lit(".py\n"))
     second = F.when(F.col("event_id") % 2 == 0, "3\t-\timg.png\n").otherwise("3\t0\t{old => new}/b.py\n")
     record = F.concat_ws("\x1f", F.sha2(k, 256), F.concat(F.lit("user"), u), F.concat(F.lit("u"), u, F.lit("@x.io")), F.lit("2024-01-01T00:00:00+00:00"), F.concat("event_type", F.lit("\n\n"), "props", F.lit("\n")), F.concat(F.lit("\n"), numbers, second))
-    return history.commits_of(table(spark, d, "events").select(record.alias("record")))
+    return history.commits_of(table(spark, d, "events").select(record.alias("record"))).drop("old_paths")
 
 
 @query(

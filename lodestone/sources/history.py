@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-COMMIT = "sha string, author_name string, author_email string, committed_at string, message string, insertions int, deletions int, files_changed array<string>"
+from lodestone.operators.graph import stored
+
+COMMIT = "sha string, author_name string, author_email string, committed_at string, message string, insertions int, deletions int, files_changed array<string>, old_paths array<string>"
 
 
 class GitLog(DataSource):
     """spark.read.format("gitlog").option("repo", folder).load(): commits, newest first; option max bounds their number.
+    old_paths has the path before the commit for each of files_changed that was renamed, and null for the others.
 
     The folder has to be in reach of the executors, as a local clone is in local mode.
     """
@@ -67,14 +70,21 @@ class _Range(InputPartition):
         self.first, self.count = first, count
 
 
-_RENAMED = re.compile(r"\{[^{}]* => ([^{}]*)\}")
+_RENAMED = re.compile(r"\{([^{}]*) => ([^{}]*)\}")
 
 
 def path_now(path: str) -> str:
     """The new path of a file that was renamed: a/{b => c}/d or a => d."""
     if " => " not in path:
         return path
-    return _RENAMED.sub(r"\1", path).replace("//", "/") if "{" in path else path.split(" => ")[1]
+    return _RENAMED.sub(r"\2", path).replace("//", "/") if "{" in path else path.split(" => ")[1]
+
+
+def path_before(path: str) -> str | None:
+    """The old path of a file that was renamed, else None."""
+    if " => " not in path:
+        return None
+    return _RENAMED.sub(r"\1", path).replace("//", "/") if "{" in path else path.split(" => ")[0]
 
 
 def commit_of(record: str) -> tuple:
@@ -82,7 +92,7 @@ def commit_of(record: str) -> tuple:
     sha, name, email, date, message, stats = record.split("\x1f")
     rows = [r.split("\t") for r in stats.strip().split("\n") if r.count("\t") == 2]
     added, gone = (sum(int(r[i]) for r in rows if r[i].isdigit()) for i in (0, 1))
-    return sha, name, email, date, message.strip(), added, gone, [path_now(r[2]) for r in rows]
+    return sha, name, email, date, message.strip(), added, gone, [path_now(r[2]) for r in rows], [path_before(r[2]) for r in rows]
 
 
 def commits_of(records: DataFrame) -> DataFrame:
@@ -108,6 +118,60 @@ def touched(commits: DataFrame) -> DataFrame:
     return commits.select("sha", "committed_at", F.explode("files_changed").alias("path"))
 
 
+def moved(commits: DataFrame) -> DataFrame:
+    """(sha, committed_at, path, old_path) for each file of each commit; old_path is null unless it was renamed."""
+    pairs = F.explode(F.arrays_zip(F.col("files_changed").alias("path"), F.col("old_paths").alias("old_path")))
+    return commits.select("sha", "committed_at", pairs.alias("x")).select("sha", "committed_at", "x.path", "x.old_path")
+
+
+def _lives(touches: DataFrame) -> DataFrame:
+    """(path, life, since, until): the stretches in which a path that renames touch is one file. since is the commit that
+    begins one (null for the first), until that of the next one."""
+    renames = touches.where("old_path is not null")
+    cuts = renames.select("path", "at").unionByName(renames.select(F.col("old_path").alias("path"), "at")).distinct()
+    first = cuts.select("path").distinct().withColumn("at", F.lit(None).cast(cuts.schema["at"].dataType))
+    order = Window.partitionBy("path").orderBy(F.col("at").asc_nulls_first())
+    return cuts.unionByName(first).select("path", (F.row_number().over(order) - 1).alias("life"), F.col("at").alias("since"), F.lead("at").over(order).alias("until"))
+
+
+def followed(touches: DataFrame, limit: int = 10, tie: str = "sha") -> DataFrame:
+    """(path, sha, committed_at, touched_path, rank): the newest touches of each present file, under all its names.
+
+    touches has path, old_path (null unless the commit renames it to path), committed_at and the unique column tie.
+    A path is another file from the commit on that renames something to it, or it to something else. Each such life has
+    at most one life that it comes from, so lives are a forest; lists of newest touches are joined along it, each round
+    twice as far, until they have limit entries or the line ends. So a chain of any length takes a number of rounds that
+    grows with its logarithm, and no list is longer than limit. A copy has the history of what it was copied from.
+    """
+    own = stored(touches.select("path", "old_path", F.struct(F.col("committed_at"), F.col(tie).alias("tie")).alias("at")), "touches")
+    lives = stored(_lives(own), "lives")
+    spans = lives.withColumnRenamed("path", "of")
+    inside = (F.col("of") == F.col("path")) & (F.col("since").isNull() | (F.col("at") >= F.col("since"))) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+    placed = own.join(spans, inside, "left").select("path", F.coalesce("life", F.lit(0)).alias("life"), "at", F.col("until").isNull().alias("present"))
+    newest = F.row_number().over(Window.partitionBy("path", "life").orderBy(F.desc("at")))
+    entry = F.struct("at", F.col("path").alias("touched"))
+    lists = placed.withColumn("rank", newest).where(F.col("rank") <= limit).groupBy("path", "life").agg(F.sort_array(F.collect_list(entry), False).alias("list"), F.max("present").alias("present"))
+    lists = stored(lists, "lists")
+    renames = own.where("old_path is not null")
+    child = lives.select("path", F.col("since").alias("at"), "life")
+    parent = lives.select(F.col("path").alias("old_path"), F.col("until").alias("at"), F.col("life").alias("from_life"))
+    links = renames.join(child, ["path", "at"]).join(parent, ["old_path", "at"]).select("path", "life", F.struct(F.col("old_path").alias("path"), F.col("from_life").alias("life")).alias("from"))
+    links = stored(links, "links")
+    # only lives that renames join go through the rounds; one without touches of its own may still lead to others
+    ends = links.select("path", "life").unionByName(links.select("from.*")).distinct()
+    empty = F.array().cast(lists.schema["list"].dataType)
+    state = ends.join(links, ["path", "life"], "left").join(lists.drop("present"), ["path", "life"], "left").withColumn("list", F.coalesce("list", empty))
+    state = stored(state, "followed")
+    while state.where("`from` is not null").limit(1).count():
+        far = state.select(F.struct("path", "life").alias("from"), F.col("from").alias("next"), F.col("list").alias("older"))
+        step = state.join(far, "from", "left")
+        both = F.slice(F.concat("list", F.coalesce("older", empty)), 1, limit)
+        state = stored(step.select("path", "life", F.when(F.size(both) < limit, F.col("next")).alias("from"), both.alias("list")), "followed")
+    through = state.select("path", "life", F.col("list").alias("all"))
+    full = lists.where("present").join(through, ["path", "life"], "left").select("path", F.posexplode(F.coalesce("all", "list")).alias("i", "x"))
+    return full.select("path", F.col("x.at.tie").alias(tie), F.col("x.at.committed_at").alias("committed_at"), F.col("x.touched").alias("touched_path"), (F.col("i") + 1).alias("rank"))
+
+
 def file_history(touches: DataFrame, limit: int = 10, order: str = "committed_at", path: str = "path", tie: str = "sha") -> DataFrame:
     """The newest touches of each file, with rank."""
     rank = F.row_number().over(Window.partitionBy(path).orderBy(F.desc(order), F.desc(tie)))

@@ -176,3 +176,34 @@ def test_incremental_equals_full(spark):
     want_nodes, want_edges = parse(new)
     assert {r.id for r in got_nodes.collect()} == {r.id for r in want_nodes.collect()}
     assert {tuple(r) for r in got_edges.collect()} == {tuple(r) for r in want_edges.collect()}
+
+
+def follow(touches, limit):
+    """Walks back from each present file, commit by commit."""
+    names, out = {}, {}
+    for path, old, at, sha in sorted(touches, key=lambda t: (t[2], t[3])):
+        before = names.pop(old, []) if old is not None else names.get(path, [])
+        names[path] = [*before, (sha, at, path)]
+    for path, line in names.items():
+        out[path] = line[::-1][:limit]
+    return sorted((path, sha, at, touched, i + 1) for path, line in out.items() for i, (sha, at, touched) in enumerate(line))
+
+
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_history_follows_renames(spark, limit):
+    import random
+
+    rng = random.Random(4)
+    touches = []
+    for i in range(300):
+        a, b = rng.sample([f"p{k}" for k in range(7)], 2)
+        touches.append((a, b, i // 3, f"{i:04d}") if rng.random() < 0.4 else (a, None, i // 3, f"{i:04d}"))
+    # a chain of renames, and a path that is used again after it was renamed
+    touches += [(f"c{i + 1}", f"c{i}", 1000 + i, f"x{i:04d}") for i in range(150)] + [("c0", None, 999, "first"), ("c0", None, 2000, "again")]
+    table = spark.createDataFrame(touches, "path string, old_path string, committed_at long, sha string").repartition(3)
+    assert sorted(tuple(r) for r in history.followed(table, limit).collect()) == follow(touches, limit)
+    assert history.followed(table.where("old_path is null"), 2).count() > 0 and history.followed(table.limit(0)).count() == 0
+
+
+def test_both_paths_of_a_rename():
+    assert [(history.path_now(p), history.path_before(p)) for p in ("a.py", "a => b", "x/{b => c}/d", "x/{ => c}/d", "x/{b => }/d")] == [("a.py", None), ("b", "a"), ("x/c/d", "x/b/d"), ("x/c/d", "x/d"), ("x/d", "x/b/d")]
