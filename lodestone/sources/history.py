@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import subprocess
 from collections.abc import Iterator
@@ -38,15 +39,19 @@ class _Reader(DataSourceReader):
         self.repo, self.branch, self.most = repo, branch, most
 
     def partitions(self) -> list[InputPartition]:
-        """Ranges of commits of about the same number, so that a long history is read by many tasks."""
-        command = ["git", "-C", self.repo, "rev-list", "--count", self.branch]
-        total = int(subprocess.run(command, capture_output=True, check=True).stdout)
-        total = min(total, self.most) if self.most else total
-        return [_Range(i, min(COMMITS, total - i)) for i in range(0, total, COMMITS)] or [_Range(0, 1)]
+        """Runs of commits of about the same number, so that a long history is read by many tasks. Each names its commits,
+        so that none is walked twice, and commits that arrive meanwhile shift nothing."""
+        command = ["git", "-C", self.repo, "rev-list", *([f"--max-count={self.most}"] if self.most else []), self.branch]
+        shas = subprocess.run(command, capture_output=True, check=True, encoding="ascii").stdout.split()
+        return [_Run(i, shas[i : i + COMMITS]) for i in range(0, len(shas), COMMITS)] or [_Run(0, [])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        command = ["git", "-C", self.repo, "log", self.branch, "--numstat", "--find-renames", f"--skip={partition.first}", f"--max-count={partition.count}", "--format=%x1e%H%x1f%an%x1f%ae%x1f%cI%x1f%B%x1f"]
-        with subprocess.Popen(command, stdout=subprocess.PIPE, encoding="utf-8", errors="replace") as log:
+        if not partition.shas:
+            return
+        command = ["git", "-C", self.repo, "log", "--no-walk=unsorted", "--stdin", "--numstat", "--find-renames", "--format=%x1e%H%x1f%an%x1f%ae%x1f%cI%x1f%B%x1f"]
+        with subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, encoding="utf-8", errors="replace") as log:
+            log.stdin.write("\n".join(partition.shas) + "\n")  # git reads all names before it answers
+            log.stdin.close()
             held = ""
             for line in log.stdout:
                 # a record ends where the next one begins
@@ -64,10 +69,10 @@ class _Reader(DataSourceReader):
 COMMITS = 5_000
 
 
-class _Range(InputPartition):
-    def __init__(self, first: int, count: int):
+class _Run(InputPartition):
+    def __init__(self, first: int, shas: list[str]):
         super().__init__(first)
-        self.first, self.count = first, count
+        self.shas = shas
 
 
 _RENAMED = re.compile(r"\{([^{}]*) => ([^{}]*)\}")
@@ -187,6 +192,80 @@ def change_counts(touches: DataFrame, path: str = "path", most: int = 1000) -> D
     return touches.groupBy(path).agg(F.least(F.count("*"), F.lit(most)).alias("changes"))
 
 
+def kept_lines(old: list, new: list) -> list[int]:
+    """For each line of new the line of old that it is by a longest common subsequence, or -1.
+
+    Equal beginnings and ends go first. Of the rest, places of equal lines are taken in the order of new, from the last
+    of old to the first, and a longest increasing sequence of them is found by bisection. Among such sequences the one
+    whose last place in old comes first is taken, and so on to the front.
+    """
+    head = 0
+    while head < min(len(old), len(new)) and old[head] == new[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
+        tail += 1
+    out = [*range(head), *[-1] * (len(new) - head - tail), *range(len(old) - tail, len(old))]
+    places: dict = {}
+    for i in range(len(old) - tail - 1, head - 1, -1):
+        places.setdefault(old[i], []).append(i)
+    ends: list[int] = []
+    links: list[tuple] = []
+    for j in range(head, len(new) - tail):
+        for i in places.get(new[j], ()):
+            k = bisect.bisect_left(ends, i)
+            link = (i, j, links[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(i)
+                links.append(link)
+            else:
+                ends[k], links[k] = i, link
+    link = links[-1] if links else None
+    while link:
+        out[link[1]], link = link[0], link[2]
+    return out
+
+
+def line_origins(versions: DataFrame, key: str = "path", number: str = "number", text: str = "content") -> DataFrame:
+    """(key, number, line, origin): for each line of the last version of a file the version that its text came with.
+
+    versions has one row for each version of a file, numbered 0, 1, 2... without gaps. Lines are compared with those of
+    the version before, a pair of versions a row, by longest common subsequences of line hashes; what a line of version n
+    is in n - 1, n - 2, n - 4... is then found by joining versions twice as far apart each round, so that many versions
+    take few rounds. A null text has no lines; lines end at line feeds.
+    """
+    hashes = F.when(F.col(text).isNull() | (F.col(text) == ""), F.array().cast("array<long>")).otherwise(F.transform(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"), lambda x: F.xxhash64(x)))
+    lines = stored(versions.select(F.col(key).alias("key"), F.col(number).cast("int").alias("number"), hashes.alias("lines")), "lines")
+    before = lines.select("key", (F.col("number") + 1).alias("number"), F.col("lines").alias("old"))
+    pairs = lines.join(before, ["key", "number"], "left").select("key", "number", "old", "lines")
+    kind = lines.schema["key"].dataType.simpleString()
+
+    def compare(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            pdf["back"] = [kept_lines([] if o is None else o.tolist(), n.tolist()) for o, n in zip(pdf["old"], pdf["lines"], strict=True)]
+            yield pd.DataFrame(pdf[["key", "number", "back"]])
+
+    back = pairs.mapInPandas(compare, f"key {kind}, number int, back array<int>")
+    # a line is settled (line -1) with the version that it came with, or is a line of the version as far back as the round
+    settled = F.transform("back", lambda x: F.struct(F.when(x < 0, F.col("number")).alias("origin"), x.alias("line")))
+    state, step = stored(back.select("key", "number", settled.alias("at")), "origins"), 1
+    while state.where(F.exists("at", lambda x: x.line >= 0)).limit(1).count():
+        far = state.select("key", (F.col("number") + step).alias("number"), F.col("at").alias("far"))
+        moved_ = F.transform("at", lambda x: F.when(x.line < 0, x).otherwise(F.get("far", x.line)))
+        state, step = stored(state.join(far, ["key", "number"], "left").select("key", "number", moved_.alias("at")), "origins"), step * 2
+    last = state.groupBy("key").agg(F.max("number").alias("number"))
+    ended = state.join(last, ["key", "number"], "left_semi").select("key", "number", F.posexplode("at").alias("i", "x"))
+    return ended.select(F.col("key").alias(key), F.col("number").alias(number), (F.col("i") + 1).alias("line"), F.col("x.origin").alias("origin"))
+
+
+def blamed(versions: DataFrame) -> DataFrame:
+    """(path, line, sha, author) of the last version of each file, from versions (path, number, sha, author, content)."""
+    named = versions.select("path", F.col("number").alias("origin"), "sha", "author")
+    return line_origins(versions).join(named, ["path", "origin"]).select("path", "line", "sha", "author")
+
+
 _HEAD = re.compile(r"^([0-9a-f]{7,64}) \d+ (\d+)")
 
 

@@ -207,3 +207,48 @@ def test_history_follows_renames(spark, limit):
 
 def test_both_paths_of_a_rename():
     assert [(history.path_now(p), history.path_before(p)) for p in ("a.py", "a => b", "x/{b => c}/d", "x/{ => c}/d", "x/{b => }/d")] == [("a.py", None), ("b", "a"), ("x/c/d", "x/b/d"), ("x/c/d", "x/d"), ("x/d", "x/b/d")]
+
+
+def longest(a, b):
+    """Length of a longest common subsequence by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
+    return row[-1]
+
+
+def test_kept_lines_are_a_longest_common_subsequence():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(12))] for _ in "ab")
+        kept = history.kept_lines(a, b)
+        found = [(i, j) for j, i in enumerate(kept) if i >= 0]
+        assert len(kept) == len(b) and all(a[i] == b[j] for i, j in found) and len(found) == longest(a, b)
+        assert all(x[0] < y[0] for x, y in zip(found, found[1:]))
+    assert history.kept_lines([], []) == [] and history.kept_lines(list("abc"), list("abc")) == [0, 1, 2]
+
+
+def test_blame_is_worked_out(spark):
+    import random
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    for path in ("a", "b", "c"):
+        lines, origins = [], []
+        for number in range({"a": 1, "b": 40, "c": 7}[path]):
+            new = [x for x in lines if rng.random() < 0.9]
+            for _ in range(rng.randrange(4)):
+                new.insert(rng.randrange(len(new) + 1), f"{rng.randrange(6)}")
+            kept = history.kept_lines(lines, new)
+            origins = [number if i < 0 else origins[i] for i in kept]
+            lines = new
+            rows.append((path, number, f"{path}{number}", f"by {number % 4}", "\n".join(lines) + ("\n" if lines and number % 2 else "")))
+        want[path] = origins
+    rows += [("gone", 0, "g0", "x", "one\ntwo"), ("gone", 1, "g1", "x", None), ("null", 0, "n0", "x", None), ("blank", 0, "k0", "y", "\n"), ("twice", 0, "t0", "z", "a\n\n")]
+    versions = spark.createDataFrame(rows, "path string, number int, sha string, author string, content string").repartition(3)
+    got = sorted(tuple(r) for r in history.blamed(versions).collect())
+    assert got == sorted([(p, i + 1, f"{p}{n}", f"by {n % 4}") for p, origins in want.items() for i, n in enumerate(origins)] + [("blank", 1, "k0", "y"), ("twice", 1, "t0", "z"), ("twice", 2, "t0", "z")])
