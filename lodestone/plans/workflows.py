@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from lodestone.config import Flag, Flags, Settings, read_env
 from lodestone.functions import paths, texts
 from lodestone.operators import answer, dml, embed, extract, graph, ingest, rag, search
+from lodestone.operators.buckets import Buckets
 from lodestone.session import table
 from lodestone.sources import files as source_files
 from lodestone.sources import history
 from lodestone.streaming import events as webhooks
 
 from . import fixture
-from .catalogue import _ISSUE, SQL_DOCS, SQL_SCORED, VECTOR, _ask_sql, _customers, _path, _path_sql, _webhooks
-from .registry import query
+from .catalogue import _ISSUE, SQL_DOCS, SQL_SCORED, VECTOR, _ask_sql, _customers, _path, _path_sql, _users, _webhooks
+from .registry import oracle_sql, query
 
 # symbols: a source for each document, with all its lines as comments
 
@@ -353,21 +354,49 @@ def iso_times(spark, d):
 
 @query("SELECT 'n' || user_id || ':pr' AS id, max(event_id) AS last, count(*) AS n FROM events WHERE event_type IN ('signup', 'error') GROUP BY user_id")
 def webhook_stream(spark, d):
-    """Pull requests by repository after all events went through a stream of micro-batches."""
-    folder = graph.stored(_webhooks(spark, d).drop("payload").repartition(4), "webhooks").inputFiles()[0].rsplit("/", 1)[0]
-    stream = webhooks.parsed(spark.readStream.schema("event_id long, event_type string, body string").option("maxFilesPerTrigger", 1).parquet(folder))
-    state = f"{folder}-state"
-    empty = spark.createDataFrame([], "id string, last long, n long")
-
-    def change(old, batch):
-        pulls = batch.where("event_type = 'pull_request'")
+    """Pull requests by repository after all events went through a stream of micro-batches; every fourth event is
+    delivered again in another batch."""
+    sent = _webhooks(spark, d).drop("payload").join(table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("at")), "event_id")
+    sent = sent.withColumn("delivery", F.col("event_id").cast("string"))
+    folder = graph.stored(sent.unionByName(sent.where("event_id % 4 = 0")).repartition(4), "webhooks").inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    state = Buckets(spark, f"{folder}-state", "id string, last long, n long", ["id"], buckets=32)
+
+    def rows(batch):
+        pulls = webhooks.parsed(batch).where("event_type = 'pull_request'")
         repo = F.element_at(F.split(F.col("payload.repository.html_url"), "/"), -1)
-        fresh = pulls.groupBy(F.concat(repo, F.lit(":pr")).alias("id")).agg(F.max("event_id").alias("last"), F.count("*").alias("n"))
-        return old.unionByName(fresh).groupBy("id").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
+        return pulls.groupBy(F.concat(repo, F.lit(":pr")).alias("id")).agg(F.max("event_id").alias("last"), F.count("*").alias("n"))
 
-    run = webhooks.run(stream, webhooks.versioned(spark, state, empty, change), f"{folder}-progress")
+    run = webhooks.run(webhooks.once(stream, late="1000 days"), webhooks.kept(state, rows, ["last"], ["n"]), f"{folder}-progress")
     run.awaitTermination()
-    return webhooks.newest(spark, state, empty)
+    return state.table()
+
+
+@query(oracle_sql()["upsert_coalesce"])
+def upsert_buckets(spark, d):
+    """upsert_coalesce on a table of buckets: customers come first, then users change the buckets that they fall into."""
+    state = Buckets(spark, graph.folder(spark, "customers"), _customers(spark, d).schema, ["id"], buckets=64)
+    state.upsert(_customers(spark, d), 0)
+    state.upsert(_users(spark, d), 1)
+    return state.table()
+
+
+@query(oracle_sql()["incremental_update"])
+def replaced_files(spark, d):
+    """incremental_update on a table of buckets by file: what changed or went is replaced, the other buckets stay."""
+    old, new = _versions(spark, d)
+
+    def parsed(files, state):
+        nodes = extract.file_nodes(files)
+        return nodes.select(F.col("id").alias("owner"), "id", F.lit(state).alias("state"), "sha")
+
+    state = Buckets(spark, graph.folder(spark, "files"), parsed(old, "").schema, ["owner", "id"], ["owner"], 64)
+    state.upsert(parsed(old, "old"), 0)
+    changes = dml.changed_files(old, new)
+    owners = changes.select(paths.node_id("r", F.col("path"), "file").alias("owner"))
+    fresh = new.join(changes.where("change <> 'removed'").select("path"), "path", "left_semi")
+    state.replace(owners, parsed(fresh, "new"), 1)
+    return state.table().drop("owner")
 
 
 # search, answers, settings

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions import paths, texts
 from lodestone.operators import dml
+from lodestone.operators.buckets import Buckets
 
 PAYLOAD = """action string, ref string, repository struct<clone_url: string, html_url: string>,
 pull_request struct<number: int, title: string, body: string, state: string, merged: boolean, merged_at: string,
@@ -110,3 +111,20 @@ def incremental(nodes: DataFrame, edges: DataFrame, old: DataFrame, new: DataFra
     more_nodes, more_edges = parse(fresh)
     # of a node that is there already the newly parsed values count
     return dml.upsert(left_nodes, more_nodes, ["id"]), left_edges.unionByName(more_edges, allowMissingColumns=True).dropDuplicates(["src", "dst", "type"])
+
+
+def once(events: DataFrame, delivery: str = "delivery", at: str = "at", late: str = "1 day") -> DataFrame:
+    """A stream's events without those that are delivered again within late of each other; Spark keeps the deliveries'
+    names that long and drops them as the watermark goes on. Events later than that against the stream are left out."""
+    return events.withWatermark(at, late).dropDuplicatesWithinWatermark([delivery])
+
+
+def kept(table: Buckets, rows: Callable[[DataFrame], DataFrame], newest_by: list[str], sums: list[str] = ()) -> Callable[[DataFrame, int], None]:
+    """A handler for run that keeps the newest row of each key in a table of buckets: a batch rewrites only the buckets
+    that its keys fall into. rows makes rows of the table of a batch; events that arrive late lose against newer ones,
+    and a batch that comes again changes nothing."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        table.fold(rows(batch), number, newest_by, sums)
+
+    return handle
