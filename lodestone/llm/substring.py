@@ -42,7 +42,7 @@ def anchor_rows(keyed: DataFrame, text_col: str, window: int, gram: int) -> Data
         for batch in batches:
             out, sizes = [], []
             for text in batch.column(2).to_pylist():
-                sums = [prefix(hashes.of(words_of(text)), w) for w in (0, 1)]
+                sums = [prefix(ids, w) for w, ids in enumerate(hashes.of(words_of(text)))]
                 a, at, first, last = anchors(sums[0], window, gram)
                 sizes.append(len(a))
                 if len(a):
@@ -162,14 +162,14 @@ class FingerprintIndex:
                 sizes, rows, firsts, lengths, flat = [], [], [], [], []
                 for text in batch.column(2).to_pylist():
                     ids = hashes.of(words_of(text))
-                    a, _, first, last = anchors(prefix(ids, 0), window, gram)
+                    a, _, first, last = anchors(prefix(ids[0], 0), window, gram)
                     asked = in_bits(sent.value, mixed(a)) if len(a) else np.zeros(0, bool)
                     a, first, last = a[asked], first[asked], last[asked]
                     sizes.append(len(a))
                     if len(a):
                         n = last - first + 1
                         starts = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                        flat.append(span_hashes(prefix(ids, 1), 1, starts, starts + window).view(np.int64))
+                        flat.append(span_hashes(prefix(ids[1], 1), 1, starts, starts + window).view(np.int64))
                         rows.append(a.view(np.int64))
                         firsts.append(first)
                         lengths.append(n)

@@ -13,16 +13,18 @@ CACHE = 300_000
 
 
 class WordHashes(dict):
-    """XXH64 of words given as bytes, remembered."""
+    """XXH3 of words given as bytes, in 128 bits, remembered."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > CACHE:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        self[word] = h = xxhash.xxh3_128_digest(word)
         return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the words' hashes: two hashes that have nothing to do with each other."""
+        both = np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64).reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def words_of(text: str | None) -> list[bytes]:

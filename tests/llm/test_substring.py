@@ -69,3 +69,24 @@ def test_batches_sessions_and_compaction(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and got
     with pytest.raises(ValueError):
         S.FingerprintIndex(spark, window=10, gram=12)
+
+
+def test_words_that_share_one_hash_are_told_apart():
+    """A planted collision of one half of the words' hashes: anchors meet, what they are verified by does not."""
+    import numpy as np
+
+    from lodestone.llm import windows as W
+
+    class Colliding(W.WordHashes):
+        def __missing__(self, word):
+            h = W.xxhash.xxh3_128_digest(word.replace(b"other", b"word"))[:8] + W.xxhash.xxh3_128_digest(word)[8:]
+            self[word] = h
+            return h
+
+    hashes = Colliding()
+    words = [b"word%d" % i for i in range(40)]
+    sums = [[W.prefix(ids, w) for w, ids in enumerate(hashes.of(x))] for x in (words, [b"other20" if w == b"word20" else w for w in words])]
+    met = [W.anchors(s[0], 35, 9) for s in sums]
+    assert all((x == y).all() for x, y in zip(*met, strict=True))
+    starts = np.arange(6)
+    assert (W.span_hashes(sums[0][1], 1, starts, starts + 35) != W.span_hashes(sums[1][1], 1, starts, starts + 35)).all()
