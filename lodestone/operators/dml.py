@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import reachable, stored
@@ -43,8 +43,16 @@ def link(edges: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def append_memory(table: DataFrame, rows: DataFrame) -> DataFrame:
-    """table with rows (type, content, metadata map) as new memories with an identifier and a time."""
-    new = rows.select(F.expr("uuid()").alias("id"), F.col("type").alias("label"), "content", F.to_json("metadata").alias("metadata"), F.current_timestamp().alias("created_at"))
+    """table with rows (type, content, metadata map) as new memories with an identifier and a time.
+
+    An identifier is made of what a memory says, when, and its number among equal ones, so that a task that is repeated
+    makes the same.
+    """
+    said = rows.select(F.col("type").alias("label"), "content", F.to_json("metadata").alias("metadata"), F.current_timestamp().alias("created_at"))
+    same = Window.partitionBy("label", "content", "metadata").orderBy(F.lit(0))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("label", "content", "metadata", "created_at")]
+    h = F.md5(F.concat_ws("\x1f", *parts, F.row_number().over(same).cast("string")).cast("binary"))
+    new = said.withColumn("id", F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
     return table.unionByName(new, allowMissingColumns=True)
 
 

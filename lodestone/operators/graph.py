@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -85,7 +85,7 @@ def contracted(edges: DataFrame) -> tuple[list[DataFrame], int]:
     """(maps, rounds): tables (id, to) of each round, by which the nodes of a component come to one node.
 
     In a round each node hooks to the first of itself and its neighbours in an order that is drawn anew, pointers jump
-    twice, and edges move to where their ends point. A node that has edges is first in its own order with a chance of
+    twice over hooks, and edges move to where their ends point. A node that has edges is first in its own order with a chance of
     half at most, so that rounds grow with the logarithm of the nodes, however long a path is. Every round is a written
     table; a node with very many edges is combined before the shuffle, and the joins are between written tables, which
     adaptive execution splits where a key is hot.
@@ -98,10 +98,12 @@ def contracted(edges: DataFrame) -> tuple[list[DataFrame], int]:
             raise RuntimeError(f"more than {MOST_ROUNDS} rounds")
         drawn = F.lit(len(maps))
         own, near = F.struct(F.xxhash64("src", drawn).alias("h"), F.col("src").alias("id")), F.struct(F.xxhash64("dst", drawn).alias("h"), F.col("dst").alias("id"))
-        hooks = stored(both.groupBy("src").agg(F.min(F.least(own, near)).alias("x")).select(F.col("src").alias("id"), F.col("x.id").alias("to")), "hooks")
+        hooks = both.groupBy("src").agg(F.min(F.least(own, near)).alias("x")).select(F.col("src").alias("id"), F.col("x.id").alias("to"))
+        next_ = hooks.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        jumped = hooks
         for _ in range(2):
-            next_ = hooks.select(F.col("id").alias("to"), F.col("to").alias("next"))
-            hooks = stored(hooks.join(next_, "to").select("id", F.col("next").alias("to")), "hooks")
+            jumped = jumped.join(next_, "to").select("id", F.col("next").alias("to"))
+        hooks = stored(jumped, "hooks")
         maps.append(hooks)
         a, b = hooks.select(F.col("id").alias("src"), F.col("to").alias("a")), hooks.select(F.col("id").alias("dst"), F.col("to").alias("b"))
         # an edge moves once: the table has it in both directions
@@ -117,10 +119,11 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
     # from the last round, which has the fewest nodes, to the first
     out = maps[-1].select("id", F.col("to").alias("component"))
-    for earlier in reversed(maps[:-1]):
+    for i, earlier in enumerate(reversed(maps[:-1])):
         later = out.withColumnRenamed("id", "to")
-        out = stored(earlier.join(later, "to", "left").select("id", F.coalesce("component", "to").alias("component")), "components")
-    return out
+        out = earlier.join(later, "to", "left").select("id", F.coalesce("component", "to").alias("component"))
+        out = stored(out, "components") if i % 4 == 3 else out
+    return stored(out, "components")
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -158,28 +161,45 @@ def asked_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def explain_file(files: DataFrame, edges: DataFrame, commits: int = 5) -> DataFrame:
-    """For each file its classes, functions, packages and first commits, and a sentence that counts them."""
-    def around(kind: str, name: str, near: str, far: str) -> DataFrame:
-        return edges.where(F.col("type") == kind).groupBy(F.col(near).alias("id")).agg(F.sort_array(F.collect_set(far)).alias(name))
+    """For each file its classes, functions, packages and first commits, and a sentence that counts them.
+
+    All commits of a file are counted, but only the first ones are brought together, by a rank whose limit holds before
+    the shuffle: a file that very many commits touch is no large group.
+    """
+    def around(kind: str, near: str, far: str) -> DataFrame:
+        return edges.where(F.col("type") == kind).select(F.col(near).alias("id"), F.col(far).alias("item"))
 
-    out = files.select("id", "name")
-    for kind, name, near, far in (("CONTAINS_CLASS", "classes", "src", "dst"), ("CONTAINS_FUNCTION", "functions", "src", "dst"), ("IMPORTS", "packages", "src", "dst"), ("TOUCHED", "commits", "dst", "src")):
-        out = out.join(around(kind, name, near, far), "id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    said = F.format_string("%s has %d classes, %d functions, %d imports and %d commits", "name", F.size("classes"), F.size("functions"), F.size("packages"), F.size("commits"))
-    return out.withColumn("summary", said).withColumn("commits", F.slice("commits", 1, commits))
+    def listed(items: DataFrame, name: str) -> DataFrame:
+        return items.groupBy("id").agg(F.sort_array(F.collect_set("item")).alias(name))
+
+    touched = around("TOUCHED", "dst", "src").distinct()
+    first = touched.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("item"))).where(F.col("rank") <= commits)
+    counts = touched.groupBy("id").agg(F.count("*").alias("n_commits"))
+    out = files.select("id", "name").join(listed(first, "commits"), "id", "left").join(counts, "id", "left")
+    for kind, name in (("CONTAINS_CLASS", "classes"), ("CONTAINS_FUNCTION", "functions"), ("IMPORTS", "packages")):
+        out = out.join(listed(around(kind, "src", "dst"), name), "id", "left")
+    for name in ("classes", "functions", "packages", "commits"):
+        out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    said = F.format_string("%s has %d classes, %d functions, %d imports and %d commits", "name", F.size("classes"), F.size("functions"), F.size("packages"), F.coalesce("n_commits", F.lit(0)))
+    return out.select("id", "name", "classes", "functions", "packages", "commits", said.alias("summary"))
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(id, rank) after rounds of power iteration; the rank of nodes without out-edges is spread evenly."""
+    """(id, rank) after rounds of power iteration; the rank of nodes without out-edges is spread evenly.
+
+    Every round is one written table, of ranks beside the number of out-edges: from it come what a node sends along each
+    edge and, by a scan of two columns, the rank that is to be spread.
+    """
     links = stored(edges.select("src", "dst").distinct(), "links")
-    nodes = stored(links.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "ids")
-    n = nodes.count()
-    out = links.groupBy("src").agg(F.count("*").alias("n_out"))
-    links = stored(links.join(out, "src"), "weighted")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for _ in range(rounds):
-        ranks = stored(ranks, "ranks")
-        sent = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
-        lost = ranks.join(out.withColumnRenamed("src", "id"), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).first().lost
-        ranks = nodes.join(sent, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / max(n, 1)))).alias("rank"))
-    return ranks
+    outs = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out"))
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(outs, "id", "left")
+    nodes = stored(nodes, "ids")
+    n = max(nodes.count(), 1)
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    for i in range(rounds):
+        ranks = stored(ranks, "ranks") if i else ranks
+        lost = ranks.where("n_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).first().lost
+        share = ranks.where("n_out is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("n_out")).alias("share"))
+        got = links.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        ranks = nodes.join(got, "id", "left").select("id", "n_out", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("rank"))
+    return ranks.select("id", "rank")

@@ -1,8 +1,8 @@
 """Vector, hybrid and similarity search over nodes with an embedding.
 
-A query vector is a literal in the plan; nodes are scored in one scan of id, label and embedding, and the best taken by
-TakeOrderedAndProject. Only then are the other columns of those few rows fetched, so that no other text is shuffled. Ties
-go to the smaller id; ids have to be unique.
+A query vector is a literal in the plan; nodes are scored in one scan, of the columns that the caller uses alone, and
+the best taken by TakeOrderedAndProject, or by a window whose limit holds before the shuffle too: each task passes on its
+own best rows, and no other text is shuffled. Nothing runs before the caller asks for rows. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -31,27 +31,10 @@ def scored(nodes: DataFrame, query: list[float], similarity: str = "cosine") ->
     return out.withColumn("vector_score", vectors.score(F.col("cosine"))).where("cosine is not null")
 
 
-def _bare(nodes: DataFrame) -> DataFrame:
-    return nodes.select("id", "label", "embedding") if "label" in nodes.columns else nodes.select("id", "embedding")
-
-
-def fetched(nodes: DataFrame, best: DataFrame) -> DataFrame:
-    """The rows of nodes that best has, with the columns that it adds.
-
-    best has no more rows than a search returns: their ids go into the plan, from where they reach the scans of nodes,
-    below any join that nodes are made of.
-    """
-    more = [c for c in best.columns if c not in nodes.columns]
-    rows = best.select("id", *more)
-    found = rows.collect()
-    few = nodes.sparkSession.createDataFrame(found, rows.schema)
-    return nodes.where(F.col("id").isin([r.id for r in found])).join(F.broadcast(few), "id").select(*nodes.columns, *more)
-
-
 def vector_search(nodes: DataFrame, query: list[float], limit: int = 5, settings: Settings = Settings(), flags: Flags | None = None) -> DataFrame:
     (flags or Flags()).require("vector_search")
-    best = scored(_bare(nodes), query, settings.similarity).orderBy(F.desc("vector_score"), "id").limit(min(limit, settings.max_limit))
-    return fetched(nodes, best).withColumn("score", F.col("vector_score")).orderBy(F.desc("vector_score"), "id")
+    best = scored(nodes, query, settings.similarity).withColumn("score", F.col("vector_score"))
+    return best.orderBy(F.desc("vector_score"), "id").limit(min(limit, settings.max_limit))
 
 
 def text_score(label: str, text: str) -> Column:
@@ -76,8 +59,8 @@ def hybrid_search(nodes: DataFrame, query: list[float], text: str, label: str =
     weight = settings.vector_weight if weight is None else weight
     if not 0 <= weight <= 1:
         raise ValueError("weight must be from 0 to 1")
-    pool = scored(_bare(nodes), query, settings.similarity).orderBy(F.desc("vector_score"), "id").limit(2 * min(limit, settings.max_limit))
-    both = fetched(nodes, pool).withColumn("keyword_score", text_score(label, text))
+    pool = scored(nodes, query, settings.similarity).orderBy(F.desc("vector_score"), "id").limit(2 * min(limit, settings.max_limit))
+    both = pool.withColumn("keyword_score", text_score(label, text))
     both = both.withColumn("score", F.round(weight * F.col("vector_score") + (1 - weight) * F.col("keyword_score"), DIGITS + 3))
     return both.orderBy(F.desc("score"), "id").limit(min(limit, settings.max_limit))
 
@@ -106,7 +89,7 @@ def more_like_this(nodes: DataFrame, ids: list, limit: int = 5) -> DataFrame:
 
 def nearest_by_label(nodes: DataFrame, query: list[float], limit: int, similarity: str = "cosine") -> DataFrame:
     """The nearest nodes of each label, with cosine, vector_score and rank."""
-    return fetched(nodes, top_by(scored(_bare(nodes), query, similarity), ["label"], limit))
+    return top_by(scored(nodes, query, similarity), ["label"], limit)
 
 
 def top_by(found: DataFrame, by: list[str], limit: int, score: str = "vector_score") -> DataFrame:

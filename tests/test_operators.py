@@ -145,3 +145,28 @@ def test_settings():
         Settings(vector_weight=2.0)
     assert '"api_key": "***"' in Settings(api_key="x").export()
     assert read_env(["# no", "A = 'b c' ", "bad", "D=e=f"]) == {"A": "b c", "D": "e=f"}
+
+
+def test_equal_memories_have_identifiers_of_their_own(spark):
+    rows = spark.createDataFrame([("note", "same", {"a": "1"})] * 3 + [("note", None, None), ("note", "other", {})], "type string, content string, metadata map<string,string>")
+    table = spark.createDataFrame([], "id string, label string, content string, metadata string, created_at timestamp")
+    made = dml.append_memory(table, rows)
+    ids = [r.id for r in made.collect()]
+    assert len(set(ids)) == 5 and all(len(i) == 36 and i.count("-") == 4 for i in ids)
+    assert {r.id for r in dml.append_memory(made, rows).collect()} > set() and dml.append_memory(made, rows).count() == 10
+
+
+def test_a_hot_file_is_counted_whole(spark):
+    files = spark.createDataFrame([("f", "F"), ("g", "G")], "id string, name string")
+    edges = spark.range(500).selectExpr("concat('c', id % 400) as src", "'f' as dst", "'TOUCHED' as type").unionByName(spark.createDataFrame([("f", "k", "CONTAINS_CLASS")], "src string, dst string, type string"))
+    got = {r.id: r for r in graph.explain_file(files, edges).collect()}
+    assert got["f"].summary == "F has 1 classes, 0 functions, 0 imports and 400 commits" and got["f"].commits == ["c0", "c1", "c10", "c100", "c101"]
+    assert got["g"].summary == "G has 0 classes, 0 functions, 0 imports and 0 commits" and got["g"].commits == []
+
+
+@pytest.mark.parametrize("n", [20_000])
+def test_a_long_chain_is_reached_in_few_rounds(spark, n):
+    edges = spark.range(n).selectExpr("cast(id as string) as src", "cast(id + 1 as string) as dst").unionByName(spark.createDataFrame([("x", "y"), ("x", "x"), (None, "y")], "src string, dst string"))
+    assert graph.contracted(edges)[1] < 20
+    starts = spark.createDataFrame([("7",), ("alone",)], "id string")
+    assert graph.reachable(edges, starts).count() == n + 2 and graph.reachable(edges.limit(0), starts).count() == 2
