@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, texts, vectors
-from lodestone.operators import dml, embed, graph, pivots, rag, search
+from lodestone.operators import dml, embed, graph, grams, pivots, rag, search
 from lodestone.session import table
 from lodestone.sources import history
 from lodestone.streaming import events as webhooks
@@ -80,6 +80,21 @@ def memory_substring(spark, d):
     return rag.memories(rows, "License").select("id")
 
 
+@query("SELECT doc_id AS id FROM documents WHERE contains(text, 'License') OR contains(source, 'License')")
+def memory_substring_indexed(spark, d):
+    """memory_substring by the rarest grams of what is looked for."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("metadata"))
+    return grams.GramIndex.build(rows, graph.folder(spark, "grams"), ["content", "metadata"], parts=16).search("License").select("id")
+
+
+@query("SELECT doc_id AS id, source AS name FROM documents WHERE contains(lower(text), 'über die')")
+def text_search_indexed(spark, d):
+    """Documents with a text in any case."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    found = grams.GramIndex.build(rows, graph.folder(spark, "grams"), ["content"], lower=True, parts=16).search("ÜBER die")
+    return found.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name")), "id").select("id", "name")
+
+
 @query("SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
 def unlabelled_documents(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
