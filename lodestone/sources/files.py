@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,37 @@ READMES = ("README.md", "README.rst", "README.txt", "README", "readme.md")
 
 
 def scan(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    """(repo, path, content) of the code files below root, in any store that Spark reads; ignored folders are left out."""
-    return code_files(all_files(spark, root, repo)).withColumn("content", F.decode("bytes", "UTF-8")).drop("bytes")
+    """(repo, path, content) of the code files below root, in any store that Spark reads; ignored folders are left out.
+
+    Names are listed first; only files that are code outside ignored folders are opened, in tasks of about as many bytes.
+    """
+    wanted = code_files(named(spark, root, repo)).select("url").collect()  # names, which a listing keeps on the driver anyway
+    if not wanted:
+        return spark.createDataFrame([], "repo string, path string, content string")
+    return _read(spark, [r.url for r in wanted], root, repo).withColumn("content", F.decode("bytes", "UTF-8")).drop("bytes")
+
+
+def named(spark: SparkSession, root: str, repo: str) -> DataFrame:
+    """(repo, path, url, size) of all files below root, without opening any."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_escaped(root))
+    return found.select(F.lit(repo).alias("repo"), _inside(root).alias("path"), F.col("path").alias("url"), F.col("length").alias("size"))
+
+
+def _escaped(path: str) -> str:
+    """A path that Spark takes literally."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _inside(root: str):
+    """The column path without root: both may have a scheme or none."""
+    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    bare = "/" + root.split("://")[-1].strip("/").split(":")[-1].strip("/") + "/"
+    return F.substring_index(plain, bare, -1)
+
+
+def _read(spark: SparkSession, urls: list[str], root: str, repo: str) -> DataFrame:
+    found = spark.read.format("binaryFile").load([_escaped(u) for u in urls])
+    return found.select(F.lit(repo).alias("repo"), _inside(root).alias("path"), F.col("content").alias("bytes"))
 
 
 def code_files(files: DataFrame) -> DataFrame:
@@ -28,10 +59,9 @@ def totals(files: DataFrame) -> DataFrame:
 
 
 def all_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    bare = "/" + root.split("://")[-1].strip("/").split(":")[-1].strip("/") + "/"
-    return found.select(F.lit(repo).alias("repo"), F.substring_index(plain, bare, -1).alias("path"), F.col("content").alias("bytes"))
+    """(repo, path, bytes) of all files below root."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_escaped(root))
+    return found.select(F.lit(repo).alias("repo"), _inside(root).alias("path"), F.col("content").alias("bytes"))
 
 
 def listed(files: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -252,3 +252,20 @@ def test_blame_is_worked_out(spark):
     versions = spark.createDataFrame(rows, "path string, number int, sha string, author string, content string").repartition(3)
     got = sorted(tuple(r) for r in history.blamed(versions).collect())
     assert got == sorted([(p, i + 1, f"{p}{n}", f"by {n % 4}") for p, origins in want.items() for i, n in enumerate(origins)] + [("blank", 1, "k0", "y"), ("twice", 1, "t0", "z"), ("twice", 2, "t0", "z")])
+
+
+def test_a_scan_opens_code_alone(spark, tmp_path):
+    root = tmp_path / "my repo"
+    names = ["a.py", "src/[id]/b.ts", "src/k=v/c.go", "src/{x}/d e.js", "UP.PY", "node_modules/x/e.js", "src/.hidden/f.py", "vendor/g.py", "notes.txt", "src/h.bin", "é/ü.py", "a%20b.py"]
+    for n in names:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text(f"// {n}\n")
+    found = files.scan(spark, str(root), "r")
+    code = sorted(names[:5] + ["é/ü.py", "a%20b.py"])
+    assert sorted((r.path, r.content) for r in found.collect()) == [(n, f"// {n}\n") for n in code]
+    assert len(found.inputFiles()) == len(code) and not any("node_modules" in f or "vendor" in f or ".txt" in f for f in found.inputFiles())
+    assert files.named(spark, str(root), "r").agg(F.sum("size")).first()[0] == sum(len(f"// {n}\n".encode()) for n in names if "hidden" not in n)  # Spark itself hides such folders
+    assert files.scan(spark, str(root / "vendor"), "r").count() == 1
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.txt").write_text("x")
+    assert files.scan(spark, str(tmp_path / "none"), "r").count() == 0
