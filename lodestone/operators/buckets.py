@@ -52,7 +52,8 @@ class Buckets:
         self.schema = _nullable(self.schema)
         self.by = self.by or self.key
 
-    def _bucket(self) -> Column:
+    def bucket(self) -> Column:
+        """The bucket of a row that has the columns by."""
         return F.pmod(F.xxhash64(*(F.col(c) for c in self.by)), F.lit(self.buckets)).cast("int")
 
     def _kind(self) -> T.StructType:
@@ -98,11 +99,11 @@ class Buckets:
         if mark and batch <= mark[0]:
             return []
         # at most one number for each bucket
-        touched = sorted(r.bucket for r in keys.select(self._bucket().alias("bucket")).distinct().collect())
+        touched = sorted(r.bucket for r in keys.select(self.bucket().alias("bucket")).distinct().collect())
         if not touched:
             return []
         rows = merge(self.table(touched)).select(*self.schema.names)
-        packed = rows.select(F.struct(*self.schema.names).cast(self.schema).alias("_row"), self._bucket().alias("_bucket"))
+        packed = rows.select(F.struct(*self.schema.names).cast(self.schema).alias("_row"), self.bucket().alias("_bucket"))
         # one that loses all its rows has to be put in place too
         none = self.spark.createDataFrame([(None, b) for b in touched], self._kind())
         packed.unionByName(none).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/aside/turn={batch % 2}")

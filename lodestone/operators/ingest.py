@@ -12,7 +12,7 @@ from lodestone.functions import paths, texts
 from lodestone.sources import history
 
 from . import dml, embed, extract
-from .graph import dedupe_edges
+from .graph import dedupe_edges, stored
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -45,8 +45,11 @@ def history_graph(commits: DataFrame, url: str, name: str | None = None) -> tupl
 
 
 def source_graph(files: DataFrame, repo: str, url: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Repo, File and symbol nodes of files (repo, path, content), and the edges between them."""
-    found = extract.symbols(files)
+    """Repo, File and symbol nodes of files (repo, path, content), and the edges between them.
+
+    Each file is parsed once: its nodes and edges are rows of one written table, which both tables are read from.
+    """
+    found = stored(extract.symbols(files), "symbols")
     file_nodes = extract.file_nodes(files)
     top = files.sparkSession.range(1).select(F.lit(f"repo:{repo}").alias("id"), F.lit("Repo").alias("label"), F.lit(repo).alias("name"), F.lit(url).cast("string").alias("url"))
     symbols = found.where("kind = 'node'").select("id", "label", "name", "start_line", "end_line", "signature", "snippet", F.col("sort").alias("kind"))

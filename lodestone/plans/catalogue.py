@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, texts, vectors
-from lodestone.operators import dml, embed, graph, grams, pivots, rag, search
+from lodestone.operators import dml, embed, graph, grams, pivots, rag, search, tallies
 from lodestone.session import table
 from lodestone.sources import history
 from lodestone.streaming import events as webhooks
 
 from . import fixture
-from .registry import query
+from .registry import oracle_sql, query
 
 #: The query vector and text of the searches.
 VECTOR = [((i * 37) % 64) / 64 - 0.5 for i in range(64)]
@@ -87,11 +87,11 @@ def memory_substring_indexed(spark, d):
     return grams.GramIndex.build(rows, graph.folder(spark, "grams"), ["content", "metadata"], parts=16).search("License").select("id")
 
 
-@query("SELECT doc_id AS id, source AS name FROM documents WHERE contains(lower(text), 'über die')")
+@query("SELECT doc_id AS id, source AS name FROM documents WHERE contains(lower(text), 'licensed under')")
 def text_search_indexed(spark, d):
     """Documents with a text in any case."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    found = grams.GramIndex.build(rows, graph.folder(spark, "grams"), ["content"], lower=True, parts=16).search("ÜBER die")
+    found = grams.GramIndex.build(rows, graph.folder(spark, "grams"), ["content"], lower=True, parts=16).search("LICENSED under")
     return found.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name")), "id").select("id", "name")
 
 
@@ -299,7 +299,11 @@ SELECT n.id, n.name, (SELECT count(DISTINCT file) FROM f WHERE repo = n.id) AS f
 )
 def repo_stats(spark, d):
     """Each branch is walked on the tables' own numbers; identifiers are made for the few rows of the result."""
+    return graph.statistics(*_repo_branches(spark, d)).withColumn("id", F.concat(F.lit("repo:"), F.col("id").cast("string")))
 
+
+def _repo_branches(spark, d):
+    """Repositories, and what hangs on them by branch."""
     def edges(kind: str, near: str, far: str):
         return (fixture.code_keys(spark, d, kind), near, far)
 
@@ -310,7 +314,23 @@ def repo_stats(spark, d):
     branches["people"] = graph.path_branch(edges("BELONGS_TO", "dst", "src"))
     branches["pull_requests"] = graph.path_branch(edges("TARGETS", "dst", "src"))
     repos = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    return graph.statistics(repos, branches).withColumn("id", F.concat(F.lit("repo:"), F.col("id").cast("string")))
+    return repos, branches
+
+
+@query(oracle_sql()["repo_stats"])
+def repo_stats_kept(spark, d):
+    """repo_stats kept up to date: a part of the edges and some wrong ones come first, then the rest comes, and of the
+    wrong ones and of every second edge that came twice one goes."""
+    repos, branches = _repo_branches(spark, d)
+    tallies_ = tallies.Tallies(spark, graph.folder(spark, "tallies"), buckets=16)
+    early = F.pmod(F.xxhash64("item"), F.lit(3)) < 2
+    wrong = {b: pairs.where("item % 5 = 0").select("id", (-1 - F.col("item")).alias("item")) for b, pairs in branches.items()}
+    first = {b: pairs.where(early).unionByName(wrong[b]).withColumn("n", F.lit(1)) for b, pairs in branches.items()}
+    again = {b: pairs.where(early & (F.col("item") % 2 == 0)).withColumn("n", F.lit(1)) for b, pairs in branches.items()}
+    last = {b: pairs.where(~early).withColumn("n", F.lit(1)).unionByName(wrong[b].unionByName(pairs.where(early & (F.col("item") % 2 == 0))).withColumn("n", F.lit(-1))) for b, pairs in branches.items()}
+    for number, changes in enumerate((first, again, last)):
+        tallies_.update(changes, number)
+    return tallies_.statistics(repos, list(branches)).withColumn("id", F.concat(F.lit("repo:"), F.col("id").cast("string")))
 
 
 @query(

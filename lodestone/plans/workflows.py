@@ -250,6 +250,22 @@ def ingested_counts(spark, d):
     return ingest.counts_by_label(_ingested(spark, d)[0])
 
 
+@query(
+    f"""WITH p AS ({oracle_sql()["python_symbols"]}), c AS (SELECT * FROM events ORDER BY strftime(ts, '%Y-%m-%d') DESC, 'c' || event_id LIMIT 50),
+n AS (SELECT id, label FROM p WHERE kind = 'node' UNION SELECT 'repo:r', 'Repo' UNION SELECT 'r:pkg/test_' || doc_id || '.py:file', 'File' FROM documents UNION SELECT 'r:commit:c' || event_id, 'Commit' FROM c
+  UNION SELECT {_PEOPLE}, 'Person' FROM c UNION SELECT 'r:pkg/test_' || user_id || '.py:file', 'File' FROM c),
+e AS (SELECT src, dst, type FROM p WHERE kind = 'edge' UNION SELECT 'repo:r', 'r:pkg/test_' || doc_id || '.py:file', 'HAS_FILE' FROM documents UNION SELECT 'r:commit:c' || event_id, 'repo:r', 'BELONGS_TO' FROM c
+  UNION SELECT 'r:commit:c' || event_id, {_PEOPLE}, 'AUTHORED_BY' FROM c UNION SELECT 'r:commit:c' || event_id, 'r:pkg/test_' || user_id || '.py:file', 'TOUCHED' FROM c UNION SELECT 'r:pkg/test_' || user_id || '.py:file', 'repo:r', 'BELONGS_TO' FROM c)
+SELECT 'node' AS kind, id, label, NULL AS src, NULL AS dst, NULL AS type, true AS embedded FROM n UNION ALL SELECT 'edge', NULL, NULL, src, dst, type, NULL FROM e"""
+)
+def full_ingest(spark, d):
+    """The whole ingest: sources parsed, the newest commits, embeddings of all nodes that have a text, edges with both ends."""
+    nodes, edges = ingest.full_ingest(_sources(spark, d, ".py", _PYTHON, "# "), _commits(spark, d), "r", "https://github.com/o/r", Settings(commits_full=50))
+    none = F.lit(None).cast("string")
+    left = nodes.select(F.lit("node").alias("kind"), "id", "label", none.alias("src"), none.alias("dst"), none.alias("type"), F.col("embedding").isNotNull().alias("embedded"))
+    return left.unionByName(edges.select(F.lit("edge").alias("kind"), none.alias("id"), none.alias("label"), "src", "dst", "type", F.lit(None).cast("boolean").alias("embedded")))
+
+
 @query(
     f"""WITH t AS (SELECT {_path_sql("o_orderkey")} AS path FROM orders) SELECT count(*) AS files, count(*) FILTER (WHERE {_IS_CODE} AND NOT {_IGNORED}) AS parsed, count(*) FILTER (WHERE NOT ({_IS_CODE} AND NOT {_IGNORED})) AS skipped,
   count(*) FILTER (WHERE {_IS_CODE} AND {_IGNORED}) AS ignored, count(*) FILTER (WHERE NOT {_IS_CODE}) AS other FROM t"""

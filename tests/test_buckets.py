@@ -100,3 +100,25 @@ def test_stream_of_repeated_and_reordered_deliveries(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
         assert events.run(events.once(stream, late="1 hour"), twice, str(tmp_path / f"c{order}")).awaitTermination(180)
         assert sorted((r.pr, r.state, r.n) for r in table.table().collect()) == want
+
+
+def test_tallies_follow_what_comes_and_goes(spark, tmp_path):
+    from lodestone.operators.tallies import Tallies
+
+    rng = random.Random(9)
+    kept = Tallies(spark, str(tmp_path / "t"), buckets=20)
+    edges = {}
+    starts = spark.createDataFrame([(k, f"n{k}") for k in range(4)], "id long, name string")
+    for number in range(4):
+        rows = {"a": [], "b": []}
+        for _ in range(60 if number == 0 else 3):
+            branch, key = rng.choice("ab"), (rng.randrange(3), f"i{rng.randrange(25)}")
+            n = -1 if edges.get((branch, *key)) and rng.random() < 0.6 else 1
+            edges[(branch, *key)] = edges.get((branch, *key), 0) + n
+            rows[branch].append((*key, n))
+        changes = {b: spark.createDataFrame(r, "id long, item string, n long") for b, r in rows.items()}
+        looked = kept.update(changes, number)
+        assert kept.update(changes, number) == looked and (number == 0 or looked <= 3)
+        want = [(k, f"n{k}", *(sum(1 for (b, i, _), n in edges.items() if b == branch and i == k and n > 0) for branch in "ab")) for k in range(4)]
+        assert sorted(tuple(r) for r in kept.statistics(starts, ["a", "b"]).collect()) == want
+    kept.update({"a": spark.createDataFrame([], "id long, item string, n long")}, 9)
