@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rag
@@ -46,6 +47,33 @@ def answer(context: DataFrame, question: str, agent: str = "pathfinder", provide
     yield {"type": "done"}
 
 
+def prompt(agent: Column, question: Column) -> Column:
+    """What an agent is told, and the question; an unknown agent is the first one."""
+    words = F.create_map(*(F.lit(x) for pair in PROMPTS.items() for x in pair))
+    told = F.coalesce(F.try_element_at(words, F.coalesce(agent, F.lit(""))), F.lit(PROMPTS["pathfinder"]))
+    return F.concat(told, F.lit("\n\nQuestion: "), F.coalesce(question, F.lit("")))
+
+
+def answered(asked: DataFrame, provider: str = "extractive") -> DataFrame:
+    """(id, i, kind, text) for asked (id, agent, question, context), many questions at once: the pieces of each answer in
+    order, and an end. Tasks ask the provider question by question, and pass pieces on as they come; without a context
+    the answer says so. Equal questions are asked each for itself, so ids should differ.
+    """
+    if provider not in PROVIDERS:
+        raise ValueError(f"unknown provider {provider}; there are {sorted(PROVIDERS)}")
+    ask, rows = PROVIDERS[provider], asked.select("id", prompt(F.col("agent"), F.col("question")).alias("prompt"), "context")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                id_, told, context = (c[at].as_py() for c in batch.columns)
+                pieces = ask(told, context) if context and context.strip() else iter([rag.NO_CONTEXT])
+                out = [("chunk", p) for p in pieces] + [("done", None)]
+                yield pa.RecordBatch.from_arrays([pa.array([id_] * len(out), batch.schema.field("id").type), pa.array(range(len(out)), pa.int32()), pa.array([k for k, _ in out]), pa.array([t for _, t in out], pa.string())], names=["id", "i", "kind", "text"])
+
+    return rows.mapInArrow(run, f"id {asked.schema['id'].dataType.simpleString()}, i int, kind string, text string")
+
+
 def analyse_issue(nodes: DataFrame, query: list[float], title: str, body: str, provider: str = "extractive") -> Iterator[dict]:
     """The records of an answer to an issue, from functions, files and commits near its title and body."""
     yield from answer(rag.issue_context(nodes, query, title, body), f"{title}\n\n{body}", "diagnostician", provider)

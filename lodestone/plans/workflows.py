@@ -479,6 +479,31 @@ def answer_events(spark, d):
     return got.select((F.col("i") / 2).cast("int").alias("i"), "kind", "text")
 
 
+_AGENTS = f"['{"', '".join(answer.PROMPTS)}', 'unknown']"
+_TOLD = f"['{"', '".join([*answer.PROMPTS.values(), answer.PROMPTS['pathfinder']])}']"
+
+
+def _asked(spark, d):
+    """A question about each document, with its text as the context, to one agent after the other."""
+    agents = F.array(*map(F.lit, [*answer.PROMPTS, "unknown"]))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.get(agents, (F.col("doc_id") % 6).cast("int")).alias("agent"), F.concat(F.lit("What is in "), "source", F.lit("?")).alias("question"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("context"))
+
+
+@query(f"SELECT doc_id AS id, {_TOLD}[doc_id % 6 + 1] || chr(10) || chr(10) || 'Question: What is in ' || source || '?' AS prompt FROM documents")
+def agent_prompts(spark, d):
+    asked = _asked(spark, d)
+    return asked.select("id", answer.prompt(F.col("agent"), F.col("question")).alias("prompt"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 OR trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN ['{rag.NO_CONTEXT}'] ELSE list_transform(list_slice(string_split(text, chr(10)), 1, 20), lambda x: x || chr(10)) END AS ls FROM documents)
+SELECT id, CAST(i - 1 AS INT) AS i, 'chunk' AS kind, ls[i] AS text FROM (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l) UNION ALL SELECT id, CAST(len(ls) AS INT), 'done', NULL FROM l"""
+)
+def answered_questions(spark, d):
+    """The pieces of an answer to a question about each document."""
+    return answer.answered(_asked(spark, d))
+
+
 @query(_ISSUE.replace("SELECT id, label, score, CAST", "SELECT CAST").replace(" AS position FROM best", " AS position, label, score FROM best"))
 def issue_events(spark, d):
     """The context record of a streamed analysis of an issue; pieces of the answer and an end follow it."""
