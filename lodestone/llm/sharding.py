@@ -24,6 +24,8 @@ from .common import batches_of, stored, unused, with_columns
 
 #: Rows of one part; parts are runs of a file's rows.
 PART = 1 << 18
+#: Cells of all shards at most, and so partitions of the exchange and numbers on the driver.
+CELLS = 200_000
 #: Bits of a row's random key.
 KEY = 62
 
@@ -92,7 +94,8 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_pe
     long texts are rows like any other; equal texts and repeated rows are dealt independently, since only their place
     in the input counts, so they may come to different shards. An empty table gives an empty one. Columns named shard or
     slot are replaced. A cell, which is what one task exchanges, has about rows_per_cell rows or bytes_per_cell bytes of
-    the files, whichever is less; the driver keeps one number for each cell.
+    the files, whichever is less, up to CELLS cells; beyond that, at 3 TB with these sizes, cells grow: at 100 TB one has
+    500 MB, which Spark sorts outside of memory and this reads by batches. The driver keeps one number for each cell.
 
     Rows are told apart by file and row number, which every re-run of a lost task sees alike; docs that don't come
     straight from Parquet files are first written to the shared folder.
@@ -104,7 +107,8 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, seed: int = 20, rows_pe
     placed, counts, size = _parts(docs, kept, own) or _parts(stored(docs.select(*[F.col(f"`{n}`") for n in kept]), "rows"), kept, own)
     parts, total = sorted(counts), sum(counts.values())
     matrix = communication_matrix([counts[p] for p in parts], shard_sizes(total, shards), seed)
-    per_shard = max(1, -(-total // (shards * rows_per_cell)), -(-size // (shards * bytes_per_cell)))
+    wanted = max(1, -(-total // (shards * rows_per_cell)), -(-size // (shards * bytes_per_cell)))
+    per_shard = min(wanted, max(1, CELLS // shards))
     sent = spark.sparkContext.broadcast(({p: i for i, p in enumerate(parts)}, matrix))
 
     def drawn(batch: pa.RecordBatch, dealt: dict) -> tuple[np.ndarray, np.ndarray]:

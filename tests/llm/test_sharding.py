@@ -47,3 +47,12 @@ def test_places_are_uniform(spark, tmp_path):
 def test_written_shards(spark, tmp_path):
     S.write_shards(S.shuffle_to_shards(spark.range(30).selectExpr("id", "cast(id as string) as text"), shards=3), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().collect().__len__() == 3
+
+
+def test_cells_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELLS", 12)
+    table = spark.range(1000).selectExpr("id", "cast(id as string) as text")
+    dealt = S.shuffle_to_shards(table, shards=5, rows_per_cell=3)
+    assert dealt.rdd.getNumPartitions() == 10
+    rows = dealt.collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(5) for k in range(200)]
