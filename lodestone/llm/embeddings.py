@@ -117,7 +117,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # minus zero is zero: two vectors that differ in its sign alone are still equal in every product
     table = stored(vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, v).alias("v")).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1))}), "vectors")
     merged = table.where("v is not null").groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("id").alias("id"), F.count("*").alias("copies"))
-    merged = stored(merged.select("h1", "h2", "id", "v", F.size("v").alias("length"), "copies"), "merged")
+    # a number of its own for each different vector, which the table keeps: links are between numbers, not hashes
+    merged = stored(merged.select(F.monotonically_increasing_id().alias("key"), "h1", "h2", "id", "v", F.size("v").alias("length"), "copies"), "merged")
 
     cells: dict[int, Cells] = {}
     for r in merged.groupBy("length").count().where(F.col("count") > cell_size).orderBy(F.desc("count"), "length").limit(LENGTHS).collect():
@@ -158,7 +159,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=list(names))
 
-    tallied = merged.select("v", "length", "copies", "h1").mapInArrow(tallies, "length long, cell long, own long, core long, guests long, copies long, tie long")
+    tallied = merged.select("v", "length", "copies", "key").mapInArrow(tallies, "length long, cell long, own long, core long, guests long, copies long, tie long")
     sums = tallied.groupBy("length", "cell").agg(*(F.sum(c).alias(c) for c in ("own", "core", "guests", "copies")), F.min("tie").alias("tie"))
     plan = {}
     # one row for each cell
@@ -204,14 +205,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     s = slice(i, i + 2000)
                     take = pa.array(rows[at[s]])
                     numbers = [pa.array(z[s].astype(np.int32)) for z in (np.full(len(at), n), c, what, x, y, side, of)]
-                    yield pa.RecordBatch.from_arrays([*numbers, *(batch.column(k).take(take) for k in (0, 3, 2))], names=["length", "cell", "what", "x", "y", "side", "home", "v", "h1", "copies"])
+                    yield pa.RecordBatch.from_arrays([*numbers, *(batch.column(k).take(take) for k in (0, 3, 2))], names=["length", "cell", "what", "x", "y", "side", "home", "v", "key", "copies"])
 
     def products(group: pd.DataFrame) -> pd.DataFrame:
         length, cell, what = (int(group[c].iloc[0]) for c in ("length", "cell", "what"))
-        copies, h, side, home = (group[c].to_numpy() for c in ("copies", "h1", "side", "home"))
+        copies, h, side, home = (group[c].to_numpy() for c in ("copies", "key", "side", "home"))
         if what < 0:
             _, _, _, all_, tie = dealt.value[length, cell]
-            return pd.DataFrame({"h1": h, "n": all_ - copies, "root": np.full(len(h), tie)})
+            return pd.DataFrame({"key": h, "n": all_ - copies, "root": np.full(len(h), tie)})
         u = unit(np.stack(group["v"].to_numpy()))
         left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
         alone = what == RIM_RIM and int(group["x"].iloc[0]) == int(group["y"].iloc[0])
@@ -234,15 +235,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             links.union(rows[a], right[b])
         roots = links.roots()
         far = (counts > 0) | (roots != np.arange(len(u)))
-        return pd.DataFrame({"h1": h[far], "n": counts[far], "root": h[roots[far]]})
-
-    schema = f"length int, cell int, what int, x int, y int, side int, home int, v {kind.simpleString()}, h1 long, copies long"
-    met = merged.select("v", "length", "copies", "h1").mapInArrow(visits, schema)
-    found = stored(met.groupBy("length", "cell", "what", "x", "y").applyInPandas(products, "h1 long, n long, root long"), "products")
-    counted = found.groupBy("h1").agg(F.sum("n").alias("n"))
-    groups = components(found, "h1", "root").withColumnRenamed("vertex", "h1")
-    named = merged.select("h1", "h2", "id", "copies").join(counted, "h1", "left").join(groups, "h1", "left")
-    named = stored(named.select("h1", "h2", "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "h1").alias("component")), "named")
+        return pd.DataFrame({"key": h[far], "n": counts[far], "root": h[roots[far]]})
+
+    schema = f"length int, cell int, what int, x int, y int, side int, home int, v {kind.simpleString()}, key long, copies long"
+    met = merged.select("v", "length", "copies", "key").mapInArrow(visits, schema)
+    found = stored(met.groupBy("length", "cell", "what", "x", "y").applyInPandas(products, "key long, n long, root long"), "products")
+    counted = found.groupBy("key").agg(F.sum("n").alias("n"))
+    groups = components(found, "key", "root").withColumnRenamed("vertex", "key")
+    named = merged.select("key", "h1", "h2", "id", "copies").join(counted, "key", "left").join(groups, "key", "left")
+    named = stored(named.select("h1", "h2", "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "key").alias("component")), "named")
     least_ids = named.groupBy("component").agg(F.coalesce(F.min("id"), F.min("h1")).alias("component_id"))
     named = stored(named.join(least_ids, "component").select("h1", "h2", "n_links", "component_id"), "components")
     out = joined(table.select("id", "h1", "h2", F.col("v").isNotNull().alias("sound")), named, ["h1", "h2"], "left", 48)

@@ -92,3 +92,22 @@ def test_empty_and_bad(spark):
     check(spark, [(1, None), (2, [0.0])])
     got = E.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (None, None), (4, [1.0, 0.0])], "vec_id long, embedding array<float>")).collect()
     assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got], key=repr) == sorted([(None, 1, 4), (None, 0, None), (4, 1, 4)], key=repr)
+
+
+def test_vectors_that_share_one_hash_are_told_apart(spark, monkeypatch):
+    """A planted collision: all vectors have the same first hash."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import embeddings as E
+
+    class Colliding:
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+        def xxhash64(self, *columns):
+            return F.lit(7).cast("long") if len(columns) == 1 else F.xxhash64(*columns)
+
+    monkeypatch.setattr(E, "F", Colliding())
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [0.0, 0.0, 1.0]), (6, None)]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True)]
