@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, html, packing, pieces, repair, resampling, sharding, simhash, substring, tokenfiles, toxicity
+from . import chat, decontamination, embeddings, html, oracles, packing, pieces, repair, resampling, sharding, simhash, substring, tokenfiles, toxicity
 
 #: Vocabulary files of public tokenizers.
 TOKENIZERS = "/opt/tokenizers"
@@ -156,4 +156,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_embeddings": OP4_SQL, "op7_substring": OP7_SQL, "op9_chat": OP9_SQL, "chat_tool_calls": CHAT_TOOL_CALLS_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_embeddings": OP4_SQL, "op7_substring": OP7_SQL, "op9_chat": OP9_SQL, "op12_repair": oracles.OP12_SQL, "op13_resampling": oracles.OP13_SQL, "chat_tool_calls": CHAT_TOOL_CALLS_SQL}

@@ -92,6 +92,37 @@ def test_edits_equal_all_edits_tried():
     assert trie.layers < n / 2  # shared beginnings are worked out once
 
 
+def suffixes(signature):
+    """(cost, edits) from the end: edits of each suffix as strings, one insertion at a time."""
+    n = len(signature)
+    best = [{} for _ in range(n + 2)]
+    for i in range(n, -1, -1):
+        for inserted in (2, 1, 0):
+            for state in range(4):
+                then = 3 if state == 2 else 2
+                found = [(0, "")] if i == n and state in (0, 3) else []
+                ways = [(2, "I", (i, then, inserted + 1))] if inserted < 2 else []
+                if i < n:
+                    ways.append((3, "D", (i + 1, state, 0)))
+                    role, more = signature[i].lower(), signature[i].isupper()
+                    if role != "x":
+                        ways.append((2 + more, "R", (i + 1, then, 0)))
+                        if role in R.AFTER and state in R.AFTER[role][0]:
+                            ways.append((more, "K", (i + 1, R.AFTER[role][1], 0)))
+                for cost, letter, (j, s, k) in ways:
+                    if (s, k) in best[j]:
+                        found.append((best[j][s, k][0] + cost, letter + best[j][s, k][1]))
+                if found:
+                    best[i][state, inserted] = min(found)
+    return best[0][0, 0]
+
+
+def test_longer_signatures_equal_another_way_to_the_answer():
+    rng, trie = random.Random(1), R.Trie()
+    for s in sorted("".join(rng.choices("xsuaoSUAO", weights=[1, 1, 6, 6, 1, 1, 2, 2, 1], k=rng.randrange(60))) for _ in range(400)):
+        assert trie.answer(s) == suffixes(s), s
+
+
 def test_long_signatures():
     trie = R.Trie()
     cost, audit = trie.answer("ua" * 50_000 + "u")
