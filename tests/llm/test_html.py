@@ -1,7 +1,12 @@
 import functools
 import random
+import re
+from html.parser import HTMLParser
+
+import pytest
 
 from lodestone.llm import html as H
+from lodestone.llm import queries as Q
 
 
 def page(title, body, extra=""):
@@ -101,3 +106,60 @@ def test_deep_and_long_pages(spark):
     rows = [(i, f"http://{'deep' if i < 4 else 'wide'}.org/{i}", x) for i, x in enumerate(deep + wide)]
     got = {r.page_id: r.main_text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(4)] == [f"text {n}" for n in (4000, 5000, 6000, 7000)] and all("299" in got[i] for i in range(4, 8))
+
+
+class Article(HTMLParser):
+    """The tables' pages by their marks alone, written apart from the library: blocks within article or main."""
+
+    BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "div", "ul", "ol", "li", "table", "tr", "td", "th", "section", "blockquote", "pre", "article", "main"}
+    AWAY = {"nav", "header", "footer", "aside", "form", "script", "style"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.now = [], [], ""
+
+    def ended(self):
+        text = re.sub(r"[ \t\n\r\f]+", " ", self.now).strip(" \t\n\r\f")
+        self.blocks += [text] if text else []
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "meta", "link", "img", "input", "hr"):
+            self.now += " " if tag == "br" else ""
+            return
+        if tag in self.BLOCKS:
+            self.ended()
+        if tag == "p" and "p" in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index("p") :]
+        named = " ".join(str(v) for k, v in attrs if k in ("class", "id"))
+        away = tag in self.AWAY or re.search(r"\b(ad|ads|advert|comments?|cookie|notice|sidebar|menu|related|share)\b", named)
+        self.open.append("!" + tag if away else tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.ended()
+        names = [x.lstrip("!") for x in self.open]
+        if tag in names:
+            del self.open[len(names) - 1 - names[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if {"article", "main"} & set(self.open) and not any(x.startswith("!") for x in self.open):
+            self.now += data
+
+
+def brute(page):
+    parser = Article()
+    parser.feed(page or "")
+    parser.close()
+    parser.ended()
+    return "\n\n".join(parser.blocks)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_brute_force(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    pages = {r.page_id: r for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    rows = Q.op5_html(spark, folder).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, brute(pages[r.page_id].html), len(r.text))
