@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, stored
@@ -135,6 +135,27 @@ def _parts(text: str) -> Iterator[str]:
     yield text[start:]
 
 
+def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """Blocks (file, block, tokens) of the flat token files below path, in any store that Spark reads, for documents_in,
+    and (file, path, size in bytes) of each. A file is nothing but tokens of width bytes, one after the other.
+
+    A file is opened by one task, which cuts it, so that it has to be smaller than 2 GB; blocks then go on alone. A file
+    that ends within a token is refused; Spark leaves out empty ones.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    names = found.select("path", F.col("length").alias("size"))
+    # one row for each file, without its content
+    names = stored(names.select((F.row_number().over(Window.orderBy("path")) - 1).cast("int").alias("file"), "path", "size"), "names")
+    broken = names.where(F.col("size") % width != 0).first()
+    if broken:
+        raise ValueError(f"{broken.path} ends within a token of {width} bytes")
+    step = block * width
+    number = F.explode(F.sequence(F.lit(0), F.ceil(F.col("length") / step).cast("int") - 1)).alias("block")
+    cut = found.where("length > 0").select("path", "content", number)
+    blocks = cut.select("path", "block", F.substring("content", F.col("block") * step + 1, F.lit(step)).alias("tokens"))
+    return stored(blocks.join(F.broadcast(names.select("file", "path")), "path").select("file", "block", "tokens"), "blocks"), names
+
+
 def documents_in(files: DataFrame, eod: int, width: int = 2) -> DataFrame:
     """(file, ordinal, start, n_tokens) of every document in files (file, block, tokens), counted from 0.
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 
@@ -75,3 +76,21 @@ def test_scan_of_any_blocks(spark):
 def test_separator_must_be_free(spark):
     with pytest.raises(ValueError):
         T.token_counts(spark.createDataFrame([(1, "a")], "doc_id long, text string"), RANKS, 5)
+
+
+def test_flat_token_files_are_read_from_disk(spark, tmp_path):
+    rng, want = np.random.default_rng(4), {}
+    for k, documents in enumerate(([3, 0, 70, 1], [], [0], [500], [1] * 40)):
+        tokens = np.concatenate([np.append(rng.integers(0, 9, n), 9) for n in documents] or [np.zeros(0, np.int64)])
+        if k == 3:
+            tokens = tokens[:-1]  # no separator at the end
+        tokens.astype("<u2").tofile(tmp_path / f"part{k}.bin")
+        want[f"part{k}.bin"] = documents
+    for block in (1, 7, 64, 1 << 16):
+        blocks, names = T.read_token_files(spark, str(tmp_path), 2, block)
+        got = T.documents_in(blocks, 9, 2).join(names, "file").collect()
+        by = {n: [r.n_tokens for r in sorted((r for r in got if r.path.endswith(n)), key=lambda r: r.ordinal)] for n in want}
+        assert by == want and names.count() == 4  # Spark leaves out empty files
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError):
+        T.read_token_files(spark, str(tmp_path), 2)
