@@ -23,18 +23,20 @@ SCHEMA = "kind string, label string, id string, name string, src string, dst str
 SNIPPET = 5
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """Rows of kind node or edge for the symbols in files (repo, path, content); null contents give none."""
+def symbols(files: DataFrame, owned: bool = False) -> DataFrame:
+    """Rows of kind node or edge for the symbols in files (repo, path, content); null contents give none. owned adds the
+    column owner, the file's node."""
+    schema = SCHEMA + (", owner string" if owned else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        names = [c.split()[0] for c in schema.split(", ")]
         for pdf in batches:
-            rows = [r for f in pdf.itertuples(index=False) if f.content is not None for r in _file_symbols(f.repo, f.path, f.language, f.content)]
+            rows = [r | {"owner": f"{f.repo}:{f.path}:file"} for f in pdf.itertuples(index=False) if f.content is not None for r in _file_symbols(f.repo, f.path, f.language, f.content)]
             columns = {n: pd.Series([r.get(n) for r in rows], dtype="Int32" if n.endswith("_line") else object) for n in names}
             yield pd.DataFrame(columns, columns=names)
 
     some = files.withColumn("language", paths.language(F.col("path"))).where(F.col("language").isin("python", "javascript", "typescript"))
-    return some.select("repo", "path", "language", "content").mapInPandas(run, SCHEMA)
+    return some.select("repo", "path", "language", "content").mapInPandas(run, schema)
 
 
 def file_nodes(files: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
@@ -12,6 +13,7 @@ from lodestone.functions import paths, texts
 from lodestone.sources import history
 
 from . import dml, embed, extract
+from .buckets import Buckets
 from .graph import dedupe_edges, stored
 
 
@@ -98,6 +100,64 @@ def update(nodes: DataFrame, edges: DataFrame, state: DataFrame, old: DataFrame
     return nodes, edges, with_state(state, repo, sha)
 
 
+NODES = "owner string, id string, label string, name string, start_line int, end_line int, signature string, snippet string, kind string, path string, language string, sha string, lines long"
+EDGES = "owner string, src string, dst string, type string"
+STATE = "repo_name string, repo_sha string, updated_at timestamp"
+
+
+@dataclass
+class GraphTables:
+    """A graph of sources in tables of buckets below path, in which every row belongs to the file that gave it.
+
+    A change of files replaces what they gave, and touches only the buckets that these files fall into. A node of many
+    files, as a package, is a row for each, and one node in what graph returns.
+    """
+
+    spark: SparkSession
+    path: str
+    buckets: int = 256
+
+    def __post_init__(self):
+        self.nodes = Buckets(self.spark, f"{self.path}/nodes", NODES, ["owner", "id"], ["owner"], self.buckets)
+        self.edges = Buckets(self.spark, f"{self.path}/edges", EDGES, ["owner", "src", "dst", "type"], ["owner"], self.buckets)
+        self.state = Buckets(self.spark, f"{self.path}/state", STATE, ["repo_name"], buckets=1)
+
+    def update(self, old: DataFrame | None, new: DataFrame, repo: str, sha: str, batch: int) -> list[int]:
+        """Brings the tables up to the commit sha, whose files (repo, path, sha, content) are new; old are those of the
+        commit that the state names, or None if they can't be told: then all of the repository is replaced. Returns the
+        buckets of nodes that were rewritten. The state comes last, so that a crash repeats work instead of losing it.
+        """
+        todo = plan(last_sha(self.state.table(), repo), sha, old is not None)
+        if todo == "none":
+            return []
+        if todo == "incremental":
+            changes = dml.changed_files(old, new)
+            owners = changes.select(paths.node_id(repo, F.col("path"), "file").alias("owner"))
+            fresh = new.join(changes.where("change <> 'removed'").select("path"), "path", "left_semi")
+        else:
+            there = self.nodes.table().where(F.col("owner").startswith(f"{repo}:")).select("owner")
+            owners, fresh = there.unionByName(new.select(paths.node_id(repo, F.col("path"), "file").alias("owner"))), new
+        owners = stored(owners.distinct(), "owners")  # worked out before the tables change
+        nodes, edges = self.parsed(fresh, repo)
+        touched = self.nodes.replace(owners, nodes, batch)
+        self.edges.replace(owners, edges, batch)
+        self.state.upsert(self.spark.createDataFrame([(repo, sha)], "repo_name string, repo_sha string").withColumn("updated_at", F.current_timestamp()), batch)
+        return touched
+
+    def parsed(self, files: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges of files with their owners; each file is parsed once."""
+        found = stored(extract.symbols(files, owned=True), "symbols")
+        own = extract.file_nodes(files).withColumn("owner", F.col("id"))
+        nodes = found.where("kind = 'node'").select("owner", "id", "label", "name", "start_line", "end_line", "signature", "snippet", F.col("sort").alias("kind"))
+        has = own.select("owner", F.lit(f"repo:{repo}").alias("src"), F.col("id").alias("dst"), F.lit("HAS_FILE").alias("type"))
+        columns = [c.split()[0] for c in NODES.split(", ")]
+        return nodes.unionByName(own, allowMissingColumns=True).select(*columns), found.where("kind = 'edge'").select("owner", "src", "dst", "type").unionByName(has)
+
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        """The nodes and edges there are, without owners."""
+        return merged_rows(self.nodes.table().drop("owner")), dedupe_edges(self.edges.table().drop("owner"))
+
+
 def full_ingest(files: DataFrame, commits: DataFrame, repo: str, url: str, settings: Settings = Settings(), dimension: int = 64) -> tuple[DataFrame, DataFrame]:
     """Nodes with embeddings, and edges, of a repository's sources and its newest commits."""
     newest = commits.orderBy(F.desc("committed_at"), "sha").limit(settings.commits_full)

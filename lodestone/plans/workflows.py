@@ -315,6 +315,27 @@ def incremental_update(spark, d):
     return webhooks.incremental(nodes.withColumn("state", F.lit("old")), edges, old, new, "r", parse)[0].select("id", "state", "sha")
 
 
+@query(
+    f"""WITH p AS ({oracle_sql()["python_symbols"].replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 5 <> 0)")})
+SELECT DISTINCT 'node' AS kind, id, label, NULL AS src, NULL AS dst, NULL AS type FROM p WHERE kind = 'node' UNION ALL SELECT 'node', 'r:pkg/test_' || doc_id || '.py:file', 'File', NULL, NULL, NULL FROM documents WHERE doc_id % 5 <> 0
+UNION ALL SELECT DISTINCT 'edge', NULL, NULL, src, dst, type FROM p WHERE kind = 'edge' UNION ALL SELECT 'edge', NULL, NULL, 'repo:r', 'r:pkg/test_' || doc_id || '.py:file', 'HAS_FILE' FROM documents WHERE doc_id % 5 <> 0"""
+)
+def updated_graph(spark, d):
+    """The graph in tables of buckets after two commits: in the second one files went, came, and changed."""
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    sources = _sources(spark, d, ".py", _PYTHON, "# ").withColumn("_n", number)
+    before = F.when(F.col("_n") % 3 == 0, F.concat("content", F.lit("\nclass Gone:\n    pass\n"))).otherwise(F.col("content"))
+    old = sources.where("_n % 7 <> 0").withColumn("content", before)
+    old, new = (m.select("repo", "path", F.sha2("content", 256).alias("sha"), "content") for m in (old, sources.where("_n % 5 <> 0")))
+    tables = ingest.GraphTables(spark, graph.folder(spark, "graph"), 32)
+    tables.update(None, old, "r", "first", 0)
+    tables.update(old, new, "r", "second", 1)
+    nodes, edges = tables.graph()
+    none = F.lit(None).cast("string")
+    left = nodes.select(F.lit("node").alias("kind"), "id", "label", none.alias("src"), none.alias("dst"), none.alias("type"))
+    return left.unionByName(edges.select(F.lit("edge").alias("kind"), none.alias("id"), none.alias("label"), "src", "dst", "type"))
+
+
 # changes of tables
 
 

@@ -68,3 +68,26 @@ def test_command_line(spark, tmp_path, capsys):
     for command in ("languages", "settings", "flags"):
         cli.main([command])
         assert capsys.readouterr().out
+
+
+def test_fifty_changed_files_rewrite_few_buckets(spark, tmp_path):
+    from lodestone.operators.ingest import GraphTables
+
+    schema = "repo string, path string, sha string, content string"
+
+    def manifest(contents):
+        return spark.createDataFrame([("r", p, str(hash(c)), c) for p, c in contents.items()], schema)
+
+    first = {f"m{i}.py": f"import os\n\n\ndef f{i}():\n    pass\n" for i in range(600)}
+    second = {p: c for p, c in first.items() if p != "m3.py"} | {"m5.py": "class New:\n    pass\n", "new.py": "import json\n"}
+    tables = GraphTables(spark, str(tmp_path / "g"), 100)
+    assert len(tables.update(None, manifest(first), "r", "c1", 0)) > 90
+    assert 1 <= len(tables.update(manifest(first), manifest(second), "r", "c2", 1)) <= 3
+    assert tables.update(manifest(first), manifest(second), "r", "c2", 2) == []
+    fresh = GraphTables(spark, str(tmp_path / "h"), 10)
+    fresh.update(None, manifest(second), "r", "c2", 0)
+    for kept, want in zip(tables.graph(), fresh.graph(), strict=True):
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, want.select(*kept.columns).collect()))
+    nodes = {r.id for r in tables.graph()[0].collect()}
+    assert {"package:os", "package:json", "r:m5.py:class:New", "r:new.py:file"} <= nodes and not any("m3.py" in n or "f5" in n.split(":")[-1:] for n in nodes)
+    assert tables.state.table().first().repo_sha == "c2" and tables.update(None, manifest(second), "r", "c3", 3)
