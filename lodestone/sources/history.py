@@ -13,12 +13,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestone.operators.graph import stored
 
-COMMIT = "sha string, author_name string, author_email string, committed_at string, message string, insertions int, deletions int, files_changed array<string>, old_paths array<string>"
+COMMIT = "sha string, author_name string, author_email string, committed_at string, message string, insertions int, deletions int, files_changed array<string>"
+#: What a log gives: old_paths has the path before the commit for each of files_changed that was renamed, else null.
+LOGGED = COMMIT + ", old_paths array<string>"
 
 
 class GitLog(DataSource):
     """spark.read.format("gitlog").option("repo", folder).load(): commits, newest first; option max bounds their number.
-    old_paths has the path before the commit for each of files_changed that was renamed, and null for the others.
 
     The folder has to be in reach of the executors, as a local clone is in local mode.
     """
@@ -28,7 +29,7 @@ class GitLog(DataSource):
         return "gitlog"
 
     def schema(self) -> str:
-        return COMMIT
+        return LOGGED
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["repo"], self.options.get("branch", "HEAD"), int(self.options.get("max", "0")))
@@ -93,7 +94,7 @@ def path_before(path: str) -> str | None:
 
 
 def commit_of(record: str) -> tuple:
-    """A row of COMMIT from a record: fields with the unit separator between them, the last one being the file counts."""
+    """A row of LOGGED from a record: fields with the unit separator between them, the last one being the file counts."""
     sha, name, email, date, message, stats = record.split("\x1f")
     rows = [r.split("\t") for r in stats.strip().split("\n") if r.count("\t") == 2]
     added, gone = (sum(int(r[i]) for r in rows if r[i].isdigit()) for i in (0, 1))
@@ -106,11 +107,11 @@ def commits_of(records: DataFrame) -> DataFrame:
     def run(batches):
         import pandas as pd
 
-        names = [c.split()[0] for c in COMMIT.split(", ")]
+        names = [c.split()[0] for c in LOGGED.split(", ")]
         for pdf in batches:
             yield pd.DataFrame([commit_of(r) for r in pdf["record"] if r is not None], columns=names)
 
-    return records.select("record").mapInPandas(run, COMMIT)
+    return records.select("record").mapInPandas(run, LOGGED)
 
 
 def git_log(spark: SparkSession, repo: str, most: int = 0, branch: str = "HEAD") -> DataFrame:
