@@ -8,9 +8,11 @@ only the parts in which candidates are; each candidate is then looked at itself,
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,10 @@ def grams_of(text: str | None) -> set[str]:
     return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)} if text else set()
 
 
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+
+
 @dataclass
 class GramIndex:
     """An index in the folder path over some text columns; lower looks at texts in lower case."""
@@ -38,6 +44,7 @@ class GramIndex:
     path: str
     columns: list[str]
     lower: bool
+    parts: int
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, columns: list[str], lower: bool = False, parts: int = 64) -> GramIndex:
@@ -47,25 +54,30 @@ class GramIndex:
         very many texts have is a list in many pieces, which sorting deals over many files.
         """
         spark = rows.sparkSession
-        texts = rows.select("id", *columns, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+        texts = rows.select("id", *columns, _part(parts).alias("part"))
         texts.repartition("part").write.partitionBy("part").parquet(f"{path}/texts")
-        seen = texts.select("id", "part", *((F.lower(c) if lower else F.col(c)).alias(c) for c in columns))
-        kind = T.StructType([T.StructField("gram", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("n", T.IntegerType())])
+        # the written parts are read by many tasks, whatever files rows came in
+        written = spark.read.schema(texts.schema).parquet(f"{path}/texts")
+        seen = written.select("id", *((F.lower(c) if lower else F.col(c)).alias(c) for c in columns))
+        kind = T.StructType([T.StructField("gram", T.StringType()), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("n", T.IntegerType())])
 
         def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(at, ROWS)
-                    found: dict[tuple[str, int], list] = {}
-                    for id_, part, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    found: dict[str, list[int]] = {}
+                    for i, own in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
                         for gram in set().union(*map(grams_of, own)):
-                            found.setdefault((gram, part), []).append(id_)
-                    ids = pa.array(list(found.values()), pa.list_(batch.column(0).type))
-                    yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.string()), pa.array([p for _, p in found], pa.int32()), ids, pa.array([len(x) for x in found.values()], pa.int32())], names=kind.names)
+                            found.setdefault(gram, []).append(i)
+                    sizes = np.fromiter(map(len, found.values()), np.int32, len(found))
+                    rows = np.fromiter(itertools.chain.from_iterable(found.values()), np.int64, int(sizes.sum()))
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), batch.column(0).take(pa.array(rows)))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), ids, pa.array(sizes)], names=kind.names)
 
-        found = seen.mapInArrow(lists, kind)
-        found.repartitionByRange("gram", "part").sortWithinPartitions("gram", "part").write.parquet(f"{path}/lists")
-        return cls(spark, path, list(columns), lower)
+        found = stored(seen.mapInArrow(lists, kind), "lists")
+        # a list in many pieces is dealt by a hash of each piece too
+        found.repartitionByRange("gram", F.xxhash64("ids")).sortWithinPartitions("gram").write.parquet(f"{path}/lists")
+        return cls(spark, path, list(columns), lower, parts)
 
     def _lists(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/lists")
@@ -90,12 +102,11 @@ class GramIndex:
 
     def candidates(self, rarest: list[tuple[str, int]]) -> DataFrame:
         """(part, id) of texts that have all these grams."""
-        lists = [self._lists().where(F.col("gram") == g).select("part", F.explode("ids").alias("id")) for g, _ in rarest]
+        lists = [self._lists().where(F.col("gram") == g).select(F.explode("ids").alias("id")) for g, _ in rarest]
         out = lists[0].distinct()
         for more in lists[1:]:
-            same = (F.col("a.part") == F.col("b.part")) & F.col("a.id").eqNullSafe(F.col("b.id"))
-            out = out.alias("a").join(more.alias("b"), same, "left_semi")
-        return out
+            out = out.alias("a").join(more.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")), "left_semi")
+        return out.select(_part(self.parts).alias("part"), "id")
 
     def search(self, text: str) -> DataFrame:
         """Rows (id and the text columns) with text in one of the columns."""
