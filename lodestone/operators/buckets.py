@@ -37,7 +37,8 @@ def _nullable(kind: T.DataType) -> T.DataType:
 @dataclass
 class Buckets:
     """The table in the folder path. key tells rows apart; by (key, if left out) says which rows share a bucket, as all
-    rows of a file do. The number of buckets belongs to the table: it must not change once there are rows."""
+    rows of a file do. The number of buckets belongs to the table: it must not change once there are rows; it should be
+    such that a bucket has some hundred megabytes. A larger one is written by several tasks, as adaptive execution finds."""
 
     spark: SparkSession
     path: str
@@ -106,7 +107,7 @@ class Buckets:
         packed = rows.select(F.struct(*self.schema.names).cast(self.schema).alias("_row"), self.bucket().alias("_bucket"))
         # one that loses all its rows has to be put in place too
         none = self.spark.createDataFrame([(None, b) for b in touched], self._kind())
-        packed.unionByName(none).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/aside/turn={batch % 2}")
+        packed.unionByName(none).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/aside/turn={batch % 2}")
         self._set_mark(batch, False)
         self._place(batch)
         return touched

@@ -50,12 +50,14 @@ class GramIndex:
     def build(cls, rows: DataFrame, path: str, columns: list[str], lower: bool = False, parts: int = 64) -> GramIndex:
         """Writes the index of rows (id and text columns) to path, a new folder that all executors reach.
 
+        parts should be such that a part has some hundred megabytes; a larger one is written by several tasks.
+
         Null texts have no grams; repeated rows and identifiers are kept as they are. Texts are taken whole. A gram that
         very many texts have is a list in many pieces, which sorting deals over many files.
         """
         spark = rows.sparkSession
         texts = rows.select("id", *columns, _part(parts).alias("part"))
-        texts.repartition("part").write.partitionBy("part").parquet(f"{path}/texts")
+        texts.hint("rebalance", "part").write.partitionBy("part").parquet(f"{path}/texts")
         # the written parts are read by many tasks, whatever files rows came in
         written = spark.read.schema(texts.schema).parquet(f"{path}/texts")
         seen = written.select("id", *((F.lower(c) if lower else F.col(c)).alias(c) for c in columns))
