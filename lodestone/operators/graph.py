@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +30,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task should have of a shuffle.
+ROWS_OF_TASK = 1_000_000
+
+
+@contextmanager
+def dealt(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run within it shuffle into as many partitions as rows need, so that a task's share doesn't grow with the
+    table; never into fewer than the session asks for."""
+    key = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(was), -(-rows // ROWS_OF_TASK))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def expand(starts: DataFrame, edges: DataFrame, nodes: DataFrame, kind: str | None = None, reverse: bool = False) -> DataFrame:
     """(start, id and columns of nodes): nodes one edge away from the column id of starts, along or against it."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
@@ -77,61 +97,98 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).groupBy("id").agg(F.sum("n").alias("degree"))
 
 
-#: Rounds of contraction after which something must be wrong: each leaves less than half of the nodes that have edges.
+#: Rounds of contraction after which something must be wrong: each leaves half of the nodes that have edges at most.
 MOST_ROUNDS = 100
 
 
-def contracted(edges: DataFrame) -> tuple[list[DataFrame], int]:
-    """(maps, rounds): tables (id, to) of each round, by which the nodes of a component come to one node.
+def numbered(pairs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(names, src, dst): a written table (id, n) of the ends of pairs (src, dst), a written table, and what numbers their
+    columns. A number is a hash of the id; it is drawn anew if two ids should have the same."""
+    ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).where("id is not null").distinct()
+    for salt in range(MOST_ROUNDS):
+        names = stored(ends.withColumn("n", F.xxhash64("id", F.lit(salt))), "names")
+        if not names.groupBy("n").agg(F.count("*").alias("ids")).where("ids > 1").limit(1).count():
+            return names, F.xxhash64("src", F.lit(salt)), F.xxhash64("dst", F.lit(salt))
+    raise RuntimeError("ids can't be told apart by a hash")
+
 
-    In a round each node hooks to the first of itself and its neighbours in an order that is drawn anew, pointers jump
-    twice over hooks, and edges move to where their ends point. A node that has edges is first in its own order with a chance of
-    half at most, so that rounds grow with the logarithm of the nodes, however long a path is. Every round is a written
-    table; a node with very many edges is combined before the shuffle, and the joins are between written tables, which
-    adaptive execution splits where a key is hot.
+def contracted(edges: DataFrame) -> tuple[list[DataFrame], int, DataFrame]:
+    """(maps, rounds, names): tables (id, to) of each round, by which the nodes of a component come to one node; nodes are
+    numbers, and names (id, n) has them.
+
+    In a round each node hooks to the first of itself and its neighbours, in the order of the numbers with some bits turned,
+    which are drawn anew; one that is first itself, and that no other one hooks to, hooks to the first of its neighbours,
+    all of which go elsewhere. Pointers jump twice over hooks, and edges move to where their ends point. So no node is
+    left alone: each round leaves half of the nodes that have edges at most, however long a path is. Every round is written
+    tables; a node with very many edges is combined before the shuffle, and the joins are between written tables, which
+    adaptive execution splits where a key is hot. Shuffles have as many partitions as there are edges for.
     """
-    both = edges.select("src", "dst").where("src <> dst")
-    both = stored(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    spark = edges.sparkSession
+    pairs = stored(edges.select("src", "dst").where("src <> dst"), "pairs")
+    with dealt(spark, 2 * pairs.count()):
+        names, a, b = numbered(pairs)
+        # an edge is there once, whichever way it points
+        links = stored(pairs.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct(), "links")
     maps: list[DataFrame] = []
-    while both.limit(1).count():
+    draw = random.Random(42)
+    while left := links.count():
         if len(maps) >= MOST_ROUNDS:
             raise RuntimeError(f"more than {MOST_ROUNDS} rounds")
-        drawn = F.lit(len(maps))
-        own, near = F.struct(F.xxhash64("src", drawn).alias("h"), F.col("src").alias("id")), F.struct(F.xxhash64("dst", drawn).alias("h"), F.col("dst").alias("id"))
-        hooks = both.groupBy("src").agg(F.min(F.least(own, near)).alias("x")).select(F.col("src").alias("id"), F.col("x.id").alias("to"))
-        next_ = hooks.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        jumped = hooks
-        for _ in range(2):
-            jumped = jumped.join(next_, "to").select("id", F.col("next").alias("to"))
-        hooks = stored(jumped, "hooks")
-        maps.append(hooks)
-        a, b = hooks.select(F.col("id").alias("src"), F.col("to").alias("a")), hooks.select(F.col("id").alias("dst"), F.col("to").alias("b"))
-        # an edge moves once: the table has it in both directions
-        half = both.where("src < dst").join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-        both = stored(half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
-    return maps, len(maps)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): nodes that have an edge to another one, and a node of their own component that stands for it."""
-    maps, _ = contracted(edges)
-    if not maps:
-        return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+        turned = F.lit(draw.getrandbits(64) - (1 << 63))
+        with dealt(spark, 2 * left):
+            both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            near = both.groupBy(F.col("src").alias("id")).agg(F.min(F.col("dst").bitwiseXOR(turned)).alias("near"))
+            first = F.least(F.col("id").bitwiseXOR(turned), "near")
+            near = stored(near.select("id", first.bitwiseXOR(turned).alias("to"), F.col("near").bitwiseXOR(turned).alias("near")), "near")
+            taken = near.where("to <> id").select(F.col("to").alias("id")).distinct().withColumn("taken", F.lit(True))
+            to = F.when((F.col("to") == F.col("id")) & F.col("taken").isNull(), F.col("near")).otherwise(F.col("to"))
+            hooks = stored(near.join(taken, "id", "left").select("id", to.alias("to")), "hooks")
+            next_ = hooks.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            jumped = hooks
+            for _ in range(2):
+                jumped = jumped.join(next_, "to").select("id", F.col("next").alias("to"))
+            hooks = stored(jumped, "jumped")
+            maps.append(hooks)
+            a, b = hooks.select(F.col("id").alias("src"), F.col("to").alias("a")), hooks.select(F.col("id").alias("dst"), F.col("to").alias("b"))
+            moved = links.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+            links = stored(moved.distinct(), "links")
+    return maps, len(maps), names
+
+
+def _numbers_by_component(maps: list[DataFrame]) -> DataFrame:
+    """(n, component): nodes' numbers, and that of a node of their own component that stands for it."""
     # from the last round, which has the fewest nodes, to the first
     out = maps[-1].select("id", F.col("to").alias("component"))
     for i, earlier in enumerate(reversed(maps[:-1])):
         later = out.withColumnRenamed("id", "to")
         out = earlier.join(later, "to", "left").select("id", F.coalesce("component", "to").alias("component"))
         out = stored(out, "components") if i % 4 == 3 else out
-    return stored(out, "components")
+    return stored(out.withColumnRenamed("id", "n"), "components")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): nodes that have an edge to another one, and a node of their own component that stands for it."""
+    maps, _, names = contracted(edges)
+    if not maps:
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    with dealt(edges.sparkSession, names.count()):
+        found = _numbers_by_component(maps)
+        heads = names.select(F.col("n").alias("component"), F.col("id").alias("head"))
+        return stored(found.join(heads, "component").join(names, "n").select("id", F.col("head").alias("component")), "components")
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(id): nodes that a path of edges in either direction joins to the ids of starts, those included."""
     first = starts.select("id").distinct()
-    found = components(edges)
-    wanted = found.join(first, "id", "left_semi").select("component").distinct()
-    return found.join(wanted, "component", "left_semi").select("id").unionByName(first).distinct()
+    maps, _, names = contracted(edges)
+    if not maps:
+        return first
+    with dealt(edges.sparkSession, names.count()):
+        found = _numbers_by_component(maps)
+        met = stored(names.join(first, "id", "left_semi"), "met")
+        wanted = found.join(met, "n", "left_semi").select("component").distinct()
+        reached = names.join(found.join(wanted, "component", "left_semi").select("n"), "n", "left_semi").select("id")
+        return stored(reached.unionByName(first.join(met, "id", "left_anti")), "reached")
 
 
 def statistics(starts: DataFrame, branches: dict[str, DataFrame]) -> DataFrame:

@@ -170,3 +170,24 @@ def test_a_long_chain_is_reached_in_few_rounds(spark, n):
     assert graph.contracted(edges)[1] < 20
     starts = spark.createDataFrame([("7",), ("alone",)], "id string")
     assert graph.reachable(edges, starts).count() == n + 2 and graph.reachable(edges.limit(0), starts).count() == 2
+
+
+def test_a_star_collapses_and_numbers_are_told_apart(spark):
+    """Leaves that come before their hub are not left alone, and shuffles grow with the edges."""
+    star = spark.range(1, 3001).selectExpr("cast(id as string) as src", "'hub' as dst")
+    maps, rounds, names = graph.contracted(star)
+    assert rounds <= 2 and names.count() == 3001 and names.select("n").distinct().count() == 3001
+    assert graph.components(star).select("component").distinct().count() == 1
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    with graph.dealt(spark, 50 * graph.ROWS_OF_TASK):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == was
+
+
+def test_clearing_a_repository_contracts_once(spark, monkeypatch):
+    from lodestone.plans import catalogue
+
+    calls, contracted = [], graph.contracted
+    monkeypatch.setattr(graph, "contracted", lambda edges: calls.append(1) or contracted(edges))
+    catalogue.clear_repo(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
