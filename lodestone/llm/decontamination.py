@@ -73,14 +73,14 @@ def phrases(index: Index, window: int = 13) -> DataFrame:
     )
     pairs = stored(ranked.where("least > 0").select("item", F.col("one.at").alias("at1"), F.col("one.term").alias("term1"), F.col("two.at").alias("at2"), F.col("two.term").alias("term2")).distinct(), "pairs")
     rarest = stored(pairs.select("item", "at1", F.col("term1").alias("term")).distinct(), "rarest")
-    seen = joined(postings, rarest, ["term"], "inner", 40).select("kd", "tag", "item", "at1", (F.col("pos") - F.col("at1")).alias("shift")).where("shift >= 0")
+    seen = joined(postings, rarest, ["term"], "inner", 40).select("kd", "tag", "item", "at1", (F.col("pos") - F.col("at1")).alias("shift"))
     second = joined(seen, pairs.withColumnRenamed("term2", "term"), ["item", "at1"], "inner", 48)
     alone = second.where("term is null").select("kd", "tag", "item", "shift")
-    asked = second.where("term is not null").select("kd", "tag", "item", "shift", "term", (F.col("shift") + F.col("at2")).alias("pos"))
+    asked = second.where("term is not null").select("kd", "tag", "item", "shift", "term", (F.col("shift") + F.col("at2")).alias("pos")).where("pos >= 0")
     lists = joined(postings, stored(pairs.where("term2 is not null").select(F.col("term2").alias("term")).distinct(), "second"), ["term"], "left_semi", 16)
     places = stored(asked.join(lists, ["kd", "tag", "pos", "term"]).select("kd", "tag", "item", "shift").unionByName(alone).distinct(), "places")
-    # all terms of the item at the places left
-    wanted = joined(places, items.select("item", "item_id", "at", "term", "size"), ["item"], "inner", 64).select("kd", "tag", "item", "item_id", "shift", "at", "size", "term", (F.col("shift") + F.col("at")).alias("pos"))
+    # all terms of the item at the places left; an item's beginning may lie before that of the document
+    wanted = joined(places, items.select("item", "item_id", "at", "term", "size"), ["item"], "inner", 64).select("kd", "tag", "item", "item_id", "shift", "at", "size", "term", (F.col("shift") + F.col("at")).alias("pos")).where("pos >= 0")
     some = joined(postings, stored(places.select("kd", "tag").distinct(), "some"), ["kd", "tag"], "left_semi", 24)
     agreed = wanted.join(some.distinct(), ["kd", "tag", "pos", "term"], "left_semi")
     by = Window.partitionBy("kd", "tag", "item", "shift").orderBy("at")

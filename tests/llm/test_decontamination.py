@@ -63,3 +63,9 @@ def test_proximity(spark):
     index = D.build_index(docs, bench)
     assert {r.kd for r in D.proximity(index, 3).collect()} == {1, 3}
     assert {r.kd for r in D.phrases(index).collect()} == set()
+
+
+def test_a_document_that_starts_within_an_item(spark):
+    item = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(item[20:36])), (2, " ".join(item[27:])), (3, "x " + " ".join(item[5:18]) + " y"), (4, " ".join(item[28:]))]
+    check(spark, docs, [(7, " ".join(item))])
