@@ -16,3 +16,10 @@ def session(name: str = "lodestone", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """Arrow batches of at most so many rows from now on, since results are lazy and a row may hold a long text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))

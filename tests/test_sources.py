@@ -269,3 +269,13 @@ def test_a_scan_opens_code_alone(spark, tmp_path):
     (tmp_path / "none").mkdir()
     (tmp_path / "none" / "x.txt").write_text("x")
     assert files.scan(spark, str(tmp_path / "none"), "r").count() == 0
+
+
+def test_symbols_go_on_in_small_batches(spark):
+    """Files come in small batches, and a file with more symbols than are gathered at once loses none."""
+    big = "\n".join(f"# note {i}" for i in range(2 * extract.ROWS))
+    files = spark.createDataFrame([("r", f"a{i}.py", big if i == 3 else "x = 1\n# one") for i in range(300)] + [("r", "none.py", None)], "repo string, path string, content string")
+    found = extract.symbols(files, owned=True)
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= extract.FILES
+    docs = {r.owner: r.n for r in found.where("kind = 'node' and label = 'Doc'").groupBy("owner").agg(F.count("*").alias("n")).collect()}
+    assert len(docs) == 300 and docs["r:a3.py:file"] == 2 * extract.ROWS and docs["r:a4.py:file"] == 1
