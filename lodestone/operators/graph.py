@@ -64,10 +64,34 @@ def dedupe_edges(edges: DataFrame, first_by: Column | None = None) -> DataFrame:
     return picked.select("src", "dst", "type", *(F.col(f"x.{c}").alias(c) for c in rest))
 
 
+def missing_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id): ends of edges that are no nodes, a written table. Ends are made different before they are looked up, so that
+    no edge is moved."""
+    ends = edges.select(F.col("src").alias("id")).distinct().unionByName(edges.select(F.col("dst").alias("id")).distinct()).where("id is not null")
+    both = ends.select("id", F.lit(False).alias("there")).unionByName(nodes.select("id", F.lit(True).alias("there")))
+    with dealt(edges.sparkSession, edges.count()):
+        return stored(both.groupBy("id").agg(F.max("there").alias("there")).where("not there").select("id"), "missing")
+
+
+def _end_missing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with the column _dangling: whether an end is no node. Few ids are missing as a rule, and then Spark
+    broadcasts them."""
+    missing = missing_ends(edges, nodes)
+    out = edges
+    for end in ("src", "dst"):
+        out = out.join(missing.select(F.col("id").alias(end), F.lit(True).alias(f"_no_{end}")), end, "left")
+    lost = F.col("_no_src").isNotNull() | F.col("_no_dst").isNotNull() | F.col("src").isNull() | F.col("dst").isNull()
+    return out.select(*edges.columns, lost.alias("_dangling"))
+
+
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends are nodes."""
-    ids = nodes.select("id").distinct()
-    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+    return _end_missing(edges, nodes).where("not _dangling").select(*edges.columns)
+
+
+def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges an end of which is no node."""
+    return _end_missing(edges, nodes).where("_dangling").select(*edges.columns)
 
 
 def edge_list(edges: DataFrame, nodes: DataFrame, limit: int | None = None, ranks: DataFrame | None = None) -> DataFrame:

@@ -191,3 +191,12 @@ def test_clearing_a_repository_contracts_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "contracted", lambda edges: calls.append(1) or contracted(edges))
     catalogue.clear_repo(spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_edges_without_a_node_are_found_by_their_ends(spark):
+    """Ends are looked up once each; only what is missing is a table, and no edge is lost or doubled."""
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+    edges = spark.createDataFrame([("a", "b", "T"), ("a", "b", "T"), ("a", "x", "T"), ("y", "b", "T"), ("x", "y", "T"), (None, "a", "T"), ("a", None, "T")], "src string, dst string, type string")
+    assert {r.id for r in graph.missing_ends(edges, nodes).collect()} == {"x", "y"}
+    assert sorted(map(tuple, graph.with_endpoints(edges, nodes).collect())) == [("a", "b", "T")] * 2
+    assert sorted(map(str, map(tuple, graph.dangling(edges, nodes).collect()))) == sorted(map(str, map(tuple, edges.where("not (src = 'a' and dst <=> 'b')").collect())))
