@@ -89,8 +89,6 @@ def ordered(messages: DataFrame, calls: DataFrame) -> DataFrame:
     needs = calls.where("arguments is not null").select("conv", "turn", "at", F.explode(named).alias("id"))
     on = results.select("conv", F.col("turn").alias("on_turn"), F.col("at").alias("on_at"), "id")
     edges = stored(back.unionByName(needs.join(on.hint("shuffle_hash"), ["conv", "id"]).drop("id")).distinct(), "waits")
-    if not edges.limit(1).count():
-        return messages.withColumn("place", F.col("turn")).withColumn("depth", F.lit(0))
     key = ["conv", "turn", "at"]
     ends = edges.select(*key).unionByName(edges.select("conv", F.col("on_turn").alias("turn"), F.col("on_at").alias("at"))).distinct()
     nodes = stored(ends.withColumn("i", F.row_number().over(Window.partitionBy("conv").orderBy("turn", "at")) - 1), "nodes")

@@ -94,8 +94,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_counts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", 50256)
 
 
+def _tools(spark: SparkSession) -> DataFrame:
+    """The schemas that calls are checked against; as SQL, since rows given from Python would need a Python worker."""
+    return spark.sql("SELECT * FROM VALUES ('look0', 'x', 'integer', true), ('look0', 'after', 'object', false), ('look1', 'x', 'string', true), ('look1', 'after', 'object', false) AS t(name, parameter, type, required)")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+    """All steps: calls and results joined, arguments checked against schemas, topological order, canonical JSON."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations"), _tools(spark))
 
 
 OP9_SQL = """
@@ -120,8 +126,7 @@ def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), said.alias("content")))
     calls, answers = F.col("role") == "assistant", (F.col("role") != "assistant") & (c % 3 == 0)
     messages = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(answers, "tool").otherwise(F.col("role")).alias("role"), F.when(calls, call).when(answers, result).otherwise(F.concat(F.lit("said "), said)).alias("text"))
-    tools = spark.createDataFrame([("look0", "x", "integer", True), ("look0", "after", "object", False), ("look1", "x", "string", True), ("look1", "after", "object", False)], "name string, parameter string, type string, required boolean")
-    return chat.format_chats(messages, tools).drop("chat")
+    return chat.format_chats(messages, _tools(spark)).drop("chat")
 
 
 CHAT_TOOL_CALLS_SQL = """

@@ -112,3 +112,20 @@ def test_order_equals_one_worked_out_by_hand(spark):
         names = {t: ("tool", x.get("tool_call_id")) if role == "tool" else ("assistant", x["tool_calls"][0]["id"]) for t, role, x in own}
         found = [(m["role"], m.get("tool_call_id") or m["tool_calls"][0]["id"]) for m in json.loads(got[conv].chat)["messages"]]
         assert found == [names[t] for t in want] and got[conv].n_cyclic == len(waits) - len(place)
+
+
+def test_op9_takes_every_step(spark, tmp_path):
+    """The query itself checks arguments and orders by what waits for what, wherever its table has calls."""
+    import json
+
+    from lodestone.llm import queries
+
+    def call(id_, **arguments):
+        return json.dumps({"tool_calls": [{"id": id_, "name": "look0", "arguments": arguments}]})
+
+    result = json.dumps({"tool_call_id": "a", "content": "found"})
+    rows = [(1, 0, "tool", result), (1, 1, "assistant", call("a", x=1)), (2, 0, "user", "hi"), (2, 1, "assistant", call("b", x="no"))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.op9_chat(spark, str(tmp_path)).collect()}
+    assert got[1].n_linked == 1 and got[1].n_invalid == 0 and got[2].n_invalid == 1
+    assert [m["role"] for m in json.loads(got[1].chat)["messages"]] == ["assistant", "tool"]
