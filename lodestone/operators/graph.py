@@ -268,19 +268,26 @@ def explain_file(files: DataFrame, edges: DataFrame, commits: int = 5) -> DataFr
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(id, rank) after rounds of power iteration; the rank of nodes without out-edges is spread evenly.
 
-    Every round is one written table, of ranks beside the number of out-edges: from it come what a node sends along each
-    edge and, by a scan of two columns, the rank that is to be spread.
+    Rounds run on numbers in shuffles dealt by edges, and look ranks up in hash tables, of which each node is one row, so
+    that links are not sorted. Every round is one written table, of ranks beside the number of out-edges: from it come what
+    a node sends along each edge and, by a scan of two columns, the rank that is to be spread. A null end is a node that
+    nothing is sent to or from.
     """
-    links = stored(edges.select("src", "dst").distinct(), "links")
-    outs = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out"))
-    nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(outs, "id", "left")
-    nodes = stored(nodes, "ids")
-    n = max(nodes.count(), 1)
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
-        ranks = stored(ranks, "ranks") if i else ranks
-        lost = ranks.where("n_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).first().lost
-        share = ranks.where("n_out is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("n_out")).alias("share"))
-        got = links.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-        ranks = nodes.join(got, "id", "left").select("id", "n_out", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("rank"))
-    return ranks.select("id", "rank")
+    spark = edges.sparkSession
+    # edges are read twice: to write them as they are takes longer than to scan tables again
+    with dealt(spark, 2 * edges.count()):
+        names, a, b = numbered(edges)
+        links = stored(edges.select(F.when(F.col("src").isNotNull(), a).alias("src"), F.when(F.col("dst").isNotNull(), b).alias("dst")).distinct(), "links")
+        outs = links.where("src is not null").groupBy(F.col("src").alias("n")).agg(F.count("*").alias("n_out"))
+        unnamed = links.where("src is null or dst is null").select(F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("n_out")).limit(1)
+        nodes = stored(names.select("n").join(outs.hint("shuffle_hash"), "n", "left").unionByName(unnamed), "ids")
+        links = links.where("src is not null and dst is not null")
+        n = max(nodes.count(), 1)
+        ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+        for i in range(rounds):
+            ranks = stored(ranks, "ranks") if i else ranks
+            lost = ranks.where("n_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).first().lost
+            share = ranks.where("n_out is not null").select(F.col("n").alias("src"), (F.col("rank") / F.col("n_out")).alias("share"))
+            got = links.join(share.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("n")).agg(F.sum("share").alias("got"))
+            ranks = nodes.join(got.hint("shuffle_hash"), "n", "left").select("n", "n_out", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("rank"))
+        return stored(ranks.join(names.hint("shuffle_hash"), "n", "left").select("id", "rank"), "ranks")

@@ -110,6 +110,29 @@ def test_pagerank_sums_to_one(spark):
     assert abs(sum(ranks.values()) - 1) < 1e-9 and ranks["a"] > ranks["d"]
 
 
+def test_pagerank_looks_ranks_up_by_number(spark):
+    rows = [("a", "b"), ("a", "b"), ("a", None), ("b", "a"), (None, "c"), ("c", "c"), ("c", "a")]
+    got = graph.pagerank(spark.createDataFrame(rows, "src string, dst string"), 3)
+    links = set(rows)
+    ids = {x for r in links for x in r}
+    outs = {i: [d for s, d in links if s == i] for i in ids if i is not None}
+    want = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(3):
+        lost = sum(r for i, r in want.items() if not outs.get(i))
+        sent = {i: sum(want[s] / len(d) for s, d in outs.items() if i in d) if i is not None else 0.0 for i in ids}
+        want = {i: (0.15 + 0.85 * lost) / len(ids) + 0.85 * sent[i] for i in ids}
+    assert {r.id: round(r["rank"], 12) for r in got.collect()} == {i: round(r, 12) for i, r in want.items()}
+    # ranks are written as (number, out-edges, rank), so that no round shuffles or sorts ids
+    rounds = []
+    stored = graph.stored
+    graph.stored = lambda df, name: rounds.append((name, df.dtypes)) or stored(df, name)
+    try:
+        graph.pagerank(spark.createDataFrame(rows, "src string, dst string"), 3)
+    finally:
+        graph.stored = stored
+    assert ("links", [("src", "bigint"), ("dst", "bigint")]) in rounds and [d for n, d in rounds if n == "ranks"][:2] == [[("n", "bigint"), ("n_out", "bigint"), ("rank", "double")]] * 2
+
+
 def test_migrations_and_changes(spark):
     files = spark.createDataFrame([("1.sql", "a;"), ("2.sql", "-- note\nb;\n c ;")], "filename string, content string")
     done = spark.createDataFrame([("1.sql",)], "filename string")
