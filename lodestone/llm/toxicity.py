@@ -32,10 +32,12 @@ from pyspark.sql import types as T
 from .common import append_columns, batches_of, stored
 
 WORD = re.compile(r"\w+")
+#: Signs that often stand around a word, none of them part of one.
+SIGNS = ".,;:!?()[]{}<>\"'`*#/-"
 #: Beginnings of words that are terms beside the whole words.
 PREFIXES = (5,)
 #: Entries after which a worker's word cache starts anew.
-CACHE = 150_000
+CACHE = 300_000
 #: Tokens, and queries, taken at once.
 TOKENS, BATCH = 150_000, 128
 
@@ -56,9 +58,15 @@ class Params:
 
 def terms_of(token: str) -> list[int]:
     """The terms of a token as hashes: its words, and their beginnings marked as such."""
-    words = (token,) if token.isalnum() else WORD.findall(token)
-    found = ["=" + w for w in words] + [f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n]
-    return [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in found]
+    # most tokens are a word and a few signs: what is left without the signs is found faster than by the pattern
+    core = token if token.isalnum() else token.strip(SIGNS)
+    words = (core,) if core.isalnum() else WORD.findall(token)
+    found = ["=" + w for w in words]
+    found += [w[:n] + "*" for w in words for n in PREFIXES if len(w) > n]
+    try:
+        return [xxhash.xxh64_intdigest(t) for t in found]  # of the text in UTF-8
+    except UnicodeEncodeError:
+        return [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in found]
 
 
 def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -81,7 +89,7 @@ class Vectoriser:
     def _learn(self, tokens: list[str]) -> None:
         hashes = [terms_of(t) for t in tokens]
         n = np.fromiter(map(len, hashes), np.int64, len(hashes))
-        flat = np.fromiter((h for own in hashes for h in own), np.uint64, int(n.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, int(n.sum()))
         if self.vocabulary is not None:
             at = np.searchsorted(self.vocabulary, flat)
             found = np.append(self.vocabulary, 0)[at] == flat if len(self.vocabulary) else np.zeros(len(flat), bool)
@@ -110,10 +118,16 @@ class Vectoriser:
                 n = self.n[own_]
                 terms = self.terms[ranges(self.start[own_], n)]
                 doc = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n)
-                by = np.lexsort((terms, doc)) if self.vocabulary is None else np.argsort(doc * np.int64(len(self.vocabulary) + 1) + terms.astype(np.int64), kind="stable")
-                doc, terms = doc[by], terms[by]
-                new = np.nonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (terms[1:] != terms[:-1]))))[0] if len(doc) else by
-                yield first, doc[new], terms[new] if self.vocabulary is None else terms[new].astype(np.int64), np.diff(np.append(new, len(doc)))
+                if self.vocabulary is None:
+                    by = np.lexsort((terms, doc))
+                    doc, terms = doc[by], terms[by]
+                else:
+                    # text and term are one number, so that the numbers themselves are sorted
+                    bits = len(self.vocabulary).bit_length()
+                    both = np.sort((doc << bits) | terms.astype(np.int64))
+                    doc, terms = both >> bits, both & ((1 << bits) - 1)
+                new = np.nonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (terms[1:] != terms[:-1]))))[0] if len(doc) else np.zeros(0, np.int64)
+                yield first, doc[new], terms[new], np.diff(np.append(new, len(doc)))
                 first, tokens, sizes = i + 1, [], []
 
     def each(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -177,19 +191,22 @@ class BlockMaxIndex:
         for step, b in enumerate(order.tolist()):
             here = slice(b * self.block, (b + 1) * self.block)
             some = np.nonzero((bound[:, b] > 0) & (bound[:, b] >= least - 1e-9))[0]
-            if len(some):
+            if len(some) == len(queries):
+                scores[:, here] += asked @ self.table[:, here]
+            else:
                 scores[some, here] += asked[some] @ self.table[:, here]
-            if len(some) < len(queries):
                 left = np.ones(len(queries), bool)
                 left[some] = False
                 scores[left, here] = 0
             done += range(here.start, here.stop)
             if step in (self.blocks // 4, self.blocks // 2) and len(done) > k:
                 least = np.partition(scores[:, done], -k, axis=1)[:, -k]
+        last = np.partition(scores, -k, axis=1)[:, -k:][:, :1] if scores.shape[1] > k else 0.0
+        of, near = np.nonzero((scores > 0) & (scores >= last - 1e-9))
+        ends = np.searchsorted(of, np.arange(len(queries) + 1))
         out = []
-        for own in scores:
-            last = np.partition(own, -k)[-k] if len(own) > k else 0.0
-            at = np.nonzero((own > 0) & (own >= last - 1e-9))[0]
+        for own, i, j in zip(scores, ends[:-1].tolist(), ends[1:].tolist()):
+            at = near[i:j]
             at = at[np.lexsort((at, -own[at]))]
             out.append((np.minimum(own[at], 1.0), at))
         return out

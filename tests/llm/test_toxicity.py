@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import queries as Q
@@ -163,3 +164,16 @@ def test_without_both_labels(spark, labels):
     model = X.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert {r.doc_id for r in X.score(docs, model).collect()} == {1, 2}
     assert X.score(docs.limit(0), model).count() == 0
+
+
+def test_terms_of_words_among_signs_need_no_pattern(monkeypatch):
+    tokens = ["word", "word,", '("word!")', "a_b.", "don't", "well-known", "...", "_x_", "straße;", "\ud800", "x\ud800"]
+    want = []
+    for t in tokens:
+        words = re.findall(r"\w+", t)
+        terms = ["=" + w for w in words] + [w[:5] + "*" for w in words if len(w) > 5]
+        want.append([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in terms])
+    assert [X.terms_of(t) for t in tokens] == want
+    assert not any(re.match(r"\w", c) for c in X.SIGNS)
+    monkeypatch.setattr(X, "WORD", None)
+    assert [X.terms_of(t) for t in tokens[:3]] == want[:3] and len(X.terms_of("straße;")) == 2
