@@ -12,6 +12,7 @@ was finished is not done twice, so that counts and sums are right too, as micro-
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import dml
-from .graph import stored
+from .graph import dealt, stored
 
 MARK = "batch long, placed boolean"
+#: A task that groups takes so much of files or of a shuffle: some million short rows, whose hash table fits its memory.
+SHARE = "16m"
 
 
 def _nullable(kind: T.DataType) -> T.DataType:
@@ -38,7 +41,10 @@ def _nullable(kind: T.DataType) -> T.DataType:
 class Buckets:
     """The table in the folder path. key tells rows apart; by (key, if left out) says which rows share a bucket, as all
     rows of a file do. The number of buckets belongs to the table: it must not change once there are rows; it should be
-    such that a bucket has some hundred megabytes. A larger one is written by several tasks, as adaptive execution finds."""
+    such that a bucket has some hundred megabytes. A larger one is written by several tasks, as adaptive execution finds.
+
+    grouped says that every change groups its rows by the columns by, in that order. Buckets then are divided by the hash
+    that Spark groups by, so that a task of the grouping has rows of few buckets and they need not be moved again."""
 
     spark: SparkSession
     path: str
@@ -46,6 +52,7 @@ class Buckets:
     key: list[str]
     by: list[str] = field(default_factory=list)
     buckets: int = 256
+    grouped: bool = False
 
     def __post_init__(self):
         if isinstance(self.schema, str):
@@ -55,7 +62,8 @@ class Buckets:
 
     def bucket(self) -> Column:
         """The bucket of a row that has the columns by."""
-        return F.pmod(F.xxhash64(*(F.col(c) for c in self.by)), F.lit(self.buckets)).cast("int")
+        hashed = F.hash if self.grouped else F.xxhash64
+        return F.pmod(hashed(*(F.col(c) for c in self.by)), F.lit(self.buckets)).cast("int")
 
     def _kind(self) -> T.StructType:
         """Rows of the files; _row is null in the one that stands for an empty bucket."""
@@ -68,9 +76,10 @@ class Buckets:
             return self.spark.createDataFrame([], self._kind())
         return rows if some is None else rows.where(F.col("_bucket").isin(some))
 
-    def table(self, some: list[int] | None = None) -> DataFrame:
-        """The rows there are; of some buckets alone, whose files then are the only ones read."""
-        return self._read("table", some).where("_row is not null").select("_row.*")
+    def table(self, some: list[int] | None = None, number: str | None = None) -> DataFrame:
+        """The rows there are; of some buckets alone, whose files then are the only ones read. number is a column to have
+        their buckets in."""
+        return self._read("table", some).where("_row is not null").select("_row.*", *([F.col("_bucket").alias(number)] if number else []))
 
     def _mark(self) -> tuple[int, bool] | None:
         try:
@@ -82,16 +91,26 @@ class Buckets:
     def _set_mark(self, batch: int, placed: bool) -> None:
         self.spark.createDataFrame([(batch, placed)], MARK).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/mark")
 
+    def _write(self, rows: DataFrame, folder: str, mode: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+
     def _place(self, batch: int) -> None:
         """Puts the buckets of a change, which were written aside, in place of the old ones."""
-        self._read(f"aside/turn={batch % 2}").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/table")
+        self._write(self._read(f"aside/turn={batch % 2}"), "table", "dynamic")
         self._set_mark(batch, True)
 
-    def change(self, keys: DataFrame, merge: Callable[[DataFrame], DataFrame], batch: int) -> list[int]:
-        """Rows of the buckets of keys (the columns by) become merge(those rows), which has to be made of them and of
-        rows with the same keys. Returns the buckets that were rewritten: none if this batch was done before.
+    def touched(self, keys: DataFrame) -> dict[int, int]:
+        """The buckets of keys (the columns by), rising, with the number of keys in each."""
+        # at most one row for each bucket
+        return {r.bucket: r.n for r in sorted(keys.groupBy(self.bucket().alias("bucket")).agg(F.count("*").alias("n")).collect())}
+
+    def change(self, keys: DataFrame | dict[int, int], merge: Callable[[DataFrame], DataFrame], batch: int) -> list[int]:
+        """Rows of the buckets of keys (the columns by, or what touched gives of them) become merge(those rows), which has
+        to be made of them and of rows with the same keys. Returns the buckets that were rewritten: none if this batch was
+        done before.
 
-        Batches are numbered upwards, and one is finished before the next begins.
+        Batches are numbered upwards, and one is finished before the next begins. The first one finds nothing in its place
+        and is written once; a crash within it leaves a table without a mark, which counts as empty when it is repeated.
         """
         mark = self._mark()
         if mark and not mark[1]:
@@ -99,17 +118,24 @@ class Buckets:
             mark = mark[0], True
         if mark and batch <= mark[0]:
             return []
-        # at most one number for each bucket
-        touched = sorted(r.bucket for r in keys.select(self.bucket().alias("bucket")).distinct().collect())
+        keys = keys if isinstance(keys, dict) else self.touched(keys)
+        touched = list(keys)
         if not touched:
             return []
-        rows = merge(self.table(touched)).select(*self.schema.names)
+        old = self.table(touched) if mark else self.spark.createDataFrame([], self.schema)
+        rows = merge(old).select(*self.schema.names)
         packed = rows.select(F.struct(*self.schema.names).cast(self.schema).alias("_row"), self.bucket().alias("_bucket"))
         # one that loses all its rows has to be put in place too
         none = self.spark.createDataFrame([(None, b) for b in touched], self._kind())
-        packed.unionByName(none).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/aside/turn={batch % 2}")
-        self._set_mark(batch, False)
-        self._place(batch)
+        packed = packed.unionByName(none.coalesce(1)) if self.grouped else packed.unionByName(none).hint("rebalance", "_bucket")
+        there = self._read("table", touched).count() if self.grouped and mark else 0
+        with dealt(self.spark, sum(keys.values()) + there, self.buckets, SHARE) if self.grouped else nullcontext():
+            self._write(packed, f"aside/turn={batch % 2}" if mark else "table", "static")
+        if mark:
+            self._set_mark(batch, False)
+            self._place(batch)
+        else:
+            self._set_mark(batch, True)
         return touched
 
     def upsert(self, new: DataFrame, batch: int, **how) -> list[int]:

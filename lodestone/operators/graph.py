@@ -35,16 +35,20 @@ ROWS_OF_TASK = 1_000_000
 
 
 @contextmanager
-def dealt(spark: SparkSession, rows: int) -> Iterator[None]:
+def dealt(spark: SparkSession, rows: int, times: int = 1, share: str | None = None) -> Iterator[None]:
     """Jobs that run within it shuffle into as many partitions as rows need, so that a task's share doesn't grow with the
-    table; never into fewer than the session asks for."""
-    key = "spark.sql.shuffle.partitions"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(max(int(was), -(-rows // ROWS_OF_TASK))))
+    table; never into fewer than the session asks for, and into a multiple of times. share is the size of
+    files that a task reads, and up to which adaptive execution puts small partitions together; the session's if left out."""
+    keys = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
+    was = [spark.conf.get(key) for key in keys]
+    spark.conf.set(keys[0], str(-(-max(int(was[0]), -(-rows // ROWS_OF_TASK)) // times) * times))
+    for key in keys[1:] if share else ():
+        spark.conf.set(key, share)
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for key, value in zip(keys, was, strict=True):
+            spark.conf.set(key, value)
 
 
 def expand(starts: DataFrame, edges: DataFrame, nodes: DataFrame, kind: str | None = None, reverse: bool = False) -> DataFrame:

@@ -122,3 +122,60 @@ def test_tallies_follow_what_comes_and_goes(spark, tmp_path):
         want = [(k, f"n{k}", *(sum(1 for (b, i, _), n in edges.items() if b == branch and i == k and n > 0) for branch in "ab")) for k in range(4)]
         assert sorted(tuple(r) for r in kept.statistics(starts, ["a", "b"]).collect()) == want
     kept.update({"a": spark.createDataFrame([], "id long, item string, n long")}, 9)
+
+
+def test_tallies_of_numbers_group_once_and_write_a_new_table_once(spark, tmp_path, monkeypatch):
+    from lodestone.operators.tallies import Tallies
+
+    written = []
+    write = Buckets._write
+    monkeypatch.setattr(Buckets, "_write", lambda self, rows, folder, mode: written.append((self.path, folder, rows._jdf.queryExecution().executedPlan().toString())) or write(self, rows, folder, mode))
+    path = str(tmp_path / "t")
+    kept = Tallies(spark, path, buckets=6, kind="long")
+    rows = spark.range(3000).selectExpr("id % 4 as id", "'a' as branch", "id % 1500 - 7 as item", "1 as n")
+    extra = spark.createDataFrame([(None, "a", 1, 1), (1, "b", None, 1), (1, "b", -5, 1)], "id long, branch string, item long, n int")
+    assert kept.update(rows.unionByName(extra), 0) == 6 and not os.path.exists(f"{path}/items/aside")
+    assert kept.update(rows.limit(0), 1) == 0
+    assert kept.update(rows.where("item < 0").withColumn("n", F.lit(-2)), 2) > 0
+    assert {f"items/{f}" for f in ("table", "aside/turn=0")} == {p[len(path) + 1 :] + "/" + f for p, f, _ in written if p.endswith("items")}
+    # what a change groups is moved once, and lies in the bucket that it is written to
+    assert all(plan.count("Exchange") <= 1 for p, f, plan in written if p.endswith("items"))
+    items = kept.items.table(number="b")
+    assert dict(items.dtypes)["item"] == "bigint" and items.where(F.col("b") != kept.items.bucket()).count() == 0
+    starts = spark.createDataFrame([(i,) for i in range(5)], "id long")
+    want = {i: sum(1 for k in {k % 1500 - 7 for k in range(3000) if k % 4 == i} if k >= 0) for i in range(5)}
+    assert {r.id: (r.a, r.b) for r in kept.statistics(starts, ["a", "b"]).collect()} == {i: (n, int(i == 1)) for i, n in want.items()}
+
+
+def test_a_crash_within_the_first_batch(spark, tmp_path, monkeypatch):
+    table = Buckets(spark, str(tmp_path / "t"), SCHEMA, ["id"], buckets=8)
+
+    def crash(*_):
+        raise OSError("lost")
+
+    batch = spark.createDataFrame([(1, "c", 10), (1, "b", 10), (3, "d", 10)], SCHEMA)
+    with monkeypatch.context() as m:
+        m.setattr(Buckets, "_set_mark", crash)
+        with pytest.raises(OSError):
+            table.fold(batch, 0, ["name"], ["size"])
+    for _ in range(2):
+        table.fold(batch, 0, ["name"], ["size"])
+    assert rows_of(table.table()) == [(1, "c", 20), (3, "d", 10)]
+
+
+def test_kept_statistics_walk_branches_once(spark, monkeypatch):
+    from lodestone.operators.tallies import Tallies
+    from lodestone.plans import catalogue
+
+    read = []
+    update = Tallies.update
+
+    def watched(self, changes, batch):
+        for c in changes.values() if isinstance(changes, dict) else [changes]:
+            read.extend(c.inputFiles())
+        return update(self, changes, batch)
+
+    monkeypatch.setattr(Tallies, "update", watched)
+    got = catalogue.repo_stats_kept(spark, "/root/testdata/sf0.001")
+    assert rows_of(got) == rows_of(catalogue.repo_stats(spark, "/root/testdata/sf0.001"))
+    assert read and not [f for f in read if "sf0.001" in f]
